@@ -21,13 +21,16 @@ def first_by_key(items: Column, key: str) -> Column:
     Sorts by (key, position), so it costs n log n where a nested search would
     be quadratic in the array length.
     """
-    indexed = F.transform(items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"), x.alias("x")))
-    firsts = bind(
-        F.sort_array(indexed),
-        lambda s: F.filter(s, lambda e, j: (j == 0) | ~e["k"].eqNullSafe(F.get(s, j - 1)["k"])),
-    )
-    by_position = F.sort_array(F.transform(firsts, lambda e: F.struct(e["i"], e["x"])))
-    return F.transform(by_position, lambda e: e["x"])
+    def dedupe(all_items):
+        indexed = F.transform(all_items, lambda x, i: F.struct(x[key].alias("k"), i.alias("i"), x.alias("x")))
+        firsts = bind(
+            F.sort_array(indexed),
+            lambda s: F.filter(s, lambda e, j: (j == 0) | ~e["k"].eqNullSafe(F.get(s, j - 1)["k"])),
+        )
+        by_position = F.sort_array(F.transform(firsts, lambda e: F.struct(e["i"], e["x"])))
+        return F.transform(by_position, lambda e: e["x"])
+
+    return bind(items, lambda all_items: F.when(F.size(all_items) < 2, all_items).otherwise(dedupe(all_items)))
 
 
 def last_by_key(items: Column, key: str) -> Column:

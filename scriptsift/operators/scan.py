@@ -26,9 +26,10 @@ MIN_VALUE_LENGTH = 3
 # Detectors handled in one pass over the text; larger catalogs take more passes.
 DETECTORS_PER_PASS = 200
 
-# Two noncharacters no detector tells apart: the first marks match starts, the
-# second stands in for the first wherever the text itself holds it.
-_MARK, _STAND_IN = "﷐", "﷑"
+# Noncharacters no detector tells apart.  The first marks a match, the second
+# ends the copy of its value, the third stands in for both where the text itself
+# holds them.
+_MARK, _END, _STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2"
 
 # Letters outside ASCII that fold to i and s; where they occur the lower-case
 # literal test cannot be trusted.
@@ -47,34 +48,43 @@ def _quoted(literal: str) -> str:
 def _can_match(d: Detector) -> str:
     """Necessary condition for a match, from literals alone."""
     subject = "__lower" if d.ignores_case else "__text"
-    groups = [
-        "(" + " OR ".join(f"contains({subject}, {_quoted(lit)})" for lit in group) + ")" for group in d.required]
-    test = " AND ".join(groups) or "true"
-    return f"({test}) OR __folding" if d.required and d.ignores_case else test
+    if not d.required:
+        return "NOT __blank"
+    test = " AND ".join(
+        "(" + " OR ".join(f"contains({subject}, {_quoted(lit)})" for lit in group) + ")" for group in d.required)
+    return f"({test}) OR __folding" if d.ignores_case else test
 
 
-def _candidate(d: Detector, ord_: int, prefilter: bool) -> str:
-    """The detector's catalog row, or null where it cannot match."""
-    row = (
+def _label(d: Detector, ord_: int) -> str:
+    return (
         f"named_struct('finding_type', {_quoted(d.finding_type)}, 'category', {_quoted(d.category)}, "
         f"'confidence', {_quoted(d.confidence)}, 'severity', {_quoted(d.severity)}, "
-        f"'pattern_name', {_quoted(d.name)}, 'p_ord', {ord_}, "
-        f"'regex', {_quoted(detector_regex(d))}, 'value_group', {d.value_group})")
-    return f"CASE WHEN {_can_match(d)} THEN {row} END" if prefilter else row
+        f"'pattern_name', {_quoted(d.name)}, 'p_ord', {ord_})")
+
+
+def _candidates(detectors, first_ord: int, prefilter: bool) -> Column:
+    """Labels of the detectors worth running on a row, nulls for the others.
+
+    Written as one expression string: thousands of separate column objects
+    would cost seconds on the driver.
+    """
+    arms = []
+    for i, d in enumerate(detectors):
+        label = _label(d, first_ord + i)
+        test = _can_match(d) if prefilter else "NOT __blank"
+        arms.append(f"CASE WHEN {test} THEN {label} END")
+    return F.expr(f"array({', '.join(arms)})")
 
 
-def match_lines(text: Column, regex: Column) -> Column:
-    """Line number of the start of every match, in match order.
+def _by_detector(detectors, first_ord: int, call) -> Column:
+    """``call(quoted regex, detector)`` of the row's detector.
 
-    Match starts get a marker, the marked text is cut into lines, and each line
-    yields its number once per marker: linear in the text, however many matches
-    it has.
+    Every arm has a constant expression, so each is compiled once per task
+    however the detectors alternate from row to row.
     """
-    marked = F.regexp_replace(F.translate(text, _MARK, _STAND_IN), regex, F.lit(_MARK + "$0"))
-    return F.flatten(F.transform(
-        F.split(marked, "\n", -1),
-        lambda line, i: F.array_repeat(i + 1, F.length(line) - F.length(F.replace(line, F.lit(_MARK), F.lit("")))),
-    ))
+    arms = " ".join(
+        f"WHEN {first_ord + i} THEN {call(_quoted(detector_regex(d)), d)}" for i, d in enumerate(detectors))
+    return F.expr(f"CASE __d.p_ord {arms} END")
 
 
 def match_context(lines: Column, line_number: Column, n: int) -> Column:
@@ -83,44 +93,71 @@ def match_context(lines: Column, line_number: Column, n: int) -> Column:
     return F.array_join(F.slice(lines, first, line_number + n - first + 1), "\n")
 
 
-def _row_findings(text, regex, group, context_lines, deduplicate, split_lines) -> Column:
-    empty = F.expr("cast(array() as array<struct<value:string,m_ord:int,line_number:int,context:string>>)")
+def _row_findings(marked, regex, group, text, odd, context_lines, deduplicate, split_lines) -> Column:
+    """Array of (value, m_ord, line_number, context) of one detector on one text.
 
-    def build(values):
-        found = bind(match_lines(text, regex), lambda at: F.filter(
+    ``marked`` is the text with each match preceded by mark, value, end: one
+    pass of the detector gives values and places.  Cut at the marks it yields
+    the values; cut into lines, each line yields its number once per mark.  All
+    of it is linear in the text, however many matches there are.
+    """
+    empty = F.expr("cast(array() as array<struct<value:string,m_ord:int,line_number:int,context:string>>)")
+    nothing = F.lit("")
+
+    def build(pieces):
+        tails = F.slice(pieces, 2, F.size(pieces) - 1)
+        values = F.when(odd, F.regexp_extract_all(text, regex, group)).otherwise(
+            F.transform(tails, lambda p: F.substring_index(p, _END, 1)))
+        bare = F.concat(F.array(pieces.getItem(0)), F.transform(tails, lambda p: F.split_part(p, F.lit(_END), F.lit(2))))
+        return bind(F.split(F.array_join(bare, _MARK), "\n", -1), lambda lines: place(values, lines))
+
+    def place(values, lines):
+        at = F.flatten(F.transform(lines, lambda l, i: F.array_repeat(
+            i + 1, F.length(l) - F.length(F.replace(l, F.lit(_MARK), nothing)))))
+        found = bind(at, lambda at: F.filter(
             F.transform(values, lambda v, i: F.struct(
                 strip(v).alias("value"), i.alias("m_ord"), F.get(at, i).alias("line_number"))),
             lambda f: F.length(f["value"]) >= MIN_VALUE_LENGTH,
         ))
         kept = first_by_key(found, "value") if deduplicate else found
-        return bind(split_lines(text), lambda lines: F.transform(kept, lambda f: F.struct(
+        if split_lines is not None:
+            shown = bind(split_lines(text), lambda ls: contexts(kept, ls))
+        else:
+            shown = bind(F.when(odd, lf_lines(text)).otherwise(lines), lambda ls: contexts(kept, ls))
+        return shown
+
+    def contexts(kept, lines):
+        return F.transform(kept, lambda f: F.struct(
             f["value"].alias("value"), f["m_ord"].alias("m_ord"), f["line_number"].alias("line_number"),
-            match_context(lines, f["line_number"], context_lines).alias("context"))))
+            F.when(odd, match_context(lines, f["line_number"], context_lines)).otherwise(F.replace(
+                match_context(lines, f["line_number"], context_lines), F.lit(_MARK), nothing)).alias("context")))
 
-    return bind(
-        F.regexp_extract_all(text, regex, group),
-        lambda values: F.when(F.size(values) > 0, build(values)).otherwise(empty),
-    )
+    return bind(marked, lambda m: F.when(
+        F.contains(m, F.lit(_MARK)), bind(F.split(m, _MARK, -1), build)).otherwise(empty))
 
 
 def _scan_pass(texts, keys, content, detectors, first_ord, context_lines, deduplicate, split_lines, prefilter):
     text = F.col("__text")
-    src = texts.select(*keys, F.col(content).alias("__text")).filter(~is_blank(text))
+    # Blank texts drop out with their candidates: a filter here would make the
+    # optimizer compute a derived text twice.
+    src = texts.select(*keys, F.col(content).alias("__text")).withColumns({
+        "__blank": is_blank(text), "__odd": text.contains(_MARK) | text.contains(_END)})
     if prefilter and any(d.ignores_case for d in detectors):
         folding = F.lit(False)
         for letter in _FOLDING:
             folding = folding | text.contains(letter)
         src = src.withColumns({"__lower": F.lower(text), "__folding": folding})
-    # One expression string: thousands of separate column objects would cost
-    # seconds on the driver.
-    candidates = F.expr("array(" + ", ".join(
-        _candidate(d, first_ord + i, prefilter) for i, d in enumerate(detectors)) + ")")
-    spec = F.col("__d")
-    found = _row_findings(text, spec["regex"], spec["value_group"], context_lines, deduplicate, split_lines)
+    clean = f"CASE WHEN __odd THEN translate(__text, '{_MARK}{_END}', '{_STAND_IN}{_STAND_IN}') ELSE __text END"
+    marked = _by_detector(
+        detectors, first_ord,
+        lambda rx, d: f"regexp_replace({clean}, {rx}, '{_MARK}${d.value_group}{_END}$0')")
+    regex = _by_detector(detectors, first_ord, lambda rx, d: rx)
+    group = _by_detector(detectors, first_ord, lambda rx, d: d.value_group)
     return (
-        src.select(*keys, "__text", F.explode(candidates).alias("__d"))
+        src.select(*keys, "__text", "__odd", F.explode(_candidates(detectors, first_ord, prefilter)).alias("__d"))
         .filter("__d is not null")
-        .select(*keys, "__d", F.inline(found))
+        .select(*keys, "__d", F.inline(_row_findings(
+            marked, regex, group, text, F.col("__odd"), context_lines, deduplicate, split_lines)))
         .select(
             *keys, "__d.finding_type", "__d.category", "value", "context", "line_number",
             "__d.confidence", "__d.severity", "__d.pattern_name", "__d.p_ord", "m_ord")
@@ -152,7 +189,7 @@ def scan_patterns(
         return chosen_schema.selectExpr(
             *keys, "'' finding_type", "'' category", "'' value", "'' context", "1 line_number",
             "'' confidence", "'' severity", "'' pattern_name", "0 p_ord", "0 m_ord")
-    split_lines = any_lines if compat else lf_lines
+    split_lines = any_lines if compat else None
     out = None
     for start in range(0, len(chosen), DETECTORS_PER_PASS):
         part = _scan_pass(
