@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from . import page_queries, scan_queries, text_queries  # noqa: F401
+from . import bundle_queries, page_queries, scan_queries, sourcemap_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -344,3 +344,123 @@ LINKS = Derived("orders", (
             "x//y///z.js", ".", "https:rel.js", "a;b/..;c/d"))),
     ),
 ))
+
+# Bundles of each bundler, and what a capture of their sites holds.
+BUNDLERS = Derived("part", (
+    keyed("p_partkey"),
+    (
+        ("asset_key", "k"),
+        ("url", text("https://app~k%12~.example.com/js/b~k~.js")),
+        ("base_url", text("https://app~k%12~.example.com/shop/index.html")),
+        ("content", pick("k % 8", (
+            'x="_next/";a="/_next/static/chunks/pg~k%40~.js";b={"buildId":"bld~k%12~"};'
+            'c="/_next/static/chunks/main-~k%5~.js";d="/_next/static/chunks/pg~k%40~.js"',
+            'x="_next/";s="/_next/static/alt~k%3~/_buildManifest.js"',
+            'import Vite; x="/static/assets/v~k%30~.js"; y=~q~../assets/w~k%20~.js~q~; z="./assets/w~k%20~.css"',
+            '__webpack_require__.p = "/static/js/"; u=({~k%50~:"main~k%9~",60: "vendor.js","async-~k%4~":"page~k%4~",'
+            '61:"img.png",60:"vendor~k%9~.js"}[e]||e)+".chunk.js"; v=({70:"late"} [chunkId])',
+            '__webpack_require__.p=~q~https://cdn~k%4~.example.net/js/~q~; h={~k%50~:"~h10~",63:"~g8~",64:"abc"}',
+            'webpackJsonp; u=({1:"~h8~",2:"~g8~"}[t])+".js"',
+            '__webpack_require__.p="/num~k%6~/"; none({})',
+            "plain(~k~)",
+        ))),
+    ),
+))
+CAPTURE = Derived("orders", (
+    keyed("o_orderkey"),
+    (
+        *keep("k"),
+        ("body", pick("k % 3", (
+            'self.__BUILD_MANIFEST={"/":["static/chunks/x~k%12~.js","/css/a.css","https://z.example.net/q~k%3~.js","/c~k%7~.js"]}',
+            '{"a":{"file":"assets/f~k%12~.js","imports":["assets/i~k%7~.js","style.css"]},"b":{"file":"/s~k%5~.css"},'
+            '"c":{"file":"assets/f~k%12~.js"},"d":{"imports":["_c~k%9~.js"]}}',
+            "{broken ~k~",
+        ))),
+        ("url", "CASE k % 8 "
+                "WHEN 0 THEN " + pick("cast(floor(k / 8) as bigint) % 4", (
+                    "https://app~k%12~.example.com/_next/static/bld~k%12~/_buildManifest.js",
+                    "https://app~k%12~.example.com/_next/static/chunks/main.js",
+                    "https://app~k%12~.example.com/_next/static/chunks/framework.js",
+                    "https://app~k%12~.example.com/_next/static/chunks/pages/_app.js"))
+                + " WHEN 1 THEN " + text("https://app~k%12~.example.com/_next/static/alt~k%3~/_buildManifest.js")
+                + " WHEN 2 THEN " + pick("cast(floor(k / 8) as bigint) % 3", (
+                    "https://app~k%12~.example.com/.vite/manifest.json",
+                    "https://app~k%12~.example.com/manifest.json",
+                    "https://app~k%12~.example.com/assets/manifest.json"))
+                + " WHEN 4 THEN " + pick("cast(floor(k / 8) as bigint) % 4", (
+                    "https://cdn~k%4~.example.net/js/~k%50~.~h10~.chunk.js",
+                    "https://cdn~k%4~.example.net/js/~h10~.chunk.js",
+                    "https://cdn~k%4~.example.net/js/other~k~.js",
+                    "https://cdn~k%4~.example.net/js/chunk.63.js"))
+                + " WHEN 5 THEN " + text("https://app~k%12~.example.com/~h8~.chunk.js")
+                + " WHEN 6 THEN concat('https://app', cast(k % 12 as string), '.example.com/num', cast(k % 6 as string), '/', "
+                  "cast(CASE WHEN k % 12 = 2 THEN floor(k / 24) % 6 + CASE WHEN k % 5 = 0 THEN 12 ELSE 0 END "
+                  "ELSE floor(k / 24) % 6 + CASE WHEN k % 5 = 0 THEN 22 ELSE 0 END END as bigint), "
+                  "CASE WHEN k % 7 = 0 THEN '.js' ELSE '.chunk.js' END)"
+                + " WHEN 7 THEN concat('https://app', cast(k % 12 as string), '.example.com/chunk.', "
+                  "cast(cast(floor(k / 24) as bigint) % 9 as string), '.js') "
+                + "ELSE concat('https://cdn.example.net/o', cast(k as string), '.js') END"),
+    ),
+    (
+        ("response_id", "k"), ("url", "url"), ("content", "body"),
+        ("status_code", "CASE WHEN k % 13 = 5 THEN 404 ELSE 200 END"),
+        ("error", "CASE WHEN k % 29 = 3 THEN 'Timeout' END"),
+        ("captured_at", "MICROS(1704067200000000 + k * 1000000)"),
+    ),
+))
+
+# Scripts with source maps announced in every way, and the captured maps.
+_MAP = ('{"version":3,"file":"a~k~.js","sourceRoot":"~root~","sources":["webpack:///./src/~k%9~/../app~k~.ts",'
+        '"../lib/./b~k%5~.js","https://src~k%4~.example.com/raw/c~k%40~.js","./d//e.js"],'
+        '"sourcesContent":["eval(x~k~)",null,null],"mappings":"AAAA"}')
+_MAPPED_BASE = (
+    keyed("p_partkey"),
+    (
+        *keep("k", "h", "g"),
+        ("root", "CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://root.example.com/s' WHEN 2 THEN 'webpack://' ELSE '/abs/' END"),
+    ),
+    (
+        *keep("k", "h", "g"),
+        ("doc", "CASE WHEN k % 23 = 7 THEN '{broken' ELSE " + filled(f"'{_MAP}'", _MAP) + " END"),
+    ),
+)
+MAPPED = Derived("part", (
+    *_MAPPED_BASE,
+    (
+        *keep("k"),
+        ("url", text("https://cdn~k%9~.example.com/js/app~k~.js")),
+        ("b64", "replace(replace(base64(cast(doc as binary)), chr(13), ''), chr(10), '')"),
+        ("doc", "doc"),
+    ),
+    (
+        ("asset_key", "k"), ("url", "url"),
+        ("content", "concat('run(', cast(k as string), ');', chr(10), " + pick("k % 7", (
+            "//# sourceMappingURL=app~k~.js.map",
+            "//@ sourceMappingURL = https://maps.example.com/~k~.map  ",
+            "/*# x */ //# sourcemappingurl=/maps/~k~.map */ tail()",
+            "//# sourceMappingURL=data:application/json;base64,~b64~",
+            "//# sourceMappingURL=data:application/json,~doc~",
+            "no map here",
+            "//# sourceMappingURL=../first~k~.map~nl~//# sourceMappingURL=second.map",
+        )) + ")"),
+    ),
+))
+MAP_CAPTURE = Derived("part", (
+    *_MAPPED_BASE,
+    (
+        ("response_id", "k"),
+        ("url", pick("k % 7", (
+            "https://cdn~k%9~.example.com/js/app~k~.js.map",
+            "https://maps.example.com/~k~.map",
+            "https://cdn~k%9~.example.com/maps/~k~.map",
+            "https://src~k%4~.example.com/raw/c~k%40~.js",
+            "https://unrelated.example.com/~k~",
+            "https://cdn~k%9~.example.com/js/app~k~.map",
+            "https://cdn~k%9~.example.com/first~k~.map",
+        ))),
+        ("content", "CASE WHEN k % 7 = 3 THEN concat('fetched(', cast(k as string), ')') ELSE doc END"),
+        ("status_code", "CASE WHEN k % 31 = 5 THEN 404 ELSE 200 END"),
+        ("error", "CASE WHEN k % 37 = 3 THEN 'Timeout' END"),
+        ("captured_at", "MICROS(1704067200000000 + k * 1000000)"),
+    ),
+))
