@@ -32,7 +32,3 @@ def first_by_key(items: Column, key: str) -> Column:
 
     return bind(items, lambda all_items: F.when(F.size(all_items) < 2, all_items).otherwise(dedupe(all_items)))
 
-
-def last_by_key(items: Column, key: str) -> Column:
-    """Like ``first_by_key`` but the last element of each key survives."""
-    return F.reverse(first_by_key(F.reverse(items), key))

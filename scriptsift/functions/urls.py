@@ -9,8 +9,10 @@ from .arrays import bind
 from .text import strip
 
 # RFC 3986 appendix B: scheme, authority, path, query, fragment.
-_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-_FIELDS = ("scheme", "netloc", "path", "query", "fragment")
+_PARTS = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+_SCHEME, _NETLOC, _PATH, _QUERY, _FRAGMENT = range(5)
+# A noncharacter between the parts lets one pass of the expression yield all five.
+_GAP = "\ufdd3"
 
 # Schemes whose references may be relative to a base of the same scheme.
 HIERARCHICAL = ("", "http", "https", "ftp", "file", "ws", "wss", "sftp", "svn", "svn+ssh", "rtsp", "gopher")
@@ -19,24 +21,9 @@ _DOTS = r"/\.{0,2}/|/\.{1,2}$|^\.{1,2}(/|$)"
 
 
 def url_parts(url: Column) -> Column:
-    """Struct of the five components; absent ones are empty strings."""
-    cols = [F.regexp_extract(url, _PARTS, i + 1).alias(f) for i, f in enumerate(_FIELDS)]
-    cols[0] = F.lower(cols[0]).alias("scheme")
-    return F.struct(*cols)
-
-
-def _assemble(scheme, netloc, path, query, fragment) -> Column:
-    def piece(before, text):
-        return F.when(text != "", F.concat(F.lit(before), text)).otherwise("")
-
-    rooted = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        piece("//", netloc),
-        rooted,
-        piece("?", query),
-        piece("#", fragment),
-    )
+    """Array of the five components; absent ones are empty strings."""
+    clean = F.replace(url, F.lit(_GAP), F.lit(""))
+    return F.split(F.regexp_replace(clean, _PARTS, _GAP.join(f"${i}" for i in range(1, 6))), _GAP, -1)
 
 
 def _push_segment(stack: Column, seg: Column) -> Column:
@@ -63,23 +50,29 @@ def join_url(base: Column, ref: Column) -> Column:
 
     def resolve(u):
         b, r = u["b"], u["r"]
-        folder = F.when(b["path"] == "", F.lit("/")).otherwise(F.regexp_replace(b["path"], "[^/]*$", ""))
-        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"]))
-        path = bind(merged, lambda p: F.when(p.rlike(_DOTS), remove_dot_segments(p)).otherwise(p))
-        query_only = _assemble(
-            b["scheme"], b["netloc"], b["path"],
-            F.when(r["query"] != "", r["query"]).otherwise(b["query"]), r["fragment"],
-        )
-        foreign = ((r["scheme"] != "") & (r["scheme"] != b["scheme"])) | ~b["scheme"].isin(*HIERARCHICAL)
-        return (
-            F.when(u["ref"] == "", u["base"])
-            .when((u["base"] == "") | foreign, u["ref"])
-            .when(r["netloc"] != "", _assemble(b["scheme"], r["netloc"], r["path"], r["query"], r["fragment"]))
-            .when(r["path"] == "", query_only)
-            .otherwise(_assemble(b["scheme"], b["netloc"], path, r["query"], r["fragment"]))
+        scheme, ref_scheme = F.lower(b[_SCHEME]), F.lower(r[_SCHEME])
+        foreign = ((ref_scheme != "") & (ref_scheme != scheme)) | ~scheme.isin(*HIERARCHICAL)
+        return F.when(u["ref"] == "", u["base"]).when((u["base"] == "") | foreign, u["ref"]).otherwise(assemble(b, r, scheme))
+
+    def assemble(b, r, scheme):
+        own_host, no_path = r[_NETLOC] != "", r[_PATH] == ""
+        netloc = F.when(own_host, r[_NETLOC]).otherwise(b[_NETLOC])
+        folder = F.when(b[_PATH] == "", F.lit("/")).otherwise(F.regexp_replace(b[_PATH], "[^/]*$", ""))
+        merged = F.when(r[_PATH].startswith("/"), r[_PATH]).otherwise(F.concat(folder, r[_PATH]))
+        path = F.when(own_host, r[_PATH]).when(no_path, b[_PATH]).otherwise(
+            bind(merged, lambda p: F.when(p.rlike(_DOTS), remove_dot_segments(p)).otherwise(p)))
+        query = F.when(~own_host & no_path & (r[_QUERY] == ""), b[_QUERY]).otherwise(r[_QUERY])
+        # Joining with nulls skipped drops the empty components.
+        return F.concat_ws(
+            "",
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))),
+            F.when(netloc != "", F.concat(F.lit("//"), netloc)),
+            bind(path, lambda p: F.when((netloc != "") & p.rlike(r"\A[^/]"), F.concat(F.lit("/"), p)).otherwise(p)),
+            F.when(query != "", F.concat(F.lit("?"), query)),
+            F.when(r[_FRAGMENT] != "", F.concat(F.lit("#"), r[_FRAGMENT])),
         )
 
-    clean = F.translate(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), "\t\r\n", "")
+    clean = F.translate(F.regexp_replace(ref, r"\A[\x00-\x20]+", ""), "\t\r\n", "")
     return bind(
         F.struct(base.alias("base"), ref.alias("ref"), url_parts(base).alias("b"), url_parts(clean).alias("r")),
         resolve,
@@ -91,7 +84,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
     t = strip(ref)
     return (
         F.when(ref.isNull() | (ref == ""), F.lit(None).cast("string"))
-        .when(t.startswith("//"), F.concat(url_parts(base)["scheme"], F.lit(":"), t))
+        .when(t.startswith("//"), F.concat(F.lower(F.regexp_extract(base, _PARTS, 1)), F.lit(":"), t))
         .when(t.startswith("http://") | t.startswith("https://"), t)
         .otherwise(join_url(base, t))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.arrays import bind, first_by_key, last_by_key
+from ..functions.arrays import bind
 from ..functions.urls import join_url, origin, resolve_url
 from .catalog import jvm_regex
 from .store import first_captured, first_per
@@ -51,13 +51,12 @@ def bundle_framework(script: Column, urls: Column | None = None) -> Column:
 
 def public_path(script: Column, base: Column) -> Column:
     """Where chunks are loaded from: as assigned in the bundle, else site root."""
-    assigned = F.regexp_extract(script, _PUBLIC_PATH, 1)
-    vite = F.regexp_extract(script, _VITE_BASE, 1)
-    return (
-        F.when(assigned.startswith("http"), assigned)
-        .when(assigned != "", join_url(base, assigned))
-        .when(vite != "", join_url(base, vite))
-        .otherwise(F.concat(origin(base), F.lit("/"))))
+    found = F.struct(
+        F.regexp_extract(script, _PUBLIC_PATH, 1).alias("webpack"), F.regexp_extract(script, _VITE_BASE, 1).alias("vite"))
+    return bind(found, lambda f: (
+        F.when((f["webpack"] == "") & (f["vite"] == ""), F.concat(origin(base), F.lit("/")))
+        .when(f["webpack"].startswith("http"), f["webpack"])
+        .otherwise(join_url(base, F.when(f["webpack"] != "", f["webpack"]).otherwise(f["vite"])))))
 
 
 def _map_entries(bodies: Column, entry: str) -> Column:
@@ -70,12 +69,16 @@ def _map_entries(bodies: Column, entry: str) -> Column:
 
 def _last_value_first_position(entries: Column) -> Column:
     """Map semantics: a repeated id keeps its place and takes the later name."""
-    def build(e):
-        firsts = first_by_key(e, "chunk_id")
-        lasts = F.map_from_entries(last_by_key(e, "chunk_id"))
-        return bind(lasts, lambda m: F.transform(firsts, lambda x: F.struct(
-            x["chunk_id"].alias("chunk_id"), F.element_at(m, x["chunk_id"]).alias("name"))))
-    return bind(entries, build)
+    rows = F.transform(entries, lambda x, i: F.struct(x["chunk_id"].alias("id"), i.alias("i"), x["name"].alias("name")))
+
+    def build(s):
+        firsts = F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["id"] != e["id"]))
+        lasts = F.filter(s, lambda e, j: (j == F.size(s) - 1) | (F.get(s, j + 1)["id"] != e["id"]))
+        placed = F.zip_with(firsts, lasts, lambda f, l: F.struct(f["i"], f["id"].alias("id"), l["name"].alias("name")))
+        return F.transform(
+            F.sort_array(placed), lambda e: F.struct(e["id"].alias("chunk_id"), e["name"].alias("name")))
+
+    return bind(F.sort_array(rows), build)
 
 
 def chunk_map(script: Column) -> Column:
@@ -94,32 +97,58 @@ def hash_map(script: Column) -> Column:
         _map_entries(F.regexp_extract_all(script, F.lit(_HASH_MAP), F.lit(1)), _HASH_ENTRY))
 
 
+def bundle_facts(assets: DataFrame, keys=("asset_key",), content="content", base="base_url") -> DataFrame:
+    """Everything chunk discovery needs from a bundle, without its text.
+
+    The operators below accept either bundles or these facts; work on many
+    bundles should extract the facts once and store them.
+    """
+    text = F.col(content)
+    return assets.select(
+        *keys, base,
+        bundle_framework(text).alias("framework"),
+        public_path(text, F.col(base)).alias("root"),
+        chunk_map(text).alias("chunk_entries"),
+        hash_map(text).alias("hash_entries"),
+        next_chunk_paths(text).alias("next_paths"),
+        next_manifest_url(text, F.col(base)).alias("manifest_url"),
+        vite_asset_urls(text, F.col(base)).alias("vite_urls"),
+    )
+
+
+def _fact(rows: DataFrame, name: str, compute) -> Column:
+    return F.col(name) if name in rows.columns else compute().alias(name)
+
+
 def webpack_chunk_map(assets: DataFrame, keys=("asset_key",), content="content") -> DataFrame:
-    return assets.select(*keys, F.posexplode(chunk_map(F.col(content))).alias("ord", "e")).select(
+    entries = _fact(assets, "chunk_entries", lambda: chunk_map(F.col(content)))
+    return assets.select(*keys, F.posexplode(entries).alias("ord", "e")).select(
         *keys, "ord", "e.chunk_id", F.col("e.name").alias("file"))
 
 
 def webpack_hash_map(assets: DataFrame, keys=("asset_key",), content="content") -> DataFrame:
-    return assets.select(*keys, F.posexplode(hash_map(F.col(content))).alias("ord", "e")).select(
+    entries = _fact(assets, "hash_entries", lambda: hash_map(F.col(content)))
+    return assets.select(*keys, F.posexplode(entries).alias("ord", "e")).select(
         *keys, "ord", "e.chunk_id", F.col("e.name").alias("chunk_hash"))
 
 
+def _rooted(assets, keys, content, base, name, compute) -> DataFrame:
+    return assets.select(
+        *dict.fromkeys([*keys, base]),
+        _fact(assets, "root", lambda: public_path(F.col(content), F.col(base))),
+        F.posexplode(_fact(assets, name, compute)).alias("ord", "e"))
+
+
 def webpack_chunk_refs(assets: DataFrame, keys=("asset_key",), content="content", base="base_url") -> DataFrame:
     """URLs of the chunk map, resolved against the public path, else the page."""
-    rows = assets.select(
-        *keys, base, public_path(F.col(content), F.col(base)).alias("__root"),
-        F.posexplode(chunk_map(F.col(content))).alias("ord", "e"))
-    url = join_url(F.col("__root"), F.col("e.name"))
-    return rows.select(
-        *keys, "ord", "e.chunk_id",
-        bind(url, lambda u: F.when(u.startswith("http"), u).otherwise(join_url(F.col(base), F.col("e.name")))).alias("url"))
+    rows = _rooted(assets, keys, content, base, "chunk_entries", lambda: chunk_map(F.col(content)))
+    start = F.when(F.col("root").startswith("http"), F.col("root")).otherwise(F.col(base))
+    return rows.select(*keys, "ord", "e.chunk_id", join_url(start, F.col("e.name")).alias("url"))
 
 
 def hash_chunk_candidates(assets: DataFrame, keys=("asset_key",), content="content", base="base_url") -> DataFrame:
     """Four ordered candidate URLs per hash map entry."""
-    rows = assets.select(
-        *keys, public_path(F.col(content), F.col(base)).alias("__root"),
-        F.posexplode(hash_map(F.col(content))).alias("ord", "e"))
+    rows = _rooted(assets, keys, content, base, "hash_entries", lambda: hash_map(F.col(content)))
     cid, digest = F.col("e.chunk_id"), F.col("e.name")
     names = F.array(
         F.concat(cid, F.lit("."), digest, F.lit(".chunk.js")),
@@ -127,9 +156,9 @@ def hash_chunk_candidates(assets: DataFrame, keys=("asset_key",), content="conte
         F.concat(F.lit("chunk."), cid, F.lit(".js")),
         F.concat(digest, F.lit(".chunk.js")))
     return rows.select(
-        *keys, "ord", cid.alias("chunk_id"), digest.alias("chunk_hash"), "__root",
+        *keys, "ord", cid.alias("chunk_id"), digest.alias("chunk_hash"), "root",
         F.posexplode(names).alias("candidate", "__name"),
-    ).withColumn("url", join_url(F.col("__root"), F.col("__name"))).drop("__root", "__name")
+    ).withColumn("url", join_url(F.col("root"), F.col("__name"))).drop("root", "__name")
 
 
 def hash_chunk_refs(candidates: DataFrame, inventory: DataFrame, keys=("asset_key",)) -> DataFrame:
@@ -137,11 +166,15 @@ def hash_chunk_refs(candidates: DataFrame, inventory: DataFrame, keys=("asset_ke
     return first_captured(candidates, inventory, [*keys, "chunk_id"], order="candidate")
 
 
+def next_chunk_paths(script: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(script, F.lit(_NEXT_CHUNK), F.lit(0)))
+
+
 def next_chunk_refs(assets: DataFrame, keys=("asset_key",), content="content", base="base_url") -> DataFrame:
     """Chunk paths in the text, on the page's origin."""
-    paths = F.regexp_extract_all(F.col(content), F.lit(_NEXT_CHUNK), F.lit(0))
-    rows = assets.select(*keys, origin(F.col(base)).alias("__site"), F.posexplode(F.array_distinct(paths)).alias("ord", "p"))
-    return rows.select(*keys, "ord", F.concat("__site", "p").alias("url"))
+    paths = _fact(assets, "next_paths", lambda: next_chunk_paths(F.col(content)))
+    rows = assets.select(*dict.fromkeys([*keys, base]), F.posexplode(paths).alias("ord", "p"))
+    return rows.select(*keys, "ord", F.concat(origin(F.col(base)), F.col("p")).alias("url"))
 
 
 def next_build_id(script: Column) -> Column:
@@ -166,7 +199,8 @@ def next_build_manifest_refs(
 ) -> DataFrame:
     wanted = assets.select(
         *keys, origin(F.col(base)).alias("__site"),
-        next_manifest_url(F.col(content), F.col(base)).alias("manifest_url")).filter("manifest_url is not null")
+        _fact(assets, "manifest_url", lambda: next_manifest_url(F.col(content), F.col(base))),
+    ).filter("manifest_url is not null")
     found = wanted.join(bodies.withColumnRenamed("url", "manifest_url"), "manifest_url")
     return found.select(*keys, F.posexplode(build_manifest_refs(F.col("body"), F.col("__site"))).alias("ord", "url"))
 
@@ -203,9 +237,13 @@ def vite_manifest_refs(assets: DataFrame, bodies: DataFrame, base="base_url") ->
     return first_per(rows.select("site", "entry", "pos", "c.url", "c.source"), ["site", "url"], ["entry", "pos"])
 
 
+def vite_asset_urls(script: Column, base: Column) -> Column:
+    refs = F.regexp_extract_all(script, F.lit(_VITE_ASSET), F.lit(1))
+    return F.array_distinct(F.transform(refs, lambda r: resolve_url(base, r)))
+
+
 def vite_asset_refs(assets: DataFrame, keys=("asset_key",), content="content", base="base_url") -> DataFrame:
-    refs = F.regexp_extract_all(F.col(content), F.lit(_VITE_ASSET), F.lit(1))
-    urls = F.array_distinct(F.transform(refs, lambda r: resolve_url(F.col(base), r)))
+    urls = _fact(assets, "vite_urls", lambda: vite_asset_urls(F.col(content), F.col(base)))
     return assets.select(*keys, F.posexplode(urls).alias("ord", "url"))
 
 

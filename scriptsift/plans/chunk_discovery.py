@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.urls import origin
 from ..operators import bundles
 from ..operators.store import captured_bodies, captured_urls, first_per
+from ..session import shared_folder, staged
 
 
-def discover_chunks(assets: DataFrame, responses: DataFrame, max_numbered: int = 1000) -> DataFrame:
+def discover_chunks(
+    assets: DataFrame, responses: DataFrame, max_numbered: int = 1000, folder: str | None = None
+) -> DataFrame:
     """Chunks reachable from bundles, once per (page, url).
 
     ``assets`` has asset_key, base_url (the page) and content.  The first bundle
-    naming a chunk becomes its parent.  What belongs to a site or a public path
-    rather than to one bundle is worked out once per site or path.
+    naming a chunk becomes its parent.  Texts are read once: what they say about
+    chunks is stored in the shared folder, and the eight ways of finding chunks
+    work on that.  What belongs to a site or a public path rather than to one
+    bundle is worked out once per site or path.
     """
     inventory, bodies = captured_urls(responses), captured_bodies(responses)
     keys = ("asset_key", "base_url")
-    labelled = assets.withColumn("framework", bundles.bundle_framework(F.col("content")))
+    folder = folder or shared_folder(assets.sparkSession, "chunks")
+    facts = staged(bundles.bundle_facts(assets, ("asset_key",)), f"{folder}/facts")
 
     def of(name):
-        return labelled.filter(F.col("framework") == name)
+        return facts.filter(F.col("framework") == name)
 
     def shaped(rows, framework, source, priority, chunk_id=None, chunk_hash=None):
         absent = F.lit(None).cast("string")
@@ -47,9 +53,7 @@ def discover_chunks(assets: DataFrame, responses: DataFrame, max_numbered: int =
 
     empty_handed = webpack.join(
         mapped.select("asset_key").unionByName(hashed.select("asset_key")).distinct(), "asset_key", "left_anti")
-    rooted = empty_handed.select(
-        *keys, bundles.public_path(F.col("content"), F.col("base_url")).alias("root"),
-    ).groupBy("base_url", "root").agg(F.min("asset_key").alias("asset_key"))
+    rooted = empty_handed.groupBy("base_url", "root").agg(F.min("asset_key").alias("asset_key"))
     numbered = rooted.join(
         bundles.numbered_chunks(rooted.select("root").distinct(), inventory, max_numbered), "root",
     ).withColumn("ord", F.col("chunk_id").cast("int"))

@@ -13,7 +13,7 @@ from ..operators.pages import inline_scripts, page_script_urls
 from ..operators.reflow import best_content, reflow_minified
 from ..operators.scan import scan_once_per_hash, scan_patterns
 from ..operators.store import captured_bodies, persistable_findings
-from ..session import shared_folder
+from ..session import shared_folder, staged
 from .chunk_discovery import discover_chunks
 
 
@@ -25,13 +25,6 @@ class SiteScan:
     findings: DataFrame
 
 
-def _staged(rows: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write an intermediate table that several later steps read."""
-    path = f"{folder}/{name}"
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def scan_site(
     spark: SparkSession,
     pages: DataFrame,
@@ -56,20 +49,20 @@ def scan_site(
     wanted = urls.groupBy(F.col("ref_url").alias("asset_url")).agg(F.min("url").alias("base_url"))
     external = wanted.join(bodies.withColumnRenamed("url", "asset_url"), "asset_url").select(
         "asset_url", "base_url", F.col("body").alias("content"), F.lit("javascript").alias("asset_type"))
-    external = _staged(external, folder, "external")
+    external = staged(external, f"{folder}/external")
 
     keyed = external.withColumn("asset_key", F.col("asset_url"))
-    chunks = _staged(discover_chunks(keyed, responses), folder, "chunks")
+    chunks = staged(discover_chunks(keyed, responses, folder=folder), f"{folder}/chunks")
     loaded = chunks.join(
         external.select(F.col("asset_url").alias("url")), "url", "left_anti",
     ).groupBy("url").agg(F.min("base_url").alias("base_url")).join(bodies, "url").select(
         F.col("url").alias("asset_url"), "base_url", F.col("body").alias("content"), F.lit("chunk").alias("asset_type"))
-    scripts = _staged(external.unionByName(loaded), folder, "scripts")
+    scripts = staged(external.unionByName(loaded), f"{folder}/scripts")
 
     located = sourcemaps.locate_sourcemaps(
         scripts, bodies.select("url"), ("asset_url",), "asset_url", probe=False)
     maps = sourcemaps.load_sourcemaps(located, bodies, ("asset_url",))
-    source_files = _staged(sourcemaps.explode_sources(maps, bodies, ("asset_url",)), folder, "source_files")
+    source_files = staged(sourcemaps.explode_sources(maps, bodies, ("asset_url",)), f"{folder}/source_files")
     recovered = sourcemaps.combined_sources(source_files, ("asset_url",))
 
     text = F.col("content")
@@ -81,4 +74,4 @@ def scan_site(
     everything = best.unionByName(inline)
     scan = scan_once_per_hash if once_per_hash else scan_patterns
     findings = persistable_findings(scan(everything, ("asset_url",), **options), ("asset_url",))
-    return SiteScan(scripts, chunks, source_files, _staged(findings, folder, "findings"))
+    return SiteScan(scripts, chunks, source_files, staged(findings, f"{folder}/findings"))
