@@ -51,7 +51,8 @@ def write_report(projects: DataFrame, assets: DataFrame, findings_with_url: Data
     """The report as three JSON data sets, assets and findings by project."""
     report_projects(projects).write.mode("overwrite").json(f"{path}/projects")
     for name, rows in (("assets", report_assets(assets)), ("findings", report_findings(findings_with_url))):
-        rows.write.mode("overwrite").partitionBy("project_id").json(f"{path}/{name}")
+        # Rebalancing groups small projects into few files and splits large ones.
+        rows.hint("rebalance", "project_id").write.mode("overwrite").partitionBy("project_id").json(f"{path}/{name}")
 
 
 def sources_export(source_files: DataFrame, keys=("asset_key",)) -> DataFrame:

@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import bundle_queries, page_queries, scan_queries, sourcemap_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    bundle_queries, page_queries, scan_queries, sourcemap_queries, store_queries, stream_queries, text_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -253,7 +253,7 @@ SITE_PAGES = Derived("customer", (
 
 # Responses of a live capture: many copies, several kinds, some failures.
 RESPONSES = Derived("events", (
-    keyed("event_id", ("ts", "ts"), ("u", "user_id"), ("t", "event_type")),
+    keyed("event_id", ("ts", "cast(ts as timestamp)"), ("u", "user_id"), ("t", "event_type")),
     (
         *keep("k", "ts", "t"),
         ("b", "CASE WHEN k % 3 = 0 THEN 0 ELSE k % 700 END"),
