@@ -17,7 +17,8 @@ _GAP = "\ufdd3"
 # Schemes whose references may be relative to a base of the same scheme.
 HIERARCHICAL = ("", "http", "https", "ftp", "file", "ws", "wss", "sftp", "svn", "svn+ssh", "rtsp", "gopher")
 
-_DOTS = r"/\.{0,2}/|/\.{1,2}$|^\.{1,2}(/|$)"
+# Paths that need work: dot segments anywhere, or empty segments.
+_DOTS = r"(?:\A|/)\.{1,2}(?:/|\z)|//"
 
 
 def url_parts(url: Column) -> Column:
@@ -34,15 +35,19 @@ def _push_segment(stack: Column, seg: Column) -> Column:
     )
 
 
-def remove_dot_segments(path: Column) -> Column:
-    """Collapse ``.``, ``..`` and empty inner segments of an absolute path."""
+def remove_dot_segments(path: Column, merged: Column) -> Column:
+    """Collapse ``.`` and ``..``; a path merged with its base loses empty inner
+    segments too."""
     # The stack is a string whose every entry carries a leading slash, so a pop
     # is one suffix removal and an empty stack absorbs surplus "..".
-    segs = F.split(path, "/", -1)
-    kept = bind(segs, lambda s: F.filter(s, lambda x, i: (x != "") | (i == 0) | (i == F.size(s) - 1)))
-    folded = F.aggregate(kept, F.lit(""), _push_segment)
-    closed = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.lit("/"))).otherwise(folded)
-    return F.coalesce(F.nullif(F.substring(closed, 2, 1 << 30), F.lit("")), F.lit("/"))
+    def fold(segs):
+        kept = F.when(merged, F.filter(
+            segs, lambda x, i: (x != "") | (i == 0) | (i == F.size(segs) - 1))).otherwise(segs)
+        folded = F.aggregate(kept, F.lit(""), _push_segment)
+        closed = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(folded, F.lit("/"))).otherwise(folded)
+        return F.coalesce(F.nullif(F.substring(closed, 2, 1 << 30), F.lit("")), F.lit("/"))
+
+    return bind(F.split(path, "/", -1), fold)
 
 
 def join_url(base: Column, ref: Column) -> Column:
@@ -58,9 +63,10 @@ def join_url(base: Column, ref: Column) -> Column:
         own_host, no_path = r[_NETLOC] != "", r[_PATH] == ""
         netloc = F.when(own_host, r[_NETLOC]).otherwise(b[_NETLOC])
         folder = F.when(b[_PATH] == "", F.lit("/")).otherwise(F.regexp_replace(b[_PATH], "[^/]*$", ""))
-        merged = F.when(r[_PATH].startswith("/"), r[_PATH]).otherwise(F.concat(folder, r[_PATH]))
+        relative = ~r[_PATH].startswith("/")
+        merged = F.when(relative, F.concat(folder, r[_PATH])).otherwise(r[_PATH])
         path = F.when(own_host, r[_PATH]).when(no_path, b[_PATH]).otherwise(
-            bind(merged, lambda p: F.when(p.rlike(_DOTS), remove_dot_segments(p)).otherwise(p)))
+            bind(merged, lambda p: F.when(p.rlike(_DOTS), remove_dot_segments(p, relative)).otherwise(p)))
         query = F.when(~own_host & no_path & (r[_QUERY] == ""), b[_QUERY]).otherwise(r[_QUERY])
         # Joining with nulls skipped drops the empty components.
         return F.concat_ws(

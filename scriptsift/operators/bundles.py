@@ -36,7 +36,9 @@ NEXT_STANDARD_CHUNKS = (
     "/_next/static/chunks/polyfills.js",
 )
 VITE_MANIFESTS = ("/.vite/manifest.json", "/manifest.json", "/assets/manifest.json")
-VITE_MANIFEST_SCHEMA = "map<string,struct<file:string,imports:array<string>>>"
+# Entries are parsed one by one: an entry that is no object is skipped.
+VITE_MANIFEST_SCHEMA = "map<string,string>"
+VITE_ENTRY_SCHEMA = "file string, imports array<string>"
 MAX_MISSES = 10
 
 
@@ -221,7 +223,8 @@ def vite_manifest_refs(assets: DataFrame, bodies: DataFrame, base="base_url") ->
         "site", "place", "body", F.from_json("body", VITE_MANIFEST_SCHEMA).alias("manifest"))
     first = first_per(parsed.filter("manifest is not null").select("site", "place", "body"), ["site"], ["place"])
     entries = first.select("site", F.posexplode(
-        F.map_values(F.from_json("body", VITE_MANIFEST_SCHEMA))).alias("entry", "e"))
+        F.map_values(F.from_json("body", VITE_MANIFEST_SCHEMA))).alias("entry", "__e")).select(
+        "site", "entry", F.from_json("__e", VITE_ENTRY_SCHEMA).alias("e"))
 
     def chunk(name, how):
         return F.struct(

@@ -34,9 +34,9 @@ _CALL = (
     r"""(?U)(?:fetch|axios(?:\.\w+)?|XMLHttpRequest|http(?:Client)?\.(?:get|post|put|delete|patch))"""
     r"""[\s\x1c-\x1f]*\([\s\x1c-\x1f]*["`]([^"'`]{4,})["`]"""
 )
-_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
+_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(?![a-zA-Z0-9\-])"
 _HOST = (
-    rf"""(?dmU)(?:^|["'\s\x1c-\x1f(=])({_LABEL}(?:\.{_LABEL})*+)(?=["'\s\x1c-\x1f),;]|$)"""
+    rf"""(?dmU)(?:^|["'\s\x1c-\x1f(=])({_LABEL}(?:\.{_LABEL})*+(?:\.[a-zA-Z]{{2,}})?+)(?=["'\s\x1c-\x1f),;]|$)"""
 )
 ASSET_SUFFIXES = (".js", ".css", ".png", ".jpg", ".gif")
 

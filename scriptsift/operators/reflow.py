@@ -10,8 +10,8 @@ from ..functions.text import first_non_empty, is_minified
 # Comments and strings pass through whole; the loops are possessive.
 _PIECES = (
     r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*"
-    r"""|"(?:[^"\\]|\\.)*+(?:"|\z)|'(?:[^'\\]|\\.)*+(?:'|\z)|`(?:[^`\\]|\\.)*+(?:`|\z)"""
-    r"|[{};,]|[^{};,\"'`/]+|/"
+    r"""|"(?:[^"\\]|\\.)*+(?:"|\\?\z)|'(?:[^'\\]|\\.)*+(?:'|\\?\z)|`(?:[^`\\]|\\.)*+(?:`|\\?\z)"""
+    r"|[{};,]|[^{};,\"'`/]+|."
 )
 
 

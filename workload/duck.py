@@ -100,7 +100,7 @@ SELECT {keep}, CASE
 FROM (SELECT *, CASE WHEN list_reduce(list_prepend('', kept), lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END) IN ('', '/') AND segs[-1] NOT IN ('.', '..')
         THEN '/' ELSE substr(list_reduce(list_prepend('', kept), lambda a, s: CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END)
           || CASE WHEN segs[-1] IN ('.', '..') THEN '/' ELSE '' END, 2) END AS path
-  FROM (SELECT *, list_filter(segs, lambda x, i: x <> '' OR i = 1 OR i = len(segs)) AS kept
+  FROM (SELECT *, CASE WHEN rp LIKE '/%' THEN segs ELSE list_filter(segs, lambda x, i: x <> '' OR i = 1 OR i = len(segs)) END AS kept
     FROM (SELECT *, string_split(CASE WHEN rp LIKE '/%' THEN rp WHEN bp = '' THEN '/'||rp ELSE regexp_replace(bp, '[^/]*$', '')||rp END, '/') AS segs
       FROM (SELECT *, {fields} FROM (SELECT *, {base} AS b0, {ref} AS r00, ltrim({ref}) AS r0 FROM {source}))))))"""
 
