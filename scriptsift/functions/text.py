@@ -10,7 +10,7 @@ from .arrays import bind
 # White space as the detectors understand it: Unicode white space plus the four
 # ASCII separators, which the JVM leaves out of \s.
 SPACE = r"[\s\x1c-\x1f]"
-_EDGE = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+EDGE_SPACE = rf"(?U)\A{SPACE}+|{SPACE}+\z"
 _ANY_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 MINIFIED_MEAN_LINE = 200
 
@@ -26,17 +26,13 @@ CAPS = {
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE, "")
+    return F.regexp_replace(text, EDGE_SPACE, "")
 
 
 def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
-def lf_lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
 def any_lines(text: Column) -> Column:
     """Lines at every kind of line break; a final break opens no new line."""
     lines = F.split(text, _ANY_BREAK, -1)

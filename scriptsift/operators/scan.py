@@ -2,12 +2,16 @@
 
 Shape of the plan for one input row::
 
-    text ─► cheap literal tests ─► explode(detectors that can match)
-         ─► one regexp_extract_all ─► lines, context ─► inline(findings)
+    text ─► cheap literal tests: the detectors that can match
+         ─► per such detector one pass over the text: values, lines, context
+         ─► inline(findings)
 
 The scan is row local.  It needs no shuffle, the text never leaves the task
 that read it, and the plan does not grow with the number of matches.  Only
 findings (value, line, at most a few lines of context) flow downstream.
+
+The row expression is composed as SQL text: as thousands of separate column
+objects it would cost seconds on the driver.
 """
 
 from __future__ import annotations
@@ -17,8 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bind, first_by_key
-from ..functions.text import any_lines, content_hash, is_blank, lf_lines, strip
+from ..functions.text import EDGE_SPACE, any_lines, content_hash, is_blank
 from .catalog import Detector, detector_regex, select_detectors
 from .extract import string_literals
 
@@ -45,122 +48,140 @@ def _quoted(literal: str) -> str:
     return "'" + literal.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _can_match(d: Detector) -> str:
+def _has(subject: str, group) -> str:
+    return "(" + " OR ".join(f"contains({subject}, {_quoted(lit)})" for lit in group) + ")"
+
+
+def _is_caseless(group) -> bool:
+    """Groups without letters read the same in the lower-cased text."""
+    return not any(c.isalpha() for lit in group for c in lit)
+
+
+def _shared_groups(detectors) -> dict:
+    """Literal groups of more than one detector, with the column they get."""
+    uses = Counter(g for d in detectors for g in set(d.required) if not d.ignores_case or _is_caseless(g))
+    return {g: f"__g{i}" for i, g in enumerate(g for g, n in uses.items() if n > 1)}
+
+
+def _can_match(d: Detector, shared: dict) -> str:
     """Necessary condition for a match, from literals alone."""
-    subject = "__lower" if d.ignores_case else "__text"
     if not d.required:
         return "NOT __blank"
+    subject = "__lower" if d.ignores_case else "__text"
     test = " AND ".join(
-        "(" + " OR ".join(f"contains({subject}, {_quoted(lit)})" for lit in group) + ")" for group in d.required)
+        shared[g] if g in shared and (not d.ignores_case or _is_caseless(g)) else _has(subject, g) for g in d.required)
     return f"({test}) OR __folding" if d.ignores_case else test
 
 
-def _label(d: Detector, ord_: int) -> str:
-    return (
-        f"named_struct('finding_type', {_quoted(d.finding_type)}, 'category', {_quoted(d.category)}, "
-        f"'confidence', {_quoted(d.confidence)}, 'severity', {_quoted(d.severity)}, "
-        f"'pattern_name', {_quoted(d.name)}, 'p_ord', {ord_})")
+def _candidates(detectors, shared: dict, prefilter: bool) -> Column:
+    """Indexes of the detectors worth running on a row."""
+    arms = [
+        f"CASE WHEN {_can_match(d, shared) if prefilter else 'NOT __blank'} THEN {i} ELSE -1 END"
+        for i, d in enumerate(detectors)]
+    return F.expr(f"array_remove(array({', '.join(arms)}), -1)")
 
 
-def _candidates(detectors, first_ord: int, prefilter: bool) -> Column:
-    """Labels of the detectors worth running on a row, nulls for the others.
+def _switch(name: str, arms, first: int = 0) -> str:
+    """SQL: the arm ``name`` points at, found by halving."""
+    if len(arms) == 1:
+        return arms[0]
+    half = len(arms) // 2
+    return (f"CASE WHEN {name} < {first + half} THEN {_switch(name, arms[:half], first)} "
+            f"ELSE {_switch(name, arms[half:], first + half)} END")
 
-    Written as one expression string: thousands of separate column objects
-    would cost seconds on the driver.
-    """
-    arms = []
-    for i, d in enumerate(detectors):
-        label = _label(d, first_ord + i)
-        test = _can_match(d) if prefilter else "NOT __blank"
-        arms.append(f"CASE WHEN {test} THEN {label} END")
-    return F.expr(f"array({', '.join(arms)})")
 
+def _labels(detectors, first_ord: int) -> Column:
+    """Catalog rows of the pass as one constant array."""
+    rows = ", ".join(
+        f"named_struct('finding_type', {_quoted(d.finding_type)}, 'category', {_quoted(d.category)}, "
+        f"'confidence', {_quoted(d.confidence)}, 'severity', {_quoted(d.severity)}, "
+        f"'pattern_name', {_quoted(d.name)}, 'p_ord', {first_ord + i})"
+        for i, d in enumerate(detectors))
+    return F.expr(f"get(array({rows}), __i)")
 
-def _by_detector(detectors, first_ord: int, call) -> Column:
-    """``call(quoted regex, detector)`` of the row's detector.
 
-    Every arm has a constant expression, so each is compiled once per task
-    however the detectors alternate from row to row.
-    """
-    arms = " ".join(
-        f"WHEN {first_ord + i} THEN {call(_quoted(detector_regex(d)), d)}" for i, d in enumerate(detectors))
-    return F.expr(f"CASE __d.p_ord {arms} END")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: evaluate ``value`` once and use it as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def match_context(lines: Column, line_number: Column, n: int) -> Column:
-    """The line and its ``n`` neighbours on either side, clipped to the text."""
-    first = F.greatest(line_number - n, F.lit(1))
-    return F.array_join(F.slice(lines, first, line_number + n - first + 1), "\n")
+# With few matches a running sum of line feeds gives their lines; its cost is
+# quadratic in the matches, so many matches take the way that is linear in the
+# lines of the text.
+_FEW = 64
 
 
-def _row_findings(marked, regex, group, text, odd, context_lines, deduplicate, split_lines) -> Column:
-    """Array of (value, m_ord, line_number, context) of one detector on one text.
+def _row_findings(detectors, context_lines: int, deduplicate: bool, compat: bool) -> Column:
+    """Array of (i, value, m_ord, line_number, context) of one text.
 
-    ``marked`` is the text with each match preceded by mark, value, end: one
-    pass of the detector gives values and places.  Cut at the marks it yields
-    the values; cut into lines, each line yields its number once per mark.  All
-    of it is linear in the text, however many matches there are.
+    A detector's pass marks each match with mark, value, end.  Cut at the marks,
+    the result yields values and places at once.
     """
-    empty = F.expr("cast(array() as array<struct<value:string,m_ord:int,line_number:int,context:string>>)")
-    nothing = F.lit("")
-
-    def build(pieces):
-        tails = F.slice(pieces, 2, F.size(pieces) - 1)
-        values = F.when(odd, F.regexp_extract_all(text, regex, group)).otherwise(
-            F.transform(tails, lambda p: F.substring_index(p, _END, 1)))
-        bare = F.concat(F.array(pieces.getItem(0)), F.transform(tails, lambda p: F.split_part(p, F.lit(_END), F.lit(2))))
-        return bind(F.split(F.array_join(bare, _MARK), "\n", -1), lambda lines: place(values, lines))
-
-    def place(values, lines):
-        at = F.flatten(F.transform(lines, lambda l, i: F.array_repeat(
-            i + 1, F.length(l) - F.length(F.replace(l, F.lit(_MARK), nothing)))))
-        found = bind(at, lambda at: F.filter(
-            F.transform(values, lambda v, i: F.struct(
-                strip(v).alias("value"), i.alias("m_ord"), F.get(at, i).alias("line_number"))),
-            lambda f: F.length(f["value"]) >= MIN_VALUE_LENGTH,
-        ))
-        kept = first_by_key(found, "value") if deduplicate else found
-        if split_lines is not None:
-            shown = bind(split_lines(text), lambda ls: contexts(kept, ls))
-        else:
-            shown = bind(F.when(odd, lf_lines(text)).otherwise(lines), lambda ls: contexts(kept, ls))
-        return shown
-
-    def contexts(kept, lines):
-        return F.transform(kept, lambda f: F.struct(
-            f["value"].alias("value"), f["m_ord"].alias("m_ord"), f["line_number"].alias("line_number"),
-            F.when(odd, match_context(lines, f["line_number"], context_lines)).otherwise(F.replace(
-                match_context(lines, f["line_number"], context_lines), F.lit(_MARK), nothing)).alias("context")))
-
-    return bind(marked, lambda m: F.when(
-        F.contains(m, F.lit(_MARK)), bind(F.split(m, _MARK, -1), build)).otherwise(empty))
-
-
-def _scan_pass(texts, keys, content, detectors, first_ord, context_lines, deduplicate, split_lines, prefilter):
+    n = context_lines
+    clean = f"CASE WHEN __odd THEN translate(__text, '{_MARK}{_END}', '{_STAND_IN}{_STAND_IN}') ELSE __text END"
+    marked = _switch("d", [
+        f"regexp_replace({clean}, {_quoted(detector_regex(d))}, '{_MARK}${d.value_group}{_END}$0')" for d in detectors])
+    # Values of a text that holds the marks itself are extracted in a second pass.
+    regexes = ", ".join(_quoted(detector_regex(d)) for d in detectors)
+    groups = ", ".join(str(d.value_group) for d in detectors)
+    values = (
+        f"CASE WHEN __odd THEN regexp_extract_all(__text, get(array({regexes}), d), get(array({groups}), d)) "
+        f"ELSE transform(slice(ps, 2, size(ps) - 1), p -> substring_index(p, '{_END}', 1)) END")
+    bare = f"transform(ps, (p, i) -> CASE WHEN i = 0 THEN p ELSE split_part(p, '{_END}', 2) END)"
+    few = (
+        "aggregate(slice(bs, 1, size(bs) - 1), cast(array() as array<int>), (a, p) -> "
+        r"array_append(a, coalesce(get(a, size(a) - 1), 1) + length(p) - length(replace(p, '\n', ''))))")
+    many = (
+        rf"flatten(transform(split(array_join(bs, '{_MARK}'), '\n', -1), (l, i) -> "
+        f"array_repeat(i + 1, length(l) - length(replace(l, '{_MARK}', '')))))")
+    at = _let("bs", bare, f"CASE WHEN size(bs) <= {_FEW + 1} THEN {few} ELSE {many} END")
+    strip_ = f"regexp_replace(v, {_quoted(EDGE_SPACE)}, '')"
+    found = _let("at", at, (
+        f"filter(transform({values}, (v, i) -> named_struct('value', {strip_}, 'm_ord', i, 'line_number', get(at, i))), "
+        f"f -> length(f.value) >= {MIN_VALUE_LENGTH})"))
+    if deduplicate:
+        # Sorted by value, then position: the first of each value stays.
+        found = _let("fs", f"sort_array({found})", (
+            "CASE WHEN size(fs) < 2 THEN fs ELSE filter(fs, (f, i) -> i = 0 OR f.value <> get(fs, i - 1).value) END"))
+    shown = (
+        f"transform({found}, f -> named_struct('__i', d, 'value', f.value, 'm_ord', f.m_ord, 'line_number', f.line_number, "
+        f"'context', array_join(slice(ls, greatest(f.line_number - {n}, 1), "
+        rf"f.line_number + {n} - greatest(f.line_number - {n}, 1) + 1), '\n')))")
+    nothing = "cast(array() as array<struct<__i:int,value:string,m_ord:int,line_number:int,context:string>>)"
+    of_detector = _let("m", marked, (
+        f"CASE WHEN contains(m, '{_MARK}') THEN {_let('ps', f'split(m, {_quoted(_MARK)}, -1)', shown)} ELSE {nothing} END"))
+    lines = "__lines" if compat else r"split(__text, '\n', -1)"
+    of_text = _let("ls", lines, f"flatten(transform(__run, d -> {of_detector}))")
+    return F.expr(f"CASE WHEN size(__run) > 0 THEN {of_text} ELSE {nothing} END")
+
+
+def _scan_pass(texts, keys, content, detectors, first_ord, context_lines, deduplicate, compat, prefilter):
     text = F.col("__text")
     # Blank texts drop out with their candidates: a filter here would make the
     # optimizer compute a derived text twice.
     src = texts.select(*keys, F.col(content).alias("__text")).withColumns({
-        "__blank": is_blank(text), "__odd": text.contains(_MARK) | text.contains(_END)})
+        "__blank": is_blank(text), "__wide": F.octet_length(text) > F.length(text)})
+    rare = {"__odd": F.col("__wide") & (text.contains(_MARK) | text.contains(_END))}
+    shared = _shared_groups(detectors) if prefilter else {}
+    rare.update({name: F.expr(_has("__text", group)) for group, name in shared.items()})
     if prefilter and any(d.ignores_case for d in detectors):
         folding = F.lit(False)
         for letter in _FOLDING:
             folding = folding | text.contains(letter)
-        src = src.withColumns({"__lower": F.lower(text), "__folding": folding})
-    clean = f"CASE WHEN __odd THEN translate(__text, '{_MARK}{_END}', '{_STAND_IN}{_STAND_IN}') ELSE __text END"
-    marked = _by_detector(
-        detectors, first_ord,
-        lambda rx, d: f"regexp_replace({clean}, {rx}, '{_MARK}${d.value_group}{_END}$0')")
-    regex = _by_detector(detectors, first_ord, lambda rx, d: rx)
-    group = _by_detector(detectors, first_ord, lambda rx, d: d.value_group)
+        rare.update({"__lower": F.lower(text), "__folding": F.col("__wide") & folding})
+    src = src.withColumns(rare)
+    extra = [any_lines(text).alias("__lines")] if compat else []
+    label = F.col("__d")
     return (
-        src.select(*keys, "__text", "__odd", F.explode(_candidates(detectors, first_ord, prefilter)).alias("__d"))
-        .filter("__d is not null")
-        .select(*keys, "__d", F.inline(_row_findings(
-            marked, regex, group, text, F.col("__odd"), context_lines, deduplicate, split_lines)))
+        src.select(
+            *keys, "__text", "__odd", _candidates(detectors, shared, prefilter).alias("__run"), *extra)
+        .select(*keys, F.inline(_row_findings(detectors, context_lines, deduplicate, compat)))
+        .withColumn("__d", _labels(detectors, first_ord))
         .select(
-            *keys, "__d.finding_type", "__d.category", "value", "context", "line_number",
-            "__d.confidence", "__d.severity", "__d.pattern_name", "__d.p_ord", "m_ord")
+            *keys, label["finding_type"].alias("finding_type"), label["category"].alias("category"),
+            "value", "context", "line_number", label["confidence"].alias("confidence"),
+            label["severity"].alias("severity"), label["pattern_name"].alias("pattern_name"),
+            label["p_ord"].alias("p_ord"), "m_ord")
     )
 
 
@@ -189,12 +210,11 @@ def scan_patterns(
         return chosen_schema.selectExpr(
             *keys, "'' finding_type", "'' category", "'' value", "'' context", "1 line_number",
             "'' confidence", "'' severity", "'' pattern_name", "0 p_ord", "0 m_ord")
-    split_lines = any_lines if compat else None
     out = None
     for start in range(0, len(chosen), DETECTORS_PER_PASS):
         part = _scan_pass(
             texts, keys, content, chosen[start:start + DETECTORS_PER_PASS], start,
-            context_lines, deduplicate, split_lines, prefilter)
+            context_lines, deduplicate, compat, prefilter)
         out = part if out is None else out.unionByName(part)
     labels = Counter((d.finding_type, d.category) for d in chosen)
     if deduplicate and max(labels.values()) > 1:

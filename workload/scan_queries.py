@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptsift.operators import catalog, extract, listing, rollups, scan, store
 from scriptsift.operators.detectors import SEVERITIES
 from scriptsift.plans.file_analysis import analyze_texts
+from scriptsift.sources.readers import spread
 
 from .corpus import BUNDLES, SITE_PAGES
 from .duck import RANK, findings_by_line, lit, matches_by_line, matches_in_text
@@ -126,7 +127,7 @@ def scan_selected_categories(spark, sf):
 WITH {matches_in_text('documents', 'doc_id', content='text')}
 SELECT DISTINCT doc_id, pattern_name, v AS value FROM m""")
 def scan_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     return scan.scan_patterns(docs, ("doc_id",), "text").select("doc_id", "pattern_name", "value")
 
 
@@ -134,7 +135,7 @@ def scan_documents(spark, sf):
 WITH {matches_in_text('conversations', 'conv_id, turn', content='text')}
 SELECT pattern_name, count(DISTINCT (conv_id, turn, v)) AS n FROM m GROUP BY pattern_name""")
 def scan_conversations(spark, sf):
-    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns = spread(spark.read.parquet(f"{sf}/conversations.parquet"))
     found = scan.scan_patterns(turns, ("conv_id", "turn"), "text")
     return found.groupBy("pattern_name").agg(F.countDistinct("conv_id", "turn", "value").alias("n"))
 
