@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,12 @@ def first_by_key(items: Column, key: str) -> Column:
 
     return bind(items, lambda all_items: F.when(F.size(all_items) < 2, all_items).otherwise(dedupe(all_items)))
 
+
+
+def with_known(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column and drop the rows where it is null, computing it once.
+
+    A filter on a computed column is pushed below the projection, which makes
+    an expensive expression run twice; a generator stops that.
+    """
+    return rows.select("*", F.explode(F.array_compact(F.array(value))).alias(name))

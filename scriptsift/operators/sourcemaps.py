@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bind
+from ..functions.arrays import bind, with_known
 from ..functions.text import strip
 from ..functions.urls import join_url
+from ..session import shared_folder, staged
 from .catalog import jvm_regex
 from .store import first_captured
 
@@ -27,8 +28,7 @@ def sourcemap_url(script: Column, url: Column) -> Column:
 
 
 def assets_with_sourcemap(assets: DataFrame, url="url", content="content") -> DataFrame:
-    found = assets.withColumn("sourcemap_url", sourcemap_url(F.col(content), F.col(url)))
-    return found.filter(F.col("sourcemap_url").isNotNull())
+    return with_known(assets, "sourcemap_url", sourcemap_url(F.col(content), F.col(url)))
 
 
 def sourcemap_candidates(assets: DataFrame, keys=("asset_key",), url="url") -> DataFrame:
@@ -45,11 +45,11 @@ def locate_sourcemaps(
 ) -> DataFrame:
     """(keys, map_url): the announced map, else the first captured candidate."""
     keys = list(keys)
-    named = assets.select(*keys, url, sourcemap_url(F.col(content), F.col(url)).alias("map_url"))
-    announced = named.filter("map_url is not null").select(*keys, "map_url")
+    named = sourcemap_url(F.col(content), F.col(url))
+    announced = with_known(assets, "map_url", named).select(*keys, "map_url")
     if not probe:
         return announced
-    silent = named.filter("map_url is null")
+    silent = assets.filter(named.isNull())
     guessed = first_captured(sourcemap_candidates(silent, keys, url), inventory, keys, url="map_url")
     return announced.unionByName(guessed.select(*keys, "map_url"))
 
@@ -65,10 +65,13 @@ def data_uri_body(map_url: Column) -> Column:
 def load_sourcemaps(located: DataFrame, bodies: DataFrame, keys=("asset_key",)) -> DataFrame:
     """Parsed maps; unreadable ones drop out."""
     keys = list(keys)
-    inline = located.filter(F.col("map_url").startswith(_DATA)).withColumn("body", data_uri_body(F.col("map_url")))
-    remote = located.filter(~F.col("map_url").startswith(_DATA)).join(bodies.withColumnRenamed("url", "map_url"), "map_url")
+    is_data = F.col("map_url").startswith(_DATA)
+    inline = with_known(located.filter(is_data), "body", data_uri_body(F.col("map_url")))
+    remote = located.filter(~is_data).join(bodies.withColumnRenamed("url", "map_url"), "map_url")
     both = inline.select(*keys, "map_url", "body").unionByName(remote.select(*keys, "map_url", "body"))
-    return both.withColumn("map", F.from_json("body", MAP_SCHEMA)).drop("body").filter("map.sources is not null")
+    parsed = F.from_json("body", MAP_SCHEMA)
+    readable = bind(parsed, lambda m: F.when(m["sources"].isNotNull(), m))
+    return with_known(both, "map", readable).drop("body")
 
 
 def clean_source_name(path: Column) -> Column:
@@ -97,11 +100,14 @@ def _rooted(root: Column, path: Column) -> Column:
     ).otherwise(join_url(folder, F.ltrim(path, F.lit("/"))))
 
 
-def explode_sources(maps: DataFrame, bodies: DataFrame | None = None, keys=("asset_key",)) -> DataFrame:
+def explode_sources(
+    maps: DataFrame, bodies: DataFrame | None = None, keys=("asset_key",), folder: str | None = None
+) -> DataFrame:
     """One row per original file: position, display name, URL if any, content.
 
     Content comes from the map; files it leaves out are looked up among the
-    captured bodies.
+    captured bodies.  For that the rows are stored first: only files without
+    content then take part in the join, and no map is parsed twice.
     """
     keys = list(keys)
     rows = maps.select(*keys, "map_url", "map", F.posexplode("map.sources").alias("pos", "__path"))
@@ -109,17 +115,18 @@ def explode_sources(maps: DataFrame, bodies: DataFrame | None = None, keys=("ass
         *keys, "map_url", "pos", _rooted(F.col("map.sourceRoot"), F.col("__path")).alias("path"),
         F.coalesce(F.get(F.col("map.sourcesContent"), F.col("pos")), F.lit("")).alias("content"))
     rows = rows.select(
-        *keys, "map_url", "pos", clean_source_name(F.col("path")).alias("name"),
+        *keys, F.when(F.col("map_url").startswith(_DATA), _DATA).otherwise(F.col("map_url")).alias("map_url"), "pos",
+        clean_source_name(F.col("path")).alias("name"),
         F.when(F.col("path").startswith("http"), F.col("path")).alias("source_url"), "content")
     if bodies is None:
         return rows
-    missing = (F.col("content") == "") & F.col("source_url").rlike(r"\Ahttps?://")
-    # Only files without content take part in the join, so texts already here
-    # are not shuffled.
+    folder = folder or shared_folder(maps.sparkSession, "sources")
+    rows = staged(rows, f"{folder}/source_rows")
+    missing = (F.col("content") == "") & F.coalesce(F.col("source_url").rlike(r"\Ahttps?://"), F.lit(False))
     fetched = rows.filter(missing).join(
         bodies.withColumnRenamed("url", "source_url"), "source_url", "left"
     ).withColumn("content", F.coalesce("body", F.lit("")))
-    return rows.filter(~F.coalesce(missing, F.lit(False))).unionByName(fetched.select(*rows.columns))
+    return rows.filter(~missing).unionByName(fetched.select(*rows.columns))
 
 
 def combined_sources(source_files: DataFrame, keys=("asset_key",)) -> DataFrame:

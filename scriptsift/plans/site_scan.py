@@ -59,10 +59,11 @@ def scan_site(
         F.col("url").alias("asset_url"), "base_url", F.col("body").alias("content"), F.lit("chunk").alias("asset_type"))
     scripts = staged(external.unionByName(loaded), f"{folder}/scripts")
 
-    located = sourcemaps.locate_sourcemaps(
-        scripts, bodies.select("url"), ("asset_url",), "asset_url", probe=False)
+    located = staged(sourcemaps.locate_sourcemaps(
+        scripts, bodies.select("url"), ("asset_url",), "asset_url", probe=False), f"{folder}/maps")
     maps = sourcemaps.load_sourcemaps(located, bodies, ("asset_url",))
-    source_files = staged(sourcemaps.explode_sources(maps, bodies, ("asset_url",)), f"{folder}/source_files")
+    source_files = staged(
+        sourcemaps.explode_sources(maps, bodies, ("asset_url",), folder), f"{folder}/source_files")
     recovered = sourcemaps.combined_sources(source_files, ("asset_url",))
 
     text = F.col("content")

@@ -158,13 +158,14 @@ def detect_frameworks(spark, sf):
 
 
 @query("frameworks_of_pages", """
-SELECT framework, count(*) AS n_pages FROM (
+SELECT coalesce(framework, 'none') AS framework, count(*) AS n_pages FROM pages p LEFT JOIN (
 SELECT page_id, 'nextjs' AS framework FROM pages WHERE contains(html, '_next/') OR contains(html, '__NEXT_DATA__')
 UNION ALL SELECT page_id, f FROM pages, (VALUES ('vite'), ('webpack'), ('remix'), ('nuxt')) v(f) WHERE contains(lower(html), f)
-) GROUP BY framework""")
+) f USING (page_id) GROUP BY 1""")
 def frameworks_of_pages(spark, sf):
     pages = readers.spread(readers.read_pages(spark, f"{sf}/pages.parquet"))
-    return P.detect_frameworks(pages).groupBy("framework").agg(F.count("*").alias("n_pages"))
+    labelled = pages.select("page_id").join(P.detect_frameworks(pages), "page_id", "left")
+    return labelled.groupBy(F.coalesce("framework", F.lit("none")).alias("framework")).agg(F.count("*").alias("n_pages"))
 
 
 _EDGE_SCRIPTS = (
@@ -267,8 +268,9 @@ def captured_bodies(spark, sf):
 
 @query("unanalyzed_assets", f"""
 SELECT asset_key FROM {BUNDLES.sql} WHERE sha256(content) NOT IN
-(SELECT sha256(content) FROM {BUNDLES.sql} WHERE asset_key % 3 = 1)""")
+(SELECT sha256(content) FROM {BUNDLES.sql} WHERE project_id = 0)""")
 def unanalyzed_assets(spark, sf):
+    """One project has been scanned; what is left of all projects?"""
     assets = BUNDLES.frame(spark, sf).withColumn("content_hash", F.sha2("content", 256))
-    scanned = assets.filter("asset_key % 3 = 1").select("content_hash")
+    scanned = assets.filter("project_id = 0").select("content_hash")
     return predicates.unanalyzed_assets(assets, scanned).select("asset_key")

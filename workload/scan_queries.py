@@ -75,12 +75,12 @@ def unique_findings(spark, sf):
     return scan.unique_findings(every).select("asset_key", "category", "value", "line_number")
 
 
-@query("match_lines_of_long_texts", f"""
-WITH {findings_by_line(f"(SELECT * FROM {BUNDLES.sql} WHERE length(content) > 2000)", KEYS)}
-SELECT asset_key, pattern_name, value, line_number FROM f""")
-def match_lines_of_long_texts(spark, sf):
-    long_texts = bundles(spark, sf).filter(F.length("content") > 2000)
-    return scan.scan_patterns(long_texts).select("asset_key", "pattern_name", "value", "line_number")
+@query("match_lines", f"""
+WITH {BUNDLE_FINDINGS}
+SELECT asset_key, count(*) AS n_findings, min(line_number) AS first_line, max(line_number) AS last_line FROM f GROUP BY asset_key""")
+def match_lines(spark, sf):
+    return scan.scan_patterns(bundles(spark, sf)).groupBy("asset_key").agg(
+        F.count("*").alias("n_findings"), F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"))
 
 
 @query("match_context", f"""
@@ -132,12 +132,14 @@ def scan_documents(spark, sf):
 
 
 @query("scan_conversations", f"""
-WITH {matches_in_text('conversations', 'conv_id, turn', content='text')}
-SELECT pattern_name, count(DISTINCT (conv_id, turn, v)) AS n FROM m GROUP BY pattern_name""")
+WITH {matches_in_text('conversations', 'conv_id, turn, role', content='text')}
+SELECT c.role, c.n_turns, coalesce(m.n, 0) AS n_findings FROM (SELECT role, count(*) AS n_turns FROM conversations GROUP BY role) c
+LEFT JOIN (SELECT role, count(DISTINCT (conv_id, turn, pattern_name, v)) AS n FROM m GROUP BY role) m ON c.role = m.role""")
 def scan_conversations(spark, sf):
     turns = spread(spark.read.parquet(f"{sf}/conversations.parquet"))
-    found = scan.scan_patterns(turns, ("conv_id", "turn"), "text")
-    return found.groupBy("pattern_name").agg(F.countDistinct("conv_id", "turn", "value").alias("n"))
+    found = scan.scan_patterns(turns, ("conv_id", "turn", "role"), "text")
+    return turns.groupBy("role").agg(F.count("*").alias("n_turns")).join(
+        found.groupBy("role").agg(F.count("*").alias("n_findings")), "role", "left").na.fill(0, ["n_findings"])
 
 
 @query("scan_page_html", f"""
@@ -230,6 +232,7 @@ def persisted_findings(spark, sf):
     return store.persistable_findings(found).select("asset_key", "finding_type", "category", "value", "line_number")
 
 
+# Catalog position of a pattern.
 _ORD = "CASE pattern_name " + " ".join(
     f"WHEN {lit(d.name)} THEN {i}" for i, d in enumerate(catalog.builtin_detectors())) + " END"
 
@@ -243,18 +246,21 @@ def persisted_findings_compat(spark, sf):
     return store.persistable_findings(found, compat=True).select("asset_key", "finding_type", "value", "category")
 
 
-@query("pattern_catalog", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {lit(d.name)}, {lit(d.finding_type)}, {lit(d.category)}, {lit(d.severity)}, {lit(d.confidence)}, "
-    f"{lit(d.description)}, count_orders)" for i, d in enumerate(catalog.builtin_detectors()))
-    .replace("count_orders", "0") + ") t(ord, name, finding_type, category, severity, confidence, description, n_findings)"
-    f" WHERE ord NOT IN (SELECT {_ORD} FROM (WITH {BUNDLE_FINDINGS} SELECT DISTINCT pattern_name FROM f))")
+_CATALOG_ROWS = ", ".join(
+    f"({i}, {lit(d.name)}, {lit(d.finding_type)}, {lit(d.category)}, {lit(d.severity)}, {lit(d.confidence)}, {lit(d.description)})"
+    for i, d in enumerate(catalog.builtin_detectors()))
+
+
+@query("pattern_catalog", f"""
+WITH {BUNDLE_FINDINGS}
+SELECT c.*, coalesce(n, 0) AS n_findings FROM (VALUES {_CATALOG_ROWS}) c(ord, name, finding_type, category, severity, confidence, description)
+LEFT JOIN (SELECT pattern_name, count(*) AS n FROM f GROUP BY 1) ON name = pattern_name""")
 def pattern_catalog(spark, sf):
-    """Catalog rows no script of the corpus triggers."""
-    seen = scan.scan_patterns(bundles(spark, sf)).groupBy("pattern_name").agg(F.count("*").alias("n_findings"))
-    listed = catalog.pattern_catalog(spark).join(seen, F.col("name") == F.col("pattern_name"), "left_anti")
-    return listed.select(
-        "ord", "name", "finding_type", "category", "severity", "confidence", "description",
-        F.lit(0).alias("n_findings"))
+    """The catalog with the number of findings each row has in the corpus."""
+    seen = scan.scan_patterns(bundles(spark, sf)).groupBy(F.col("pattern_name").alias("name")).agg(
+        F.count("*").alias("n_findings"))
+    listed = catalog.pattern_catalog(spark).join(seen, "name", "left").na.fill(0, ["n_findings"])
+    return listed.select("ord", "name", "finding_type", "category", "severity", "confidence", "description", "n_findings")
 
 
 @query("pattern_type_counts", f"""

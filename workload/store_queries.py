@@ -70,20 +70,24 @@ def findings_of_missing_project(spark, sf):
     return store.of_project(findings, projects, "nobody").select("id")
 
 
+# What an earlier run has stored.
+_EARLIER = "discovered_at < TIMESTAMP '2024-01-01 09:00:00'"
+
+
 @query("new_findings", f"""
-SELECT id FROM {FI} n WHERE NOT EXISTS (SELECT 1 FROM {FI} s WHERE s.id % 4 = 1 AND s.project_id = n.project_id AND s.asset_id = n.asset_id
+SELECT id FROM {FI} n WHERE NOT EXISTS (SELECT 1 FROM {FI} s WHERE s.discovered_at < TIMESTAMP '2024-01-01 09:00:00' AND s.project_id = n.project_id AND s.asset_id = n.asset_id
  AND s.finding_type = n.finding_type AND s.category = n.category AND substr(s.value, 1, 500) = substr(n.value, 1, 500))""")
 def new_findings(spark, sf):
     findings = FINDINGS.frame(spark, sf)
-    return store.new_findings(findings, findings.filter("id % 4 = 1")).select("id")
+    return store.new_findings(findings, findings.filter(_EARLIER)).select("id")
 
 
 @query("new_findings_compat", f"""
-SELECT id FROM {FI} n WHERE NOT EXISTS (SELECT 1 FROM {FI} s WHERE s.id % 4 = 1 AND s.project_id = n.project_id AND s.asset_id = n.asset_id
+SELECT id FROM {FI} n WHERE NOT EXISTS (SELECT 1 FROM {FI} s WHERE s.discovered_at < TIMESTAMP '2024-01-01 09:00:00' AND s.project_id = n.project_id AND s.asset_id = n.asset_id
  AND s.finding_type = n.finding_type AND substr(s.value, 1, 500) = substr(n.value, 1, 500))""")
 def new_findings_compat(spark, sf):
     findings = FINDINGS.frame(spark, sf)
-    return store.new_findings(findings, findings.filter("id % 4 = 1"), compat=True).select("id")
+    return store.new_findings(findings, findings.filter(_EARLIER), compat=True).select("id")
 
 
 @query("stored_value_dedup", f"""
@@ -94,7 +98,7 @@ def stored_value_dedup(spark, sf):
         "project_id", "finding_type", "category", "value", "id")
 
 
-_DISCOVERED = f"(SELECT project_id, CASE WHEN id % 2 = 0 THEN url ELSE url || '&new' END AS url FROM {A} WHERE id % 5 <> 0)"
+_DISCOVERED = f"(SELECT project_id, CASE WHEN is_chunk THEN url ELSE url || '&new' END AS url FROM {A})"
 
 
 @query("unknown_urls", f"""
@@ -102,12 +106,11 @@ SELECT DISTINCT project_id, url FROM {_DISCOVERED} d WHERE NOT EXISTS
 (SELECT 1 FROM {A} a WHERE a.project_id = d.project_id AND a.url = d.url)""")
 def unknown_urls(spark, sf):
     assets = ASSETS.frame(spark, sf)
-    discovered = assets.filter("id % 5 <> 0").selectExpr(
-        "project_id", "CASE WHEN id % 2 = 0 THEN url ELSE url || '&new' END AS url")
+    discovered = assets.selectExpr("project_id", "CASE WHEN is_chunk THEN url ELSE url || '&new' END AS url")
     return store.unknown_urls(discovered, assets)
 
 
-_GONE = f"(SELECT id FROM {P} WHERE name IN (SELECT 'proj-' || cast(s_suppkey AS varchar) FROM supplier WHERE s_suppkey % 4 = 0))"
+_GONE = f"(SELECT id FROM {P} WHERE name IN (SELECT 'proj-' || cast(s_suppkey AS varchar) FROM supplier WHERE s_acctbal < 0))"
 
 
 @query("delete_projects", f"""
@@ -115,7 +118,7 @@ SELECT 'project' AS kind, count(*) AS n, coalesce(sum(id), 0) AS checksum FROM {
 UNION ALL SELECT 'asset', count(*), coalesce(sum(id), 0) FROM {A} WHERE project_id NOT IN {_GONE}
 UNION ALL SELECT 'finding', count(*), coalesce(sum(id), 0) FROM {FI} WHERE project_id NOT IN {_GONE}""")
 def delete_projects(spark, sf):
-    names = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey % 4 = 0").selectExpr(
+    names = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_acctbal < 0").selectExpr(
         "concat('proj-', cast(s_suppkey as string)) AS name")
     left = store.delete_projects(*tables(spark, sf), names)
     parts = [
@@ -194,10 +197,12 @@ def listing_columns(spark, sf):
 
 
 @query("all_findings", f"""
-SELECT id, project_id, severity FROM {FI} WHERE id % 2 = 0 UNION ALL SELECT id, project_id, severity FROM {FI} WHERE id % 3 = 0""")
+SELECT id, project_id, severity FROM {FI} UNION ALL SELECT id, project_id, 'info' FROM {A}""")
 def all_findings(spark, sf):
-    findings = FINDINGS.frame(spark, sf).select("id", "project_id", "severity")
-    return store.all_findings(findings.filter("id % 2 = 0"), findings.filter("id % 3 = 0"))
+    """Findings of two origins, here with one row per asset as the second."""
+    _, assets, findings = tables(spark, sf)
+    return store.all_findings(
+        findings.select("id", "project_id", "severity"), assets.select("id", "project_id", F.lit("info").alias("severity")))
 
 
 _EXPORT = f"""SELECT f.id, finding_type AS type, category, value, severity, confidence, coalesce(a.url, '') AS asset

@@ -215,10 +215,13 @@ def extract_hostnames(spark, sf):
     return extract.extract_hostnames(BUNDLES.frame(spark, sf))
 
 
-@query("hostnames_of_documents", hosts_sql("documents", "doc_id", "text"))
+@query("hostnames_of_documents", f"""
+SELECT source, count(DISTINCT d.doc_id) AS n_docs, count(hostname) AS n_hostnames FROM documents d
+LEFT JOIN ({hosts_sql("documents", "doc_id", "text")}) h ON d.doc_id = h.doc_id GROUP BY source""")
 def hostnames_of_documents(spark, sf):
     docs = readers.spread(spark.read.parquet(f"{sf}/documents.parquet"))
-    return extract.extract_hostnames(docs, ("doc_id",), "text")
+    return docs.groupBy("source").agg(
+        F.count("*").alias("n_docs"), F.sum(F.size(extract.hostnames(F.col("text")))).alias("n_hostnames"))
 
 
 @query("sorted_endpoint_lists", f"""
