@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.arrays import bind
+from ..functions.arrays import bind, with_known
 from ..functions.urls import join_url, origin, resolve_url
 from .catalog import jvm_regex
-from .store import first_captured, first_per
+from .store import first_captured, first_per, with_body
 
 # Shapes of the manifests and chunk maps bundlers emit.
 _CHUNK_MAP = jvm_regex(r"\(\s*\{([^}]+)\}\s*\[(?:e|t|n|r|o|chunkId)\]", "dU")
@@ -203,7 +203,7 @@ def next_build_manifest_refs(
         *keys, origin(F.col(base)).alias("__site"),
         _fact(assets, "manifest_url", lambda: next_manifest_url(F.col(content), F.col(base))),
     ).filter("manifest_url is not null")
-    found = wanted.join(bodies.withColumnRenamed("url", "manifest_url"), "manifest_url")
+    found = with_body(wanted, bodies, "manifest_url")
     return found.select(*keys, F.posexplode(build_manifest_refs(F.col("body"), F.col("__site"))).alias("ord", "url"))
 
 
@@ -219,11 +219,10 @@ def vite_manifest_refs(assets: DataFrame, bodies: DataFrame, base="base_url") ->
     sites = assets.select(origin(F.col(base)).alias("site")).distinct()
     places = sites.select("site", F.posexplode(F.array(*[F.lit(p) for p in VITE_MANIFESTS])).alias("place", "p")).select(
         "site", "place", F.concat("site", "p").alias("url"))
-    parsed = places.join(bodies, "url").select(
-        "site", "place", "body", F.from_json("body", VITE_MANIFEST_SCHEMA).alias("manifest"))
-    first = first_per(parsed.filter("manifest is not null").select("site", "place", "body"), ["site"], ["place"])
-    entries = first.select("site", F.posexplode(
-        F.map_values(F.from_json("body", VITE_MANIFEST_SCHEMA))).alias("entry", "__e")).select(
+    entries_of = F.map_values(F.from_json("body", VITE_MANIFEST_SCHEMA))
+    parsed = with_known(with_body(places, bodies, "url"), "entries", entries_of)
+    first = first_per(parsed.select("site", "place", "entries"), ["site"], ["place"])
+    entries = first.select("site", F.posexplode("entries").alias("entry", "__e")).select(
         "site", "entry", F.from_json("__e", VITE_ENTRY_SCHEMA).alias("e"))
 
     def chunk(name, how):

@@ -10,7 +10,7 @@ from ..functions.text import strip
 from ..functions.urls import join_url
 from ..session import shared_folder, staged
 from .catalog import jvm_regex
-from .store import first_captured
+from .store import first_captured, with_body
 
 # The comment that names a map, and the banner of combined files.
 _COMMENT = jvm_regex(r"//[#@]\s*sourceMappingURL\s*=\s*(.+?)(?:\s*$|\*/)", "idmU")
@@ -67,7 +67,7 @@ def load_sourcemaps(located: DataFrame, bodies: DataFrame, keys=("asset_key",))
     keys = list(keys)
     is_data = F.col("map_url").startswith(_DATA)
     inline = with_known(located.filter(is_data), "body", data_uri_body(F.col("map_url")))
-    remote = located.filter(~is_data).join(bodies.withColumnRenamed("url", "map_url"), "map_url")
+    remote = with_body(located.filter(~is_data), bodies, "map_url")
     both = inline.select(*keys, "map_url", "body").unionByName(remote.select(*keys, "map_url", "body"))
     parsed = F.from_json("body", MAP_SCHEMA)
     readable = bind(parsed, lambda m: F.when(m["sources"].isNotNull(), m))
@@ -123,9 +123,8 @@ def explode_sources(
     folder = folder or shared_folder(maps.sparkSession, "sources")
     rows = staged(rows, f"{folder}/source_rows")
     missing = (F.col("content") == "") & F.coalesce(F.col("source_url").rlike(r"\Ahttps?://"), F.lit(False))
-    fetched = rows.filter(missing).join(
-        bodies.withColumnRenamed("url", "source_url"), "source_url", "left"
-    ).withColumn("content", F.coalesce("body", F.lit("")))
+    fetched = with_body(rows.filter(missing), bodies, "source_url", "left").withColumn(
+        "content", F.coalesce("body", F.lit("")))
     return rows.filter(~missing).unionByName(fetched.select(*rows.columns))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPS, cap, content_hash
+from .predicates import ok_responses
 
 
 def first_per(rows: DataFrame, keys, order) -> DataFrame:
@@ -77,19 +78,29 @@ def unknown_urls(discovered: DataFrame, assets: DataFrame, key=("project_id", "u
 
 def captured_bodies(responses: DataFrame) -> DataFrame:
     """(url, body) of successful responses, the earliest capture per URL."""
-    ok = responses.filter(F.col("error").isNull() & F.col("status_code").between(200, 399))
-    return first_per(ok.select("url", "captured_at", F.col("content").alias("body")), ["url"], ["captured_at"]).drop(
-        "captured_at")
+    ok = ok_responses(responses).select("url", "captured_at", F.col("content").alias("body"))
+    return first_per(ok, ["url"], ["captured_at"]).drop("captured_at")
+
+
+def wanted_bodies(bodies: DataFrame, refs: DataFrame, url: str) -> DataFrame:
+    """The bodies some reference asks for.
+
+    When the references are small enough to broadcast, the optimizer moves this
+    semi-join below the first-capture aggregate, so responses nobody refers to
+    are dropped at the scan; otherwise copies are combined first.
+    """
+    return bodies.join(refs.select(F.col(url).alias("url")).distinct(), "url", "left_semi")
 
 
 def captured_urls(responses: DataFrame) -> DataFrame:
     """The inventory that stands in for probing: URLs known to answer."""
-    return responses.filter(F.col("error").isNull() & F.col("status_code").between(200, 399)).select("url").distinct()
+    return ok_responses(responses).select("url").distinct()
 
 
-def with_body(refs: DataFrame, bodies: DataFrame, url: str) -> DataFrame:
-    """Attach captured bodies to references; unmatched references drop out."""
-    return refs.join(bodies.withColumnRenamed("url", url), url)
+def with_body(refs: DataFrame, bodies: DataFrame, url: str, how: str = "inner") -> DataFrame:
+    """Attach captured bodies to references; by default unmatched ones drop out."""
+    found = wanted_bodies(bodies, refs, url).withColumnRenamed("url", url)
+    return refs.join(found, url, how)
 
 
 def first_captured(candidates: DataFrame, inventory: DataFrame, keys, order="ord", url="url") -> DataFrame:

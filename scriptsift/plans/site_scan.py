@@ -12,7 +12,7 @@ from ..operators import sourcemaps
 from ..operators.pages import inline_scripts, page_script_urls
 from ..operators.reflow import best_content, reflow_minified
 from ..operators.scan import scan_once_per_hash, scan_patterns
-from ..operators.store import captured_bodies, persistable_findings
+from ..operators.store import captured_bodies, persistable_findings, with_body
 from ..session import shared_folder, staged
 from .chunk_discovery import discover_chunks
 
@@ -46,16 +46,18 @@ def scan_site(
     bodies = captured_bodies(responses)
 
     urls = page_script_urls(pages, ("url",), scope=scope, cross_origin=cross_origin)
-    wanted = urls.groupBy(F.col("ref_url").alias("asset_url")).agg(F.min("url").alias("base_url"))
-    external = wanted.join(bodies.withColumnRenamed("url", "asset_url"), "asset_url").select(
+    wanted = staged(
+        urls.groupBy(F.col("ref_url").alias("asset_url")).agg(F.min("url").alias("base_url")), f"{folder}/urls")
+    external = with_body(wanted, bodies, "asset_url").select(
         "asset_url", "base_url", F.col("body").alias("content"), F.lit("javascript").alias("asset_type"))
     external = staged(external, f"{folder}/external")
 
     keyed = external.withColumn("asset_key", F.col("asset_url"))
     chunks = staged(discover_chunks(keyed, responses, folder=folder), f"{folder}/chunks")
-    loaded = chunks.join(
+    unseen = chunks.join(
         external.select(F.col("asset_url").alias("url")), "url", "left_anti",
-    ).groupBy("url").agg(F.min("base_url").alias("base_url")).join(bodies, "url").select(
+    ).groupBy("url").agg(F.min("base_url").alias("base_url"))
+    loaded = with_body(unseen, bodies, "url").select(
         F.col("url").alias("asset_url"), "base_url", F.col("body").alias("content"), F.lit("chunk").alias("asset_type"))
     scripts = staged(external.unionByName(loaded), f"{folder}/scripts")
 
