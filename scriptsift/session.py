@@ -32,10 +32,11 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "scripts
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    Taken from ``spark.checkpoint.dir``.  Only a local session, where driver and
-    executors are one machine, may fall back to a temporary folder.
+    Taken from ``spark.checkpoint.dir``, else from the context's checkpoint
+    folder.  Only a local session, where driver and executors are one machine,
+    may fall back to a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
