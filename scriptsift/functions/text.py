@@ -60,7 +60,8 @@ def preview(text: Column, n: int) -> Column:
 
 
 def first_non_empty(*texts: Column) -> Column:
-    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
+    """The first text with any character; each is computed once, and only if needed."""
+    return F.coalesce(*[bind(t, lambda v: F.when(v != "", v)) for t in texts])
 
 
 def content_hash(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.arrays import bind, with_known
+from ..functions.text import first_non_empty
 from ..functions.urls import join_url, origin, resolve_url
 from .catalog import jvm_regex
 from .store import first_captured, first_per, with_body
@@ -180,9 +181,7 @@ def next_chunk_refs(assets: DataFrame, keys=("asset_key",), content="content", b
 
 
 def next_build_id(script: Column) -> Column:
-    named = F.regexp_extract(script, _BUILD_ID, 1)
-    in_path = F.regexp_extract(script, _BUILD_ID_IN_PATH, 1)
-    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(in_path, F.lit("")))
+    return first_non_empty(F.regexp_extract(script, _BUILD_ID, 1), F.regexp_extract(script, _BUILD_ID_IN_PATH, 1))
 
 
 def next_manifest_url(script: Column, base: Column) -> Column:

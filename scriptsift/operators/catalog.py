@@ -132,17 +132,33 @@ def pattern_type_counts(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("finding_type", "severity").agg(F.count("*").alias("n_patterns"))
 
 
+def _broken(spark: SparkSession, detectors) -> list[tuple[Detector, str]]:
+    """Detectors the JVM cannot compile, found by halving."""
+    if not detectors:
+        return []
+    try:
+        spark.range(1).select(*[F.lit("").rlike(detector_regex(d)) for d in detectors]).collect()
+        return []
+    except Exception as e:  # a broken expression must not stop the scan
+        if len(detectors) == 1:
+            return [(detectors[0], str(e).splitlines()[0][:200])]
+    half = len(detectors) // 2
+    return _broken(spark, detectors[:half]) + _broken(spark, detectors[half:])
+
+
 def valid_detectors(spark: SparkSession, detectors) -> tuple[list[Detector], DataFrame]:
     """Split user detectors into usable ones and a table of rejected ones."""
-    good, bad = [], []
+    rejected, parsed = {}, []
     for d in detectors:
         try:
-            d.value_group
-            spark.range(1).select(F.lit("").rlike(detector_regex(d))).collect()
-            good.append(d)
-        except Exception as e:  # a broken expression must not stop the scan
-            bad.append((d.name, d.regex, str(e).splitlines()[0][:200]))
-    return good, spark.createDataFrame(bad, "name string, regex string, reason string")
+            re.compile(d.regex)
+            parsed.append(d)
+        except re.error as e:
+            rejected[d] = str(e)
+    rejected.update(_broken(spark, parsed))
+    rows = [(d.name, d.regex, rejected[d]) for d in detectors if d in rejected]
+    table = spark.createDataFrame(rows, "name string, regex string, reason string")
+    return [d for d in detectors if d not in rejected], table
 
 
 def enabled_custom_patterns(custom: DataFrame, project_id=None) -> DataFrame:

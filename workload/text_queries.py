@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptsift.functions import severity, text, urls
+from scriptsift.functions.arrays import with_known
 from scriptsift.operators import extract, predicates, reflow
 from scriptsift.sources import readers, sinks
 
@@ -43,8 +44,8 @@ REFLOWED = (
 
 @query("reflow", f"SELECT asset_key, {REFLOWED} AS reflowed FROM {BUNDLES.sql} WHERE {minified('content')}")
 def reflow_minified(spark, sf):
-    rows = BUNDLES.frame(spark, sf).select("asset_key", reflow.reflow_minified(F.col("content")).alias("reflowed"))
-    return rows.filter("reflowed is not null")
+    scripts = BUNDLES.frame(spark, sf)
+    return with_known(scripts, "reflowed", reflow.reflow_minified(F.col("content"))).select("asset_key", "reflowed")
 
 
 @query("best_content", f"""
