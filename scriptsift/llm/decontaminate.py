@@ -4,10 +4,10 @@ The items are indexed once: per term a posting list of (item, impact), cut into
 blocks that carry their largest impact.  Impacts are BM25 weights divided by the
 score an item gives its own text, so one threshold is meant for all items.
 Every training text is cut into overlapping passages twice as long as the
-longest item; each is a query for all items above the threshold.  A passage
-whose summed term maxima stay below it has no pivot and is dismissed for a
-whole batch at a time; the rest run block-max WAND.  Retrieved items are then
-compared word for word.
+longest item; each is a query for all items above the threshold.  Bounds over
+the rare terms of the items dismiss, for a whole batch at a time, the passages
+in which no item can reach it; the rest run block-max WAND.  Retrieved items
+are then compared word for word.
 
 Items are indexed in parts of at most ``PART_WORDS`` words, so what travels to
 the executors is bounded however long the benchmark; every part meets all texts.
@@ -28,6 +28,8 @@ from .near import _flat, shingles
 
 THRESHOLD = 0.6
 PART_OVERLAP = 0.5
+# Worth of the common terms of an item, as a share of its own score.
+COMMON = 0.3
 PART_WORDS = 500_000
 BLOCK = 32
 K1, B = 1.2, 0.75
@@ -57,6 +59,32 @@ class ItemIndex:
         self.impacts = [[x for _, x in postings] for postings in lists]
         self.block_max = [[max(x[a:a + BLOCK]) for a in range(0, len(x), BLOCK)] for x in self.impacts]
         self.top = np.array([max(x) for x in self.impacts] or [], np.float64)
+        self._rare(df)
+
+    def _rare(self, df) -> None:
+        """Split the terms of each item: its most common ones, worth at most ``COMMON`` together, and the rest.
+
+        A passage whose rare terms of an item stay below the threshold less that
+        worth cannot reach the threshold, whatever else it holds.
+        """
+        common = np.zeros(len(self.ids))
+        postings = sorted(
+            ((-df[t], t, i, x) for t in range(len(self.terms)) for i, x in zip(self.items[t], self.impacts[t])))
+        rare = []
+        for _, t, i, x in postings:
+            if common[i] + x <= COMMON:
+                common[i] += x
+            else:
+                rare.append((t, i, x))
+        self.worth = common
+        rare.sort()
+        self.rare_terms, sizes = np.unique(np.array([t for t, _, _ in rare], np.int64), return_counts=True)
+        self.rare_hashes = self.terms[self.rare_terms] if len(rare) else np.array([], np.uint64)
+        self.rare_starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.rare_items = np.array([i for _, i, _ in rare], np.int64)
+        self.rare_impacts = np.array([x for _, _, x in rare], np.float64)
+        self.maybe_rare = np.zeros(1 << 16, bool)
+        self.maybe_rare[(self.rare_hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def search(self, terms, threshold: float):
         """[(item, score)] of all items scoring at least ``threshold``, by block-max WAND."""
@@ -118,22 +146,35 @@ class ItemIndex:
         return share(mine, theirs), share(own[:cut], passage), share(own[cut:], passage)
 
     def passages(self, hashes: np.ndarray, offsets: np.ndarray, threshold: float):
-        """(document, first word, end, distinct terms) of passages whose term maxima reach the threshold."""
-        at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
-        known = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-        sums = np.concatenate([[0.0], np.cumsum(np.where(known, self.top[at] if len(self.top) else 0, 0))])
+        """(document, first word, end, distinct terms) of passages in which some item can reach the threshold."""
         span = self.span
         lengths = np.diff(offsets)
         counts = np.where(lengths > 0, np.maximum(-(-lengths // span) - 1, 1), 0)
         first = np.concatenate([[0], np.cumsum(counts)])
-        doc = np.repeat(np.arange(len(lengths)), counts)
-        start = offsets[:-1][doc] + (np.arange(first[-1]) - first[:-1][doc]) * span
-        stop = np.minimum(start + 2 * span, offsets[1:][doc])
-        for k in np.flatnonzero(sums[stop] - sums[start] >= threshold - 1e-6):
-            a, b = start[k], stop[k]
-            terms = np.unique(at[a:b][known[a:b]])
-            if self.top[terms].sum() >= threshold - 1e-6:
-                yield int(doc[k]), int(a), int(b), terms.tolist()
+        # Rare terms by passage; a word lies in two passages but at the edges of a text.
+        at = np.flatnonzero(self.maybe_rare[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        term = np.searchsorted(self.rare_hashes, hashes[at])
+        known = term < len(self.rare_hashes)
+        known[known] = self.rare_hashes[term[known]] == hashes[at[known]]
+        at, term = at[known], term[known]
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        part = (at - offsets[doc]) // span
+        later, earlier = part < counts[doc], part > 0
+        passage = np.concatenate([(first[doc] + part)[later], (first[doc] + part - 1)[earlier]])
+        term = np.concatenate([term[later], term[earlier]])
+        cells = np.unique(passage * np.int64(len(self.rare_hashes) + 1) + term)
+        passage, term = cells // (len(self.rare_hashes) + 1), cells % (len(self.rare_hashes) + 1)
+        sizes = np.diff(self.rare_starts)[term]
+        posting = np.repeat(self.rare_starts[:-1][term] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        pair, back = np.unique(np.repeat(passage, sizes) * np.int64(len(self.ids) + 1) + self.rare_items[posting], return_inverse=True)
+        reached = np.bincount(back, self.rare_impacts[posting], len(pair)) + self.worth[pair % (len(self.ids) + 1)] if len(pair) else np.array([])
+        for k in np.unique(pair[reached >= threshold - 1e-6] // (len(self.ids) + 1)):
+            d = int(np.searchsorted(first, k, side="right")) - 1
+            a = int(offsets[d] + (k - first[d]) * span)
+            b = int(min(a + 2 * span, offsets[d + 1]))
+            terms = np.unique(np.searchsorted(self.terms, hashes[a:b]))
+            terms = terms[terms < len(self.terms)]
+            yield d, a, b, terms[np.isin(self.terms[terms], hashes[a:b])].tolist()
 
     def leaks(self, hashes: np.ndarray, offsets: np.ndarray, threshold: float, similarity: float):
         """Per document the items it holds: {item: (score, question, answer, first word)}."""

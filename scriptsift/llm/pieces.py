@@ -23,8 +23,8 @@ from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-# A space mark that the text itself holds; no piece has this character.
-_LITERAL = "﷐"
+# Stands for a space mark that the text itself holds; no text has this code point.
+_LITERAL = "\ud800"
 # Score of a byte below the worst piece.
 BYTE_PENALTY = 10.0
 REMEMBERED = 300_000

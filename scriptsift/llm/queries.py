@@ -110,10 +110,10 @@ FROM docs d LEFT JOIN found f ON d.text_no = f.text_no GROUP BY d.text_no, d.doc
 
 OP4_SQL = """
 WITH v AS (
-    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)),
 scored AS (
-    SELECT q.vec_id AS query_id, q.r, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+    SELECT q.vec_id AS query_id, q.r, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.e, c.e)])::BIGINT AS score
     FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20

@@ -86,21 +86,20 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the UTF-8 length of the text (null: 0) plus 1, so rows without
-    text weigh too; null and empty texts are two groups.  ``slot`` numbers the rows of a
+    text weigh too; null counts as the empty text.  ``slot`` numbers the rows of a
     shard from 0 by group, then id (nulls first), then an arbitrary order of
     rows that are equal in both.  Fewer groups than shards leave the last shards
     empty.  Other columns are ignored; an empty table gives no rows.
     """
-    body = F.col(text).cast("binary")
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = stage(
         docs.select(
             F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias("size"),
-            F.coalesce(F.crc32(body), F.lit(0)).cast("long").alias("text_crc32"),
-            F.coalesce(F.sha2(body, 256), F.lit("")).alias("text_sha")), "shard-rows")
+            F.crc32(body).cast("long").alias("text_crc32"), F.sha2(body, 256).alias("text_sha")), "shard-rows")
     bucket = F.conv(F.substring("text_sha", 1, 8), 16, 10).cast("long") * BUCKETS / F.lit(1 << 32)
     groups = stage(
         rows.groupBy("text_sha").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-        .withColumn("bucket", F.coalesce(F.floor(bucket), F.lit(0)).cast("int")), "shard-groups")
+        .withColumn("bucket", F.floor(bucket).cast("int")), "shard-groups")
     totals = {r["bucket"]: r for r in groups.groupBy("bucket").agg(
         F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max("bytes").alias("most")).collect()}
     last, bytes_before, rows_before = {}, {}, {}

@@ -100,9 +100,10 @@ class Machine:
         likelihood ratio of ``MIN_RATIO``.  All others stay at zero.
         """
         docs = len(labels)
+        self.weight[:] = 0
         if not docs:
+            self.factor[:] = 0
             return self
-        self.weight[:] = 0
         tied = association(slot, labels[doc].astype(np.float64), docs, int(labels.sum()), self.slots) >= MIN_RATIO
         tied &= np.bincount(slot, minlength=self.slots) >= MIN_TEXTS
         self.factor[~tied] = 0
