@@ -74,11 +74,16 @@ def redact(value: Column) -> Column:
 
 
 def safe_filename(url: Column) -> Column:
-    """One flat file name for a URL, at most 200 characters."""
+    """One flat file name for a URL, at most 200 characters.
+
+    A longer name ends in a digest of its URL, so two URLs do not share it.
+    """
     name = url
     for piece in ("://", "/", "?", "&"):
         name = F.replace(name, F.lit(piece), F.lit("_"))
-    return F.substring(F.regexp_replace(name, r'[<>:"|*\x00-\x1f]', "_"), 1, 200)
+    flat = F.regexp_replace(name, r'[<>:"|*\x00-\x1f]', "_")
+    cut = F.concat(F.substring(flat, 1, 183), F.lit("_"), F.substring(F.sha2(url, 256), 1, 16))
+    return bind(flat, lambda f: F.when(F.length(f) > 200, cut).otherwise(f))
 
 
 def safe_path(name: Column) -> Column:

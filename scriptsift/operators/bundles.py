@@ -40,28 +40,52 @@ VITE_MANIFESTS = ("/.vite/manifest.json", "/manifest.json", "/assets/manifest.js
 # Entries are parsed one by one: an entry that is no object is skipped.
 VITE_MANIFEST_SCHEMA = "map<string,string>"
 VITE_ENTRY_SCHEMA = "file string, imports array<string>"
-MAX_MISSES = 10
+MAX_PROBED, MAX_MISSES = 1000, 10
 
 
-def bundle_framework(script: Column, urls: Column | None = None) -> Column:
+def _says_next(text: Column) -> Column:
+    return text.contains("_next/") | text.contains("__NEXT_DATA__") | text.contains("self.__BUILD_MANIFEST")
+
+
+def _says_vite(text: Column) -> Column:
+    return F.lower(text).contains("vite")
+
+
+def framework_of(says_next: Column, says_vite: Column) -> Column:
     """One label per bundle; webpack when nothing tells otherwise."""
+    return F.when(says_next, "nextjs").when(says_vite, "vite").otherwise("webpack")
+
+
+def bundle_framework(script: Column, urls: Column | None = None) -> Column:
+    """Framework of a bundle by its text and, if given, the script URLs of its page."""
     text = script if urls is None else F.concat(script, F.array_join(urls, " "))
-    return bind(text, lambda t: (
-        F.when(t.contains("_next/") | t.contains("__NEXT_DATA__") | t.contains("self.__BUILD_MANIFEST"), "nextjs")
-        .when(F.lower(t).contains("vite"), "vite")
-        .otherwise("webpack")))
+    return bind(text, lambda t: framework_of(_says_next(t), _says_vite(t)))
 
 
-def public_path(script: Column, base: Column) -> Column:
-    """Where chunks are loaded from: as assigned in the bundle, else site root."""
-    found = F.struct(
+def page_framework_hints(refs: DataFrame, page="url", ref="ref_url") -> DataFrame:
+    """What the script URLs of each page say about its framework, as two flags."""
+    return refs.groupBy(page).agg(
+        F.bool_or(_says_next(F.col(ref))).alias("urls_next"), F.bool_or(_says_vite(F.col(ref))).alias("urls_vite"))
+
+
+def assigned_path(script: Column) -> Column:
+    """The public path a bundle assigns, per bundler; '' where it does not."""
+    return F.struct(
         F.regexp_extract(script, _PUBLIC_PATH, 1).alias("webpack"), F.regexp_extract(script, _VITE_BASE, 1).alias("vite"))
-    return bind(found, lambda f: (
+
+
+def _placed_path(assigned: Column, base: Column) -> Column:
+    return bind(assigned, lambda f: (
         F.when((f["webpack"] == "") & (f["vite"] == ""), F.concat(origin(base), F.lit("/")))
         .when(f["webpack"].startswith("http"), f["webpack"])
         .otherwise(join_url(base, F.when(f["webpack"] != "", f["webpack"]).otherwise(f["vite"])))))
 
 
+def public_path(script: Column, base: Column) -> Column:
+    """Where chunks are loaded from: as assigned in the bundle, else site root."""
+    return _placed_path(assigned_path(script), base)
+
+
 def _map_entries(bodies: Column, entry: str) -> Column:
     """(id, name) structs of all ``id: "name"`` entries, in text order."""
     texts = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(entry), F.lit(0))))
@@ -100,23 +124,36 @@ def hash_map(script: Column) -> Column:
         _map_entries(F.regexp_extract_all(script, F.lit(_HASH_MAP), F.lit(1)), _HASH_ENTRY))
 
 
-def bundle_facts(assets: DataFrame, keys=("asset_key",), content="content", base="base_url") -> DataFrame:
-    """Everything chunk discovery needs from a bundle, without its text.
+def bundle_facts(assets: DataFrame, keys=("asset_key",), content="content") -> DataFrame:
+    """Everything chunk discovery needs from a bundle's text, without the text.
 
-    The operators below accept either bundles or these facts; work on many
-    bundles should extract the facts once and store them.
+    Nothing in it depends on the page that loads the bundle, so a bundle of many
+    pages is read once; ``placed_facts`` adds what does.
     """
     text = F.col(content)
     return assets.select(
-        *keys, base,
-        bundle_framework(text).alias("framework"),
-        public_path(text, F.col(base)).alias("root"),
-        chunk_map(text).alias("chunk_entries"),
-        hash_map(text).alias("hash_entries"),
-        next_chunk_paths(text).alias("next_paths"),
-        next_manifest_url(text, F.col(base)).alias("manifest_url"),
-        vite_asset_urls(text, F.col(base)).alias("vite_urls"),
-    )
+        *keys, _says_next(text).alias("says_next"), _says_vite(text).alias("says_vite"),
+        assigned_path(text).alias("assigned"), chunk_map(text).alias("chunk_entries"), hash_map(text).alias("hash_entries"),
+        next_chunk_paths(text).alias("next_paths"), next_build_id(text).alias("build_id"), _vite_refs(text).alias("vite_refs"))
+
+
+def placed_facts(facts: DataFrame, base="base_url") -> DataFrame:
+    """Facts of a bundle on a page: framework, public path and URLs.
+
+    Rows carry the page in ``base`` and may carry the flags of
+    ``page_framework_hints``.  The operators below accept either bundles or
+    these rows.
+    """
+    def flag(own, hint):
+        return F.col(own) | F.coalesce(F.col(hint), F.lit(False)) if hint in facts.columns else F.col(own)
+
+    page = F.col(base)
+    placed = facts.select(
+        "*", framework_of(flag("says_next", "urls_next"), flag("says_vite", "urls_vite")).alias("framework"),
+        _placed_path(F.col("assigned"), page).alias("root"),
+        _manifest_url(F.col("build_id"), page).alias("manifest_url"),
+        _resolved_distinct(F.col("vite_refs"), page).alias("vite_urls"))
+    return placed.drop("says_next", "says_vite", "urls_next", "urls_vite", "assigned", "build_id", "vite_refs")
 
 
 def _fact(rows: DataFrame, name: str, compute) -> Column:
@@ -185,7 +222,11 @@ def next_build_id(script: Column) -> Column:
 
 
 def next_manifest_url(script: Column, base: Column) -> Column:
-    return F.concat(origin(base), F.lit("/_next/static/"), next_build_id(script), F.lit("/_buildManifest.js"))
+    return _manifest_url(next_build_id(script), base)
+
+
+def _manifest_url(build_id: Column, base: Column) -> Column:
+    return F.concat(origin(base), F.lit("/_next/static/"), build_id, F.lit("/_buildManifest.js"))
 
 
 def build_manifest_refs(body: Column, site: Column) -> Column:
@@ -213,11 +254,16 @@ def next_standard_candidates(assets: DataFrame, base="base_url") -> DataFrame:
     return sites.select("site", paths).select("site", "ord", F.concat("site", "p").alias("url"))
 
 
-def vite_manifest_refs(assets: DataFrame, bodies: DataFrame, base="base_url") -> DataFrame:
-    """Script files and imports of each site's first readable manifest."""
+def vite_manifest_places(assets: DataFrame, base="base_url") -> DataFrame:
+    """Where the manifest of each site may lie."""
     sites = assets.select(origin(F.col(base)).alias("site")).distinct()
-    places = sites.select("site", F.posexplode(F.array(*[F.lit(p) for p in VITE_MANIFESTS])).alias("place", "p")).select(
+    return sites.select("site", F.posexplode(F.array(*[F.lit(p) for p in VITE_MANIFESTS])).alias("place", "p")).select(
         "site", "place", F.concat("site", "p").alias("url"))
+
+
+def vite_manifest_refs(assets: DataFrame, bodies: DataFrame, base="base_url") -> DataFrame:
+    """Script files and imports of each site's first readable manifest."""
+    places = vite_manifest_places(assets, base)
     entries_of = F.map_values(F.from_json("body", VITE_MANIFEST_SCHEMA))
     parsed = with_known(with_body(places, bodies, "url"), "entries", entries_of)
     first = first_per(parsed.select("site", "place", "entries"), ["site"], ["place"])
@@ -239,7 +285,14 @@ def vite_manifest_refs(assets: DataFrame, bodies: DataFrame, base="base_url") ->
 
 
 def vite_asset_urls(script: Column, base: Column) -> Column:
-    refs = F.regexp_extract_all(script, F.lit(_VITE_ASSET), F.lit(1))
+    return _resolved_distinct(_vite_refs(script), base)
+
+
+def _vite_refs(script: Column) -> Column:
+    return F.regexp_extract_all(script, F.lit(_VITE_ASSET), F.lit(1))
+
+
+def _resolved_distinct(refs: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(refs, lambda r: resolve_url(base, r)))
 
 
@@ -248,29 +301,35 @@ def vite_asset_refs(assets: DataFrame, keys=("asset_key",), content="content", b
     return assets.select(*keys, F.posexplode(urls).alias("ord", "url"))
 
 
-_NUMBERED = r"\A(.*/)(?:chunk\.)?(0|[1-9][0-9]{0,8})(?:\.chunk)?\.js\z"
+_NUMBERED = r"\A(.*/)(?:chunk\.)?(0|[1-9][0-9]*)(?:\.chunk)?\.js\z"
 
 
-def numbered_chunks(roots: DataFrame, inventory: DataFrame, max_n: int = 1000) -> DataFrame:
-    """Numbered chunks a probe of 0, 1, 2, … would find below each root.
+def numbered_chunks(roots: DataFrame, inventory: DataFrame, compat: bool = False) -> DataFrame:
+    """Captured chunks named by a number, below each root.
 
-    ``roots`` holds distinct public paths in ``root``.  Instead of generating
-    candidates, captured URLs are read backwards into (folder, number), so the
-    work follows the inventory.  Numbering ends at ten misses in a row; the
-    window sees at most ``max_n`` hits per folder.
+    ``roots`` holds distinct public paths in ``root``.  Captured URLs are read
+    backwards into (folder, number), so the work follows the inventory, and every
+    captured number counts.  ``compat`` returns what a probe of 0, 1, 2, … would
+    find: numbers below ``MAX_PROBED``, ending at ``MAX_MISSES`` misses in a row.
     """
     name = F.regexp_extract(F.col("url"), r"[^/]*\z", 0)
-    number = F.regexp_extract(F.col("url"), _NUMBERED, 2)
     captured = inventory.filter(F.col("url").rlike(_NUMBERED) & ~name.rlike(r"\Achunk\..*\.chunk\.js\z")).select(
         F.regexp_extract(F.col("url"), _NUMBERED, 1).alias("folder"),
-        number.cast("int").alias("n"),
+        F.regexp_extract(F.col("url"), _NUMBERED, 2).alias("n"),
         F.when(name.endswith(".chunk.js"), 0).when(name.startswith("chunk."), 2).otherwise(1).alias("candidate"),
-        "url").filter(F.col("n") < max_n)
+        "url")
     hits = first_per(captured, ["folder", "n"], ["candidate"])
-    per_folder = Window.partitionBy("folder").orderBy("n")
-    gap = F.col("n") - F.coalesce(F.lag("n").over(per_folder), F.lit(-1)) - 1
-    reached = hits.withColumn("gap", gap).withColumn(
-        "widest", F.max("gap").over(per_folder.rowsBetween(Window.unboundedPreceding, 0)))
+    if compat:
+        hits = _probed(hits)
     folders = roots.select("root", F.regexp_replace(join_url(F.col("root"), F.lit("0.js")), r"0\.js\z", "").alias("folder"))
-    return folders.join(reached.filter(F.col("widest") < MAX_MISSES), "folder").select(
-        "root", F.col("n").cast("string").alias("chunk_id"), "url")
+    return folders.join(hits, "folder").select("root", F.col("n").alias("chunk_id"), "url")
+
+
+def _probed(hits: DataFrame) -> DataFrame:
+    """The numbers a probe reaches; a folder has at most ``MAX_PROBED`` rows."""
+    n = F.col("n").try_cast("int")
+    per_folder = Window.partitionBy("folder").orderBy(n)
+    gap = n - F.coalesce(F.lag(n).over(per_folder), F.lit(-1)) - 1
+    reached = hits.filter(n < MAX_PROBED).withColumn("gap", gap).withColumn(
+        "widest", F.max("gap").over(per_folder.rowsBetween(Window.unboundedPreceding, 0)))
+    return reached.filter(F.col("widest") < MAX_MISSES).select("folder", "n", "url")

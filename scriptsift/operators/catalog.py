@@ -42,9 +42,16 @@ class Detector:
         return bool(re.compile(self.regex).flags & re.IGNORECASE)
 
 
-# The same language with loops that keep no backtracking state, so that a long
-# literal cannot exhaust the matcher's stack.
+# The same matches in linear time.  Loops keep no backtracking state, so that a
+# long literal cannot exhaust the matcher's stack, and a run of characters is
+# entered at its start only, or where the last match ended: from inside it the
+# outcome is the same as from its start.
 _FLAT_LOOPS = {
+    "google_oauth": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++-[0-9A-Za-z_]{32}\.apps\.googleusercontent\.com",
+    "s3_bucket": (
+        r"(?:(?=[a-zA-Z0-9\-_])(?:\G|(?<![a-zA-Z0-9\-_]))[a-zA-Z0-9\-_]++\.s3(?:\.[a-zA-Z0-9\-]++)?\.amazonaws\.com"
+        r"|s3(?:\.[a-zA-Z0-9\-]++)?\.amazonaws\.com/[a-zA-Z0-9\-_]++)"),
+    "azure_blob": r"(?=[a-zA-Z0-9\-_])(?:\G|(?<![a-zA-Z0-9\-_]))[a-zA-Z0-9\-_]++\.blob\.core\.windows\.net",
     "url_path_string": r"""["\'](?:/[a-zA-Z0-9_\-]{2,}+(?:/[a-zA-Z0-9_\-:{}]++)++)["\']""",
 }
 
@@ -169,27 +176,25 @@ def enabled_custom_patterns(custom: DataFrame, project_id=None) -> DataFrame:
     return custom.filter(F.col("enabled") & scope)
 
 
-# A custom table is typed in by people; more rows than this is not a catalog.
-MAX_CUSTOM_PATTERNS = 20_000
+def custom_detector_pages(custom: DataFrame, project_id=None, size: int = 200):
+    """A project's regex patterns as lists of at most ``size`` detectors, in id order.
 
-
-def custom_detectors(custom: DataFrame, project_id=None) -> list[Detector]:
-    """Read a project's regex patterns as detectors, in id order.
-
-    The table has no category or confidence, so the pattern name serves as the
-    category.
+    Ids are unique.  The driver holds one page at a time, so the table may have
+    any number of rows.  The table has no category or confidence, so the pattern
+    name serves as the category.
     """
     rows = (
         enabled_custom_patterns(custom, project_id)
-        .filter(F.col("pattern_type") == "regex")
-        .select("id", "name", "pattern", "finding_type", "severity", "description")
-        .orderBy("id")
-        .limit(MAX_CUSTOM_PATTERNS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CUSTOM_PATTERNS:
-        raise ValueError(f"more than {MAX_CUSTOM_PATTERNS} custom patterns: not a hand-written catalog")
-    return [
-        Detector(r["name"], r["pattern"], r["finding_type"], r["name"], r["severity"], "medium", r["description"] or "")
-        for r in rows
-    ]
+        .filter((F.col("pattern_type") == "regex") & F.col("id").isNotNull())
+        .select("id", "name", "pattern", "finding_type", "severity", "description"))
+    page = rows.orderBy("id").limit(size).collect()
+    while page:
+        yield [
+            Detector(r["name"], r["pattern"], r["finding_type"], r["name"], r["severity"], "medium", r["description"] or "")
+            for r in page]
+        page = rows.filter(F.col("id") > page[-1]["id"]).orderBy("id").limit(size).collect() if len(page) == size else []
+
+
+def custom_detectors(custom: DataFrame, project_id=None) -> list[Detector]:
+    """All pages of ``custom_detector_pages`` as one list, for tables that fit the driver."""
+    return [d for page in custom_detector_pages(custom, project_id) for d in page]

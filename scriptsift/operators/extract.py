@@ -63,8 +63,8 @@ def hostnames(text: Column) -> Column:
     runs = F.filter(
         F.regexp_extract_all(text, F.lit(_HOST), F.lit(1)), lambda h: h.rlike(r"\.[a-zA-Z]{2,}\z"))
     hosts = F.transform(runs, lambda h: F.lower(h))
-    is_file = lambda h: F.lower(h).rlike(r"(?:\.js|\.css|\.png|\.jpg|\.gif)\z")
-    return F.array_sort(F.array_distinct(F.filter(hosts, lambda h: ~is_file(h))))
+    files = "(?:" + "|".join(s.replace(".", r"\.") for s in ASSET_SUFFIXES) + r")\z"
+    return F.array_sort(F.array_distinct(F.filter(hosts, lambda h: ~h.rlike(files))))
 
 
 def extract_hostnames(texts: DataFrame, keys=("asset_key",), content="content") -> DataFrame:

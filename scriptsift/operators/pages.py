@@ -48,8 +48,12 @@ def in_scope(url: Column, base: Column, patterns=(), cross_origin: bool = False)
     return allowed
 
 
-def _tags(html: Column, name: str) -> Column:
-    tokens = F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(0))
+def page_tokens(html: Column) -> Column:
+    """Comments, raw text, scripts and links of a page, in order."""
+    return F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(0))
+
+
+def _tags(tokens: Column, name: str) -> Column:
     return F.filter(tokens, lambda t: t.rlike(rf"(?i)\A<{name}\b"))
 
 
@@ -72,14 +76,22 @@ def _attribute(attributes: Column, name: str) -> Column:
 
 def script_sources(html: Column) -> Column:
     """Trimmed ``src`` of every external script, in page order."""
-    sources = F.transform(_tags(html, "script"), lambda t: bind(_attributes(t), lambda a: _attribute(a, "src")))
+    return bind(page_tokens(html), _script_sources)
+
+
+def _script_sources(tokens: Column) -> Column:
+    sources = F.transform(_tags(tokens, "script"), lambda t: bind(_attributes(t), lambda a: _attribute(a, "src")))
     return F.transform(F.filter(sources, lambda s: s.isNotNull()), strip)
 
 
 def inline_texts(html: Column) -> Column:
     """Distinct, trimmed, non-blank texts of scripts without ``src``."""
+    return bind(page_tokens(html), _inline_texts)
+
+
+def _inline_texts(tokens: Column) -> Column:
     inline = F.filter(
-        _tags(html, "script"), lambda t: bind(_attributes(t), lambda a: _attribute(a, "src")).isNull())
+        _tags(tokens, "script"), lambda t: bind(_attributes(t), lambda a: _attribute(a, "src")).isNull())
     bodies = F.transform(
         inline, lambda t: strip(F.regexp_replace(F.regexp_replace(t, _HEAD, ""), r"(?i)</script\s*>\z", "")))
     return F.array_distinct(F.filter(bodies, lambda b: b != ""))
@@ -87,7 +99,10 @@ def inline_texts(html: Column) -> Column:
 
 def preload_targets(html: Column) -> Column:
     """``href`` of preload links that announce a script."""
+    return bind(page_tokens(html), _preload_targets)
+
 
+def _preload_targets(tokens: Column) -> Column:
     def target(tag):
         return bind(_attributes(tag), lambda a: bind(
             F.struct(
@@ -99,7 +114,7 @@ def preload_targets(html: Column) -> Column:
                 l["rel"].contains("preload") & ((l["as"] == "script") | l["href"].endswith(".js")), l["href"]),
         ))
 
-    return F.filter(F.transform(_tags(html, "link"), target), lambda h: h.isNotNull())
+    return F.filter(F.transform(_tags(tokens, "link"), target), lambda h: h.isNotNull())
 
 
 def import_targets(script: Column) -> Column:
@@ -147,17 +162,15 @@ def page_next_manifest_refs(scripts: DataFrame, keys=("page_id", "url"), content
 def page_script_urls(pages: DataFrame, keys=("page_id", "url"), base="url", scope=(), cross_origin=False) -> DataFrame:
     """Every script URL of a page, once, labelled with how it was found first:
     script tags, then preload links, then imports in inline scripts."""
-    html = F.col("html")
-
     def labelled(targets, how):
         urls = _resolved(targets, F.col(base), F.col("url"), scope, cross_origin)
         return F.transform(urls, lambda u: F.struct(u.alias("ref_url"), F.lit(how).alias("found_by")))
 
-    found = F.concat(
-        labelled(script_sources(html), "script"),
-        labelled(preload_targets(html), "preload"),
-        labelled(F.flatten(F.transform(inline_texts(html), import_targets)), "inline_import"),
-    )
+    found = bind(page_tokens(F.col("html")), lambda tokens: F.concat(
+        labelled(_script_sources(tokens), "script"),
+        labelled(_preload_targets(tokens), "preload"),
+        labelled(F.flatten(F.transform(_inline_texts(tokens), import_targets)), "inline_import"),
+    ))
     return pages.select(*keys, F.posexplode(first_by_key(found, "ref_url")).alias("ord", "ref")).select(
         *keys, "ord", "ref.ref_url", "ref.found_by")
 
@@ -201,12 +214,11 @@ def framework_labels(text: Column) -> Column:
 
 def detect_frameworks(pages: DataFrame, keys=("page_id", "url"), base="url", scope=(), cross_origin=False) -> DataFrame:
     """(page, framework) from the page text and the URLs of its scripts."""
-    html = F.col("html")
-    urls = F.array_distinct(F.concat(*[
+    urls = bind(page_tokens(F.col("html")), lambda tokens: F.array_distinct(F.concat(*[
         _resolved(t, F.col(base), F.col("url"), scope, cross_origin)
         for t in (
-            script_sources(html), preload_targets(html),
-            F.flatten(F.transform(inline_texts(html), import_targets)))
-    ]))
-    text = F.concat(html, F.array_join(urls, " "))
+            _script_sources(tokens), _preload_targets(tokens),
+            F.flatten(F.transform(_inline_texts(tokens), import_targets)))
+    ])))
+    text = F.concat("html", F.array_join(urls, " "))
     return pages.select(*keys, F.posexplode(bind(text, framework_labels)).alias("ord", "framework"))

@@ -43,13 +43,19 @@ def sourcemap_candidates(assets: DataFrame, keys=("asset_key",), url="url") -> D
 def locate_sourcemaps(
     assets: DataFrame, inventory: DataFrame, keys=("asset_key",), url="url", content="content", probe: bool = True
 ) -> DataFrame:
-    """(keys, map_url): the announced map, else the first captured candidate."""
+    """(keys, map_url): the announced map, else the first captured candidate.
+
+    With ``probe`` the announcements are stored first, without the texts, so no
+    text is searched twice.
+    """
     keys = list(keys)
     named = sourcemap_url(F.col(content), F.col(url))
-    announced = with_known(assets, "map_url", named).select(*keys, "map_url")
     if not probe:
-        return announced
-    silent = assets.filter(named.isNull())
+        return with_known(assets, "map_url", named).select(*keys, "map_url")
+    places = [c for c in dict.fromkeys([*keys, url])]
+    rows = staged(assets.select(*places, named.alias("__named")), shared_folder(assets.sparkSession, "announced-maps"))
+    announced = rows.filter("__named is not null").select(*keys, F.col("__named").alias("map_url"))
+    silent = rows.filter("__named is null")
     guessed = first_captured(sourcemap_candidates(silent, keys, url), inventory, keys, url="map_url")
     return announced.unionByName(guessed.select(*keys, "map_url"))
 

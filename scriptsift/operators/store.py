@@ -9,7 +9,7 @@ skewed partitions otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPS, cap, content_hash
@@ -30,22 +30,24 @@ def capped_findings(findings: DataFrame) -> DataFrame:
 
 
 def persistable_findings(findings: DataFrame, asset=("asset_key",), compat: bool = False) -> DataFrame:
-    """One finding per (asset, type, category, stored value).
+    """One finding per (asset, type, category, value), whole values compared.
 
-    ``compat`` leaves the category out of the key, so a value reported under two
-    categories of one type keeps only the earlier one.
+    ``compat`` cuts values and contexts to their stored lengths first and leaves
+    the category out of the key, so a value reported under two categories of one
+    type keeps only the earlier one.
     """
     key = [*asset, "finding_type", *([] if compat else ["category"]), "value"]
-    return first_per(capped_findings(findings), key, ["p_ord", "m_ord"])
+    return first_per(capped_findings(findings) if compat else findings, key, ["p_ord", "m_ord"])
 
 
 def new_findings(
     found: DataFrame, stored: DataFrame, asset=("project_id", "asset_id"), compat: bool = False
 ) -> DataFrame:
-    """Findings not stored yet, compared on the stored form of the value."""
+    """Findings not stored yet; ``compat`` compares and returns the cut values."""
     key = [*asset, "finding_type", *([] if compat else ["category"]), "value"]
-    return capped_findings(found).join(
-        stored.withColumn("value", F.substring("value", 1, CAPS["value"])).select(*key), key, "left_anti")
+    if compat:
+        found, stored = capped_findings(found), stored.withColumn("value", F.substring("value", 1, CAPS["value"]))
+    return found.join(stored.select(*key), key, "left_anti")
 
 
 def with_asset_url(findings: DataFrame, assets: DataFrame) -> DataFrame:
@@ -76,18 +78,37 @@ def unknown_urls(discovered: DataFrame, assets: DataFrame, key=("project_id", "u
     return discovered.dropDuplicates(key).join(assets.select(*key), key, "left_anti")
 
 
-def captured_bodies(responses: DataFrame) -> DataFrame:
-    """(url, body) of successful responses, the earliest capture per URL."""
-    ok = ok_responses(responses).select("url", "captured_at", F.col("content").alias("body"))
-    return first_per(ok, ["url"], ["captured_at"]).drop("captured_at")
+def _place(columns) -> Column:
+    """A number that orders responses by time, then id; fixed width, so minima hash."""
+    last = F.col("response_id") if "response_id" in columns else F.abs(F.xxhash64("content") % (1 << 62))
+    return (F.unix_micros("captured_at") * F.expr("10000000000000000000BD") + last).cast("decimal(38,0)")
+
+
+def first_captures(responses: DataFrame) -> DataFrame:
+    """(url, place) of the earliest successful response per URL, without texts."""
+    ok = ok_responses(responses)
+    return ok.groupBy("url").agg(F.min(_place(ok.columns)).alias("place"))
+
+
+def captured_bodies(responses: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
+    """(url, body) of successful responses, the earliest capture per URL.
+
+    The winners are found on numbers and then joined to the texts, so no text
+    enters an aggregate.  ``firsts`` is a stored result of ``first_captures``.
+    Without a ``response_id``, responses of one URL and time are told apart by
+    their content.
+    """
+    ok = ok_responses(responses)
+    bodies = ok.select("url", _place(ok.columns).alias("place"), F.col("content").alias("body"))
+    found = bodies.join(first_captures(responses) if firsts is None else firsts, ["url", "place"]).select("url", "body")
+    return found if "response_id" in responses.columns else found.distinct()
 
 
 def wanted_bodies(bodies: DataFrame, refs: DataFrame, url: str) -> DataFrame:
     """The bodies some reference asks for.
 
-    When the references are small enough to broadcast, the optimizer moves this
-    semi-join below the first-capture aggregate, so responses nobody refers to
-    are dropped at the scan; otherwise copies are combined first.
+    When the references are small enough to broadcast, responses nobody refers
+    to are dropped at the scan.
     """
     return bodies.join(refs.select(F.col(url).alias("url")).distinct(), "url", "left_semi")
 
@@ -119,9 +140,15 @@ def asset_import_graph(assets: DataFrame) -> DataFrame:
 
 
 def first_responses(responses: DataFrame, order=("captured_at", "response_id")) -> DataFrame:
-    """One response per distinct body, the earliest; copies combine map side."""
+    """One response per distinct body, the earliest.
+
+    The winner of each hash is found without its text; ``order`` tells all
+    responses of one body apart.
+    """
     hashed = responses.withColumn("content_hash", content_hash(F.col("content")))
-    return first_per(hashed, ["content_hash"], order)
+    order = list(order)
+    firsts = hashed.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("first")).select("content_hash", "first.*")
+    return hashed.join(firsts, ["content_hash", *order]).select(*hashed.columns)
 
 
 def all_findings(*parts: DataFrame) -> DataFrame:

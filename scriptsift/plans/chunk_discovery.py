@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import origin
 from ..operators import bundles
-from ..operators.store import captured_bodies, captured_urls, first_per
+from ..operators.store import captured_bodies, first_captures, first_per, wanted_bodies
 from ..session import shared_folder, staged
 
 
 def discover_chunks(
-    assets: DataFrame, responses: DataFrame, max_numbered: int = 1000, folder: str | None = None
+    assets: DataFrame, responses: DataFrame, folder: str | None = None, compat: bool = False,
+    pages: DataFrame | None = None, firsts: DataFrame | None = None,
 ) -> DataFrame:
     """Chunks reachable from bundles, once per (page, url).
 
-    ``assets`` has asset_key, base_url (the page) and content.  The first bundle
-    naming a chunk becomes its parent.  Texts are read once: what they say about
-    chunks is stored in the shared folder, and the eight ways of finding chunks
-    work on that.  What belongs to a site or a public path rather than to one
-    bundle is worked out once per site or path.
+    ``assets`` has asset_key, content and, without ``pages``, base_url (the page).
+    ``pages`` has a row for every (asset_key, base_url) and may have the flags of
+    ``page_framework_hints``.  The first bundle naming a chunk becomes its parent.
+    Texts are read once: what they say about chunks is stored in the shared
+    folder, and the eight ways of finding chunks work on that.  Manifests are
+    read once for all bundles and parsed once per site.  ``compat`` finds
+    numbered chunks as a probe does.  ``firsts`` is a stored result of
+    ``first_captures``.
     """
-    inventory, bodies = captured_urls(responses), captured_bodies(responses)
     keys = ("asset_key", "base_url")
     folder = folder or shared_folder(assets.sparkSession, "chunks")
-    facts = staged(bundles.bundle_facts(assets, ("asset_key",)), f"{folder}/facts")
+    if firsts is None:
+        firsts = staged(first_captures(responses), f"{folder}/firsts")
+    inventory = firsts.select("url")
+    texts = staged(bundles.bundle_facts(assets, keys if pages is None else ("asset_key",)), f"{folder}/texts")
+    placed = texts if pages is None else texts.join(pages, "asset_key")
+    facts = staged(
+        bundles.placed_facts(placed).withColumn("site", origin(F.col("base_url"))), f"{folder}/facts")
 
     def of(name):
         return facts.filter(F.col("framework") == name)
@@ -39,13 +48,18 @@ def discover_chunks(
             F.lit(framework).alias("framework"),
             (source if not isinstance(source, str) else F.lit(source)).alias("source"))
 
-    def per_page(rows):
-        """The first bundle of every page, with the page's site."""
-        return rows.groupBy("base_url").agg(F.min("asset_key").alias("asset_key")).withColumn(
-            "site", origin(F.col("base_url")))
+    def per_page(rows, *more):
+        """The first bundle of every page."""
+        return rows.groupBy("base_url", "site", *more).agg(F.min("asset_key").alias("asset_key"))
 
     nextjs, vite, webpack = of("nextjs"), of("vite"), of("webpack")
 
+    heads = per_page(nextjs.filter("manifest_url is not null"), "manifest_url")
+    manifests = heads.select("site", "manifest_url").distinct()
+    asked = manifests.select(F.col("manifest_url").alias("url")).union(bundles.vite_manifest_places(vite).select("url"))
+    bodies = staged(wanted_bodies(captured_bodies(responses, firsts), asked, "url"), f"{folder}/manifests")
+    listed = bundles.next_build_manifest_refs(manifests, bodies, ("site", "manifest_url"), base="site")
+
     standard = bundles.next_standard_candidates(nextjs).join(inventory, "url", "left_semi")
     vite_files = bundles.vite_manifest_refs(vite, bodies)
     mapped = bundles.webpack_chunk_refs(webpack, keys)
@@ -55,12 +69,12 @@ def discover_chunks(
         mapped.select("asset_key").unionByName(hashed.select("asset_key")).distinct(), "asset_key", "left_anti")
     rooted = empty_handed.groupBy("base_url", "root").agg(F.min("asset_key").alias("asset_key"))
     numbered = rooted.join(
-        bundles.numbered_chunks(rooted.select("root").distinct(), inventory, max_numbered), "root",
-    ).withColumn("ord", F.col("chunk_id").cast("int"))
+        bundles.numbered_chunks(rooted.select("root").distinct(), inventory, compat), "root",
+    ).withColumn("ord", F.col("chunk_id").try_cast("int"))
 
     found = [
         shaped(bundles.next_chunk_refs(nextjs, keys), "nextjs", "next_static_chunks", 0),
-        shaped(bundles.next_build_manifest_refs(nextjs, bodies, keys), "nextjs", "next_build_manifest", 1),
+        shaped(heads.join(listed, ["site", "manifest_url"]), "nextjs", "next_build_manifest", 1),
         shaped(per_page(nextjs).join(standard, "site"), "nextjs", "next_standard", 2),
         shaped(per_page(vite).join(vite_files.withColumn("ord", F.col("entry") * 1000 + F.col("pos")), "site"),
                "vite", F.col("source"), 0),

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cap
 from ..operators import sourcemaps
+from ..operators.bundles import page_framework_hints
 from ..operators.pages import inline_scripts, page_script_urls
 from ..operators.reflow import best_content, reflow_minified
 from ..operators.scan import scan_once_per_hash, scan_patterns
-from ..operators.store import captured_bodies, persistable_findings, with_body
+from ..operators.store import captured_bodies, first_captures, persistable_findings, with_body
 from ..session import shared_folder, staged
 from .chunk_discovery import discover_chunks
 
@@ -43,17 +43,21 @@ def scan_site(
     stage and not the run.
     """
     folder = folder or shared_folder(spark, "site-scan")
-    bodies = captured_bodies(responses)
+    firsts = staged(first_captures(responses), f"{folder}/firsts")
+    bodies = captured_bodies(responses, firsts)
 
-    urls = page_script_urls(pages, ("url",), scope=scope, cross_origin=cross_origin)
-    wanted = staged(
-        urls.groupBy(F.col("ref_url").alias("asset_url")).agg(F.min("url").alias("base_url")), f"{folder}/urls")
+    refs = page_script_urls(pages, ("url",), scope=scope, cross_origin=cross_origin)
+    refs = staged(refs.select(F.col("url").alias("base_url"), F.col("ref_url").alias("asset_url")), f"{folder}/urls")
+    wanted = refs.groupBy("asset_url").agg(F.min("base_url").alias("base_url"))
     external = with_body(wanted, bodies, "asset_url").select(
         "asset_url", "base_url", F.col("body").alias("content"), F.lit("javascript").alias("asset_type"))
     external = staged(external, f"{folder}/external")
 
-    keyed = external.withColumn("asset_key", F.col("asset_url"))
-    chunks = staged(discover_chunks(keyed, responses, folder=folder), f"{folder}/chunks")
+    # A bundle is read once, but looked at from every page that loads it.
+    hints = page_framework_hints(refs, "base_url", "asset_url")
+    loads = refs.distinct().join(hints, "base_url").withColumnRenamed("asset_url", "asset_key")
+    keyed = external.select(F.col("asset_url").alias("asset_key"), "content")
+    chunks = staged(discover_chunks(keyed, responses, folder, pages=loads, firsts=firsts), f"{folder}/chunks")
     unseen = chunks.join(
         external.select(F.col("asset_url").alias("url")), "url", "left_anti",
     ).groupBy("url").agg(F.min("base_url").alias("base_url"))
@@ -62,7 +66,7 @@ def scan_site(
     scripts = staged(external.unionByName(loaded), f"{folder}/scripts")
 
     located = staged(sourcemaps.locate_sourcemaps(
-        scripts, bodies.select("url"), ("asset_url",), "asset_url", probe=False), f"{folder}/maps")
+        scripts, firsts.select("url"), ("asset_url",), "asset_url", probe=False), f"{folder}/maps")
     maps = sourcemaps.load_sourcemaps(located, bodies, ("asset_url",))
     source_files = staged(
         sourcemaps.explode_sources(maps, bodies, ("asset_url",), folder), f"{folder}/source_files")
@@ -71,10 +75,13 @@ def scan_site(
     text = F.col("content")
     reflowed = reflow_minified(text) if reflow else F.lit(None).cast("string")
     best = scripts.join(recovered, "asset_url", "left").select(
-        "asset_url", best_content(cap(F.col("source_mapped_content"), "source_mapped_content"), reflowed, text).alias("content"))
+        "asset_url", best_content(F.col("source_mapped_content"), reflowed, text).alias("content"))
     inline = inline_scripts(pages, ("url",)).select("asset_url", "content")
 
     everything = best.unionByName(inline)
+    if once_per_hash:
+        # Read for the distinct texts and again for the assets that hold them.
+        everything = staged(everything, f"{folder}/texts_to_scan")
     scan = scan_once_per_hash if once_per_hash else scan_patterns
     findings = persistable_findings(scan(everything, ("asset_url",), **options), ("asset_url",))
     return SiteScan(scripts, chunks, source_files, staged(findings, f"{folder}/findings"))

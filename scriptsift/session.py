@@ -18,10 +18,17 @@ SETTINGS = {
 }
 
 
+# Folders handed out, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def local_session(cores: int | str = 8, memory: str = "12g", app: str = "scriptsift", **extra) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.driver.memory", memory)
     settings = {**SETTINGS, "spark.sql.shuffle.partitions": str(cores), **extra}
+    if "spark.checkpoint.dir" not in settings:
+        # One machine: its temporary folder is shared by all there is.
+        settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="scriptsift-")
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -33,16 +40,24 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
     Taken from ``spark.checkpoint.dir``, else from the context's checkpoint
-    folder.  Only a local session, where driver and executors are one machine,
-    may fall back to a temporary folder.
+    folder; a session without either is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="scriptsift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    path = os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete the folders this application has staged; results read from them end with it."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
 
 
 def staged(rows: DataFrame, path: str) -> DataFrame:

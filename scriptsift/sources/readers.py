@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from .schemas import RESPONSES
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer splits than cores.
-
-    Large inputs arrive in many splits and pass through without a shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """HTML pages: page_id, url, html."""
     return spark.read.parquet(path).select("page_id", "url", "html")

@@ -7,7 +7,7 @@ responses give the same findings.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +17,7 @@ from ..operators.predicates import classify_stream_response
 from ..operators.reflow import best_content, reflow_minified
 from ..operators.rollups import asset_summary
 from ..operators.scan import scan_patterns
-from ..operators.store import capped_findings, first_per, new_findings
+from ..operators.store import first_per
 
 DEFAULT_PROJECT = "proxy_capture"
 ASSET_SCHEMA = (
@@ -60,19 +60,23 @@ def stream_counts(findings: DataFrame, keys=("url",)) -> DataFrame:
     return asset_summary(findings, keys=keys).drop("low")
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str, base: str | None = None) -> DataFrame:
+    """A stored table; empty before its first batch.  Any other failure is raised."""
+    reader = spark.read.schema(schema)
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+        return (reader.option("basePath", base) if base else reader).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def asset_versions(spark: SparkSession, root: str) -> DataFrame:
-    return _table(spark, f"{root}/assets", ASSET_SCHEMA)
+    return _read(spark, f"{root}/assets", ASSET_SCHEMA)
 
 
 def captured_findings(spark: SparkSession, root: str) -> DataFrame:
-    return _table(spark, f"{root}/findings", FINDING_SCHEMA)
+    return _read(spark, f"{root}/findings", FINDING_SCHEMA)
 
 
 def latest_assets(versions: DataFrame) -> DataFrame:
@@ -88,25 +92,67 @@ def ensure_project(projects: DataFrame, name: str = DEFAULT_PROJECT) -> DataFram
     return projects.unionByName(wanted.join(projects.select("name"), "name", "left_anti"), allowMissingColumns=True)
 
 
-def write_batch(batch: DataFrame, batch_id: int, root: str, deduplicate: bool = True, **options) -> None:
+def _bucket(key: Column) -> Column:
+    """One of 4096 buckets of a key."""
+    return F.substring(F.sha2(key, 256), 1, 3)
+
+
+def _seen_before(keys: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Keys of earlier batches, from the buckets that ``keys`` (bucket, key) touches.
+
+    Buckets are folders, so the history that a batch opens follows the batch and
+    not the length of the capture.
+    """
+    spark = keys.sparkSession
+    touched = sorted(r["bucket"] for r in keys.select("bucket").distinct().collect())
+    schema = "key string, bucket string, batch_id bigint"
+    if not touched:
+        return spark.createDataFrame([], schema).select("key")
+    found = _read(spark, f"{path}/bucket={{{','.join(touched)}}}", schema, path)
+    return found.filter(F.col("batch_id") < batch_id).select("key").distinct()
+
+
+def _remember(keys: DataFrame, path: str, batch_id: int) -> None:
+    """Store keys by bucket; a repeated batch replaces what it stored."""
+    (
+        keys.select("key", "bucket", F.lit(batch_id).cast("bigint").alias("batch_id")).distinct()
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path))
+
+
+def write_batch(
+    batch: DataFrame, batch_id: int, root: str, deduplicate: bool = True, remembered: bool = True, **options,
+) -> None:
     """Store one micro-batch: new asset versions, then their findings.
 
     Both go to folders named by the batch, replaced as a whole, so a repeated
-    batch leaves the same result.  Bodies seen in any earlier batch are skipped.
+    batch leaves the same result.  With ``remembered`` bodies seen in any earlier
+    batch are skipped; without it the stream's own state has dropped them.
     """
     spark = batch.sparkSession
-    earlier = asset_versions(spark, root).filter(F.col("batch_id") < batch_id)
-    fresh = first_per(batch, ["content_hash"], ["captured_at", "url"]).join(
-        earlier.select("content_hash").distinct(), "content_hash", "left_anti")
+    fresh = first_per(batch, ["content_hash"], ["captured_at", "url"])
+    hashes = f"{root}/hashes"
+    if remembered:
+        asked = batch.select(F.col("content_hash").alias("key"), _bucket(F.col("content_hash")).alias("bucket"))
+        seen = _seen_before(asked, hashes, batch_id)
+        fresh = fresh.join(seen.withColumnRenamed("key", "content_hash"), "content_hash", "left_anti")
     target = f"{root}/assets/batch_id={batch_id}"
     fresh.write.mode("overwrite").parquet(target)
-
     stored = spark.read.parquet(target)
-    findings = capped_findings(live_findings(stored, **options))
-    if deduplicate:
-        known = captured_findings(spark, root).filter(F.col("batch_id") < batch_id)
-        findings = new_findings(findings, known, ("url",))
-    findings.write.mode("overwrite").parquet(f"{root}/findings/batch_id={batch_id}")
+    if remembered:
+        _remember(stored.select(F.col("content_hash").alias("key"), _bucket(F.col("content_hash")).alias("bucket")), hashes, batch_id)
+
+    findings = live_findings(stored, **options)
+    target = f"{root}/findings/batch_id={batch_id}"
+    if not deduplicate:
+        findings.write.mode("overwrite").parquet(target)
+        return
+    # Everything known of a URL lies in one bucket.
+    key = F.sha2(F.concat_ws("\u0000", "url", "finding_type", "category", "value"), 256)
+    keyed = findings.select("*", key.alias("key"), _bucket(F.col("url")).alias("bucket"))
+    asked = stored.select(_bucket(F.col("url")).alias("bucket"))
+    known = _seen_before(asked, f"{root}/known", batch_id)
+    keyed.join(known, "key", "left_anti").write.mode("overwrite").parquet(target)
+    _remember(spark.read.parquet(target).select("key", "bucket"), f"{root}/known", batch_id)
 
 
 def start_capture(
@@ -122,14 +168,15 @@ def start_capture(
 ) -> StreamingQuery:
     """Run the capture.  ``root`` and ``checkpoint`` are shared folders.
 
-    Without ``watermark`` bodies are remembered in the stored table for ever;
-    with it, by bounded state for that long.
+    Without ``watermark`` the hashes of all bodies are stored and every batch
+    looks its own up; with it, bodies are remembered by bounded state for that
+    long and no history of them is read.
     """
     texts = live_texts(responses, scope, scope_base)
     if watermark:
         texts = first_sightings(texts, watermark)
     return (
-        texts.writeStream.foreachBatch(lambda b, i: write_batch(b, i, root, deduplicate, **options))
+        texts.writeStream.foreachBatch(lambda b, i: write_batch(b, i, root, deduplicate, not watermark, **options))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -82,16 +82,23 @@ def numbered(spark, numbers, name="{}.chunk.js", **options):
     return sorted(int(r.chunk_id) for r in got.values() if r.source == "numbered")
 
 
-def test_numbered_chunks_stop_after_ten_misses(spark):
-    assert numbered(spark, [0, 1, 2, 3, 20]) == [0, 1, 2, 3]
-    assert numbered(spark, [0, 10, 20, 31]) == [0, 10, 20]
-    assert numbered(spark, [9, 10]) == [9, 10]
-    assert numbered(spark, [10, 11]) == []
-    assert numbered(spark, range(8), max_numbered=5) == [0, 1, 2, 3, 4]
+def test_every_captured_number_counts(spark):
+    assert numbered(spark, [0, 1, 2, 20, 31]) == [0, 1, 2, 20, 31]
+    assert numbered(spark, [10, 11]) == [10, 11]
+    assert numbered(spark, range(1200)) == list(range(1200))
+    assert numbered(spark, [7, 10 ** 12]) == [7, 10 ** 12]
     assert numbered(spark, [0, 1], name="chunk.{}.js") == [0, 1]
     assert numbered(spark, ["00", "1x"], name="{}.js") == []
 
 
+def test_a_probe_stops_after_ten_misses(spark):
+    assert numbered(spark, [0, 1, 2, 4, 21], compat=True) == [0, 1, 2, 4]
+    assert numbered(spark, [0, 10, 20, 31], compat=True) == [0, 10, 20]
+    assert numbered(spark, [9, 10], compat=True) == [9, 10]
+    assert numbered(spark, [10, 11], compat=True) == []
+    assert numbered(spark, range(1003), compat=True) == list(range(1000))
+
+
 def test_numbered_chunks_prefer_the_first_name(spark):
     roots = spark.createDataFrame([("https://h.example/n/",)], "root string")
     inventory = spark.createDataFrame(

@@ -30,13 +30,45 @@ def test_site_scan_follows_chunks_and_maps(spark):
     assert {(r.asset_url, r.asset_type) for r in scan.assets.collect()} == {
         ("https://h.example/main.js", "javascript"), ("https://h.example/mapped.js", "javascript"),
         ("https://h.example/c/lazy.chunk.js", "chunk")}
-    assert [(r.url, r.chunk_id) for r in scan.chunks.collect()] == [("https://h.example/c/lazy.chunk.js", "1")]
+    assert sorted((r.base_url, r.url, r.chunk_id) for r in scan.chunks.collect()) == [
+        (page, "https://h.example/c/lazy.chunk.js", "1") for page in ("https://h.example/", "https://h.example/two")]
     assert [r.name for r in scan.source_files.collect()] == ["src/s.ts"]
     assert {(r.asset_url, r.pattern_name, r.line_number) for r in scan.findings.collect()} == {
         ("https://h.example/main.js", "innerhtml_sink", 1), ("https://h.example/c/lazy.chunk.js", "cookie_access", 1),
         ("https://h.example/mapped.js", "document_write", 6), ("https://h.example/#inline-script-0", "eval_call", 1)}
 
 
+def test_a_bundle_of_two_sites_is_looked_at_from_both(spark):
+    pages = spark.createDataFrame([
+        (i, f"https://{site}.example/", '<script src="https://cdn.example/lib.js"></script>') for i, site in enumerate("ab")],
+        "page_id int, url string, html string")
+    captured = responses(spark, [
+        ("https://cdn.example/lib.js", '__webpack_require__.p="/c/";u=({1:"lazy"}[e])'),
+        ("https://a.example/c/lazy.chunk.js", "eval(1)"), ("https://b.example/c/lazy.chunk.js", "eval(2)")])
+    scan = scan_site(spark, pages, captured, cross_origin=True)
+    assert {r.asset_url for r in scan.findings.collect()} == {"https://a.example/c/lazy.chunk.js", "https://b.example/c/lazy.chunk.js"}
+
+
+def test_urls_of_a_page_tell_the_framework(spark):
+    pages = spark.createDataFrame([(1, "https://h.example/", '<script src="/_next/static/chunks/a.js"></script>')],
+                                  "page_id int, url string, html string")
+    captured = responses(spark, [
+        ("https://h.example/_next/static/chunks/a.js", '{"buildId":"B1"}'),
+        ("https://h.example/_next/static/B1/_buildManifest.js", '["/p.js"]'),
+        ("https://h.example/_next/static/chunks/main.js", "x")])
+    assert {(r.url, r.source) for r in scan_site(spark, pages, captured).chunks.collect()} == {
+        ("https://h.example/_next/static/p.js", "next_build_manifest"),
+        ("https://h.example/_next/static/chunks/main.js", "next_standard")}
+
+
+def test_sources_are_scanned_to_their_end(spark):
+    doc = {"sources": ["s.ts"], "sourcesContent": ["x" * 2_000_100 + "\neval(q)"]}
+    pages = spark.createDataFrame([(1, "https://h.example/", '<script src="/m.js"></script>')], "page_id int, url string, html string")
+    captured = responses(spark, [
+        ("https://h.example/m.js", "//# sourceMappingURL=m.map"), ("https://h.example/m.map", json.dumps(doc))])
+    assert [r.value for r in scan_site(spark, pages, captured).findings.collect()] == ["eval("]
+
+
 def test_once_per_hash_gives_the_same_site(spark):
     pages = spark.createDataFrame([(1, "https://h.example/", '<script src="/a.js"></script><script src="/b.js"></script>')],
                                   "page_id int, url string, html string")
@@ -69,4 +101,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)

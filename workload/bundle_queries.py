@@ -188,6 +188,20 @@ def vite_asset_refs(spark, sf):
     return B.vite_asset_refs(bundlers(spark, sf))
 
 
+_ALL_NUMBERED = f"""(SELECT root, n, arg_min(url, candidate) AS url FROM (
+  SELECT root, url, regexp_extract(name, '^(?:chunk\\.)?([0-9]+)', 1) AS n,
+    CASE WHEN name LIKE '%.chunk.js' THEN 0 WHEN name LIKE 'chunk.%' THEN 2 ELSE 1 END AS candidate
+  FROM (SELECT root, url, substr(url, length(root) + 1) AS name FROM (SELECT DISTINCT root FROM {_ROOTS}) r JOIN {_INVENTORY} i ON starts_with(url, root))
+  WHERE regexp_full_match(name, '(chunk\\.)?(0|[1-9][0-9]*)(\\.chunk)?\\.js') AND NOT name LIKE 'chunk.%.chunk.js') GROUP BY root, n)"""
+
+
+@query("numbered_chunks", f"SELECT root, n AS chunk_id, url FROM {_ALL_NUMBERED}")
+def numbered_chunks(spark, sf):
+    roots = bundlers(spark, sf).select(
+        B.public_path(F.col("content"), F.col("base_url")).alias("root")).distinct()
+    return B.numbered_chunks(roots, store.captured_urls(capture(spark, sf)))
+
+
 # Numbered chunks the way a probe finds them: candidates 0, 1, 2, … per root.
 _PROBED = f"""(SELECT root, n, min(candidate) AS candidate, arg_min(url, candidate) AS url FROM
 (SELECT root, n, unnest(range(0, 3)) AS candidate, root || unnest(list_value(n || '.chunk.js', n || '.js', 'chunk.' || n || '.js')) AS url
@@ -197,11 +211,11 @@ _NUMBERED = f"""(SELECT root, n, url FROM (SELECT root, n, url, max(gap) OVER (P
 (SELECT *, n - coalesce(lag(n) OVER (PARTITION BY root ORDER BY n), -1) - 1 AS gap FROM {_PROBED})) WHERE widest < 10)"""
 
 
-@query("numbered_chunks", f"SELECT root, cast(n AS varchar) AS chunk_id, url FROM {_NUMBERED}")
-def numbered_chunks(spark, sf):
+@query("numbered_chunks_compat", f"SELECT root, cast(n AS varchar) AS chunk_id, url FROM {_NUMBERED}")
+def numbered_chunks_compat(spark, sf):
     roots = bundlers(spark, sf).select(
         B.public_path(F.col("content"), F.col("base_url")).alias("root")).distinct()
-    return B.numbered_chunks(roots, store.captured_urls(capture(spark, sf)))
+    return B.numbered_chunks(roots, store.captured_urls(capture(spark, sf)), compat=True)
 
 
 _FOUND = f"""
@@ -221,7 +235,7 @@ found AS (
   UNION ALL SELECT r.base_url, r.url, r.asset_key, 1, i, NULL, NULL, 'vite', 'vite_asset_ref' FROM {_VITE_ASSETS} r JOIN a USING (asset_key) WHERE a.framework = 'vite'
   UNION ALL SELECT base_url, url, asset_key, 0, ord, chunk_id, NULL, 'webpack', 'webpack5_map' FROM mapped
   UNION ALL SELECT base_url, url, asset_key, 1, ord, chunk_id, chunk_hash, 'webpack', 'webpack5_hash' FROM hashed
-  UNION ALL SELECT base_url, n.url, asset_key, 2, n.n, cast(n.n AS varchar), NULL, 'webpack', 'numbered' FROM roots JOIN {_NUMBERED} n USING (root))
+  UNION ALL SELECT base_url, n.url, asset_key, 2, cast(n.n AS int), n.n, NULL, 'webpack', 'numbered' FROM roots JOIN {_ALL_NUMBERED} n USING (root))
 SELECT base_url, url, (b).asset_key AS asset_key, (b).chunk_id AS chunk_id, (b).chunk_hash AS chunk_hash, (b).framework AS framework, (b).source AS source
 FROM (SELECT base_url, url, arg_min(struct_pack(asset_key, chunk_id, chunk_hash, framework, source), (asset_key, pr, o)) AS b FROM found GROUP BY base_url, url)"""
 

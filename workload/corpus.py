@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptsift.sources.readers import spread
+from .registry import spread
 
 NL = "chr(10)"
 

@@ -11,7 +11,7 @@ from scriptsift.sources import readers
 
 from .corpus import BUNDLES, LINKS, RESPONSES, SITE_PAGES
 from .duck import findings_by_line, lit, origin, part, resolve_url
-from .registry import query
+from .registry import query, spread
 
 
 def site_pages(spark, sf):
@@ -92,7 +92,7 @@ def inline_scripts(spark, sf):
 SELECT page_id, url, 0 AS ord, regexp_extract(html, '<script>(.*?)</script>', 1, 's') AS content,
   concat(url, '#inline-script-0') AS asset_url FROM pages""")
 def inline_scripts_of_pages(spark, sf):
-    return P.inline_scripts(readers.spread(readers.read_pages(spark, f"{sf}/pages.parquet")))
+    return P.inline_scripts(spread(readers.read_pages(spark, f"{sf}/pages.parquet")))
 
 
 @query("inline_script_findings", f"""
@@ -163,7 +163,7 @@ SELECT page_id, 'nextjs' AS framework FROM pages WHERE contains(html, '_next/')
 UNION ALL SELECT page_id, f FROM pages, (VALUES ('vite'), ('webpack'), ('remix'), ('nuxt')) v(f) WHERE contains(lower(html), f)
 ) f USING (page_id) GROUP BY 1""")
 def frameworks_of_pages(spark, sf):
-    pages = readers.spread(readers.read_pages(spark, f"{sf}/pages.parquet"))
+    pages = spread(readers.read_pages(spark, f"{sf}/pages.parquet"))
     labelled = pages.select("page_id").join(P.detect_frameworks(pages), "page_id", "left")
     return labelled.groupBy(F.coalesce("framework", F.lit("none")).alias("framework")).agg(F.count("*").alias("n_pages"))
 
@@ -177,7 +177,7 @@ _EDGE_SCRIPTS = (
 
 
 def edge_scripts(spark, sf):
-    readers.spread(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")).createOrReplaceTempView("orders")
+    spread(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")).createOrReplaceTempView("orders")
     return spark.sql(f"SELECT * FROM {_EDGE_SCRIPTS}")
 
 

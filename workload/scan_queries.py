@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from scriptsift.operators import catalog, extract, listing, rollups, scan, store
 from scriptsift.operators.detectors import SEVERITIES
 from scriptsift.plans.file_analysis import analyze_texts
-from scriptsift.sources.readers import spread
 
 from .corpus import BUNDLES, SITE_PAGES
 from .duck import RANK, findings_by_line, lit, matches_by_line, matches_in_text
-from .registry import query
+from .registry import query, spread
 
 KEYS = "asset_key, asset_url"
 BUNDLE_FINDINGS = findings_by_line(BUNDLES.sql, KEYS)
@@ -225,7 +224,7 @@ def with_places(ordered):
 
 @query("persisted_findings", f"""
 WITH {BUNDLE_FINDINGS}
-SELECT asset_key, finding_type, category, substr(value, 1, 500) AS value, min(line_number) AS line_number FROM f
+SELECT asset_key, finding_type, category, value, min(line_number) AS line_number FROM f
 GROUP BY ALL""")
 def persisted_findings(spark, sf):
     found = scan.scan_patterns(bundles(spark, sf))

@@ -76,7 +76,7 @@ _EARLIER = "discovered_at < TIMESTAMP '2024-01-01 09:00:00'"
 
 @query("new_findings", f"""
 SELECT id FROM {FI} n WHERE NOT EXISTS (SELECT 1 FROM {FI} s WHERE s.discovered_at < TIMESTAMP '2024-01-01 09:00:00' AND s.project_id = n.project_id AND s.asset_id = n.asset_id
- AND s.finding_type = n.finding_type AND s.category = n.category AND substr(s.value, 1, 500) = substr(n.value, 1, 500))""")
+ AND s.finding_type = n.finding_type AND s.category = n.category AND s.value = n.value)""")
 def new_findings(spark, sf):
     findings = FINDINGS.frame(spark, sf)
     return store.new_findings(findings, findings.filter(_EARLIER)).select("id")
@@ -91,8 +91,8 @@ def new_findings_compat(spark, sf):
 
 
 @query("stored_value_dedup", f"""
-SELECT project_id, finding_type, category, substr(value, 1, 500) AS value, arg_min(id, cast(p_ord as bigint) * 100000000 + m_ord) AS id FROM {FI}
-GROUP BY project_id, finding_type, category, substr(value, 1, 500)""")
+SELECT project_id, finding_type, category, value, arg_min(id, cast(p_ord as bigint) * 100000000 + m_ord) AS id FROM {FI}
+GROUP BY project_id, finding_type, category, value""")
 def stored_value_dedup(spark, sf):
     return store.persistable_findings(FINDINGS.frame(spark, sf), ("project_id",)).select(
         "project_id", "finding_type", "category", "value", "id")

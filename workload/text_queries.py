@@ -11,7 +11,7 @@ from scriptsift.sources import readers, sinks
 
 from .corpus import ASSETS, BUNDLES, FINDINGS, LINKS, PROJECTS, RESPONSES, SITE_PAGES
 from .duck import RANK, join_url, lit, origin, part, resolve_url
-from .registry import query
+from .registry import query, spread
 
 # Line lengths of non-blank lines, as a list.
 _WIDTHS = "list_transform(list_filter(string_split({0}, chr(10)), lambda l: trim(l) <> ''), lambda l: length(l))"
@@ -30,7 +30,7 @@ def is_minified(spark, sf):
 @query("minified_documents", f"""
 SELECT source, lang, count(*) AS n, count(*) FILTER ({minified('text')}) AS n_minified FROM documents GROUP BY ALL""")
 def minified_documents(spark, sf):
-    docs = readers.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     return docs.groupBy("source", "lang").agg(
         F.count("*").alias("n"), F.count_if(text.is_minified(F.col("text"))).alias("n_minified"))
 
@@ -78,7 +78,7 @@ def content_hash(spark, sf):
 @query("document_hashes", """
 SELECT sha256(text) AS content_hash, count(*) AS n_copies, min(doc_id) AS first_doc FROM documents GROUP BY 1""")
 def document_hashes(spark, sf):
-    docs = readers.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     return docs.groupBy(text.content_hash(F.col("text")).alias("content_hash")).agg(
         F.count("*").alias("n_copies"), F.min("doc_id").alias("first_doc"))
 
@@ -93,7 +93,8 @@ def dedup_key(spark, sf):
 _SAFE = "regexp_replace(replace(replace(replace(replace({0}, '://', '_'), '/', '_'), '?', '_'), '&', '_'), '[<>:\"|*\\x00-\\x1f]', '_', 'g')"
 
 
-@query("safe_filename", f"SELECT k AS id, substr({_SAFE.format('base')}, 1, 200) AS file_name FROM (SELECT k, concat(base, ref) AS base FROM {LINKS.sql})")
+@query("safe_filename", f"""SELECT k AS id, CASE WHEN length(n) > 200 THEN substr(n, 1, 183) || '_' || substr(sha256(base), 1, 16) ELSE n END AS file_name
+FROM (SELECT k, base, {_SAFE.format('base')} AS n FROM (SELECT k, concat(base, ref) AS base FROM {LINKS.sql}))""")
 def safe_filename(spark, sf):
     return LINKS.frame(spark, sf).select(
         F.col("k").alias("id"), text.safe_filename(F.concat("base", "ref")).alias("file_name"))
@@ -220,7 +221,7 @@ def extract_hostnames(spark, sf):
 SELECT source, count(DISTINCT d.doc_id) AS n_docs, count(hostname) AS n_hostnames FROM documents d
 LEFT JOIN ({hosts_sql("documents", "doc_id", "text")}) h ON d.doc_id = h.doc_id GROUP BY source""")
 def hostnames_of_documents(spark, sf):
-    docs = readers.spread(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     return docs.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum(F.size(extract.hostnames(F.col("text")))).alias("n_hostnames"))
 
@@ -235,7 +236,7 @@ def sorted_endpoint_lists(spark, sf):
 
 
 @query("text_archive", f"""
-SELECT substr({_SAFE.format('asset_url')}, 1, 200) AS file_name, asset_url AS url, md5(content) AS digest FROM {BUNDLES.sql}""")
+SELECT CASE WHEN length(n) > 200 THEN substr(n, 1, 183) || '_' || substr(sha256(asset_url), 1, 16) ELSE n END AS file_name, asset_url AS url, md5(content) AS digest FROM (SELECT *, {_SAFE.format('asset_url')} AS n FROM {BUNDLES.sql})""")
 def text_archive(spark, sf):
     rows = sinks.text_archive(BUNDLES.frame(spark, sf), "asset_url")
     return rows.select("file_name", "url", F.md5("content").alias("digest"))
