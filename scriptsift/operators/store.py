@@ -9,7 +9,7 @@ skewed partitions otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPS, cap, content_hash
@@ -72,6 +72,20 @@ def delete_projects(projects: DataFrame, assets: DataFrame, findings: DataFrame,
     )
 
 
+STORED = ("projects", "assets", "findings")
+
+
+def rewrite_without(spark: SparkSession, source: str, target: str, names: DataFrame) -> None:
+    """Write the stored tables below ``source`` to ``target`` without the named projects.
+
+    The old tables stay as they are until the caller drops them, so a failed run
+    loses nothing.
+    """
+    tables = [spark.read.parquet(f"{source}/{name}") for name in STORED]
+    for name, rows in zip(STORED, delete_projects(*tables, names)):
+        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+
+
 def unknown_urls(discovered: DataFrame, assets: DataFrame, key=("project_id", "url")) -> DataFrame:
     """Discovered URLs the project does not hold yet."""
     key = list(key)

@@ -92,9 +92,13 @@ def ensure_project(projects: DataFrame, name: str = DEFAULT_PROJECT) -> DataFram
     return projects.unionByName(wanted.join(projects.select("name"), "name", "left_anti"), allowMissingColumns=True)
 
 
+# Folders that a table of remembered keys is dealt over.  A small batch opens a few
+# of them; every batch adds at most one small file to each.
+BUCKETS = 32
+
+
 def _bucket(key: Column) -> Column:
-    """One of 4096 buckets of a key."""
-    return F.substring(F.sha2(key, 256), 1, 3)
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("string")
 
 
 def _seen_before(keys: DataFrame, path: str, batch_id: int) -> DataFrame:
@@ -116,7 +120,7 @@ def _remember(keys: DataFrame, path: str, batch_id: int) -> None:
     """Store keys by bucket; a repeated batch replaces what it stored."""
     (
         keys.select("key", "bucket", F.lit(batch_id).cast("bigint").alias("batch_id")).distinct()
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path))
+        .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path))
 
 
 def write_batch(

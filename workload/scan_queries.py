@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from scriptsift.operators import catalog, extract, listing, rollups, scan, store
 from scriptsift.operators.detectors import SEVERITIES
+from scriptsift.plans.custom_scan import scan_custom
 from scriptsift.plans.file_analysis import analyze_texts
 
-from .corpus import BUNDLES, SITE_PAGES
+from .corpus import BUNDLES, SITE_PAGES, Derived, keyed
 from .duck import RANK, findings_by_line, lit, matches_by_line, matches_in_text
 from .registry import query, spread
 
@@ -322,3 +323,58 @@ def findings_of_reflowed_scripts(spark, sf):
     return analyze_texts(
         bundles(spark, sf), ("asset_key",), finding_types=["crypto_weakness", "storage"],
     ).select("asset_key", "pattern_name", "value")
+
+
+# Addresses that are equal in their first 500 characters and more.
+_LONG_VALUES = Derived("customer", (
+    keyed("c_custkey"),
+    (("asset_key", "k % 40"), ("content", "concat('u = \"https://h.example.com/', repeat('a', 520 + cast(k % 3 as int)), cast(k as string), '\"')")),
+))
+
+
+@query("long_value_findings", f"""
+SELECT DISTINCT asset_key, regexp_extract(content, 'https://[^"]*') AS value FROM {_LONG_VALUES.sql}""")
+def long_value_findings(spark, sf):
+    found = scan.scan_patterns(_LONG_VALUES.frame(spark, sf), ("asset_key",), finding_types=["endpoint"], enabled_categories=["full_url"])
+    return store.persistable_findings(found).select("asset_key", "value")
+
+
+@query("scan_documents_once_per_hash", f"""
+WITH {matches_in_text('documents', 'doc_id', content='text')}
+SELECT DISTINCT doc_id, pattern_name, v AS value FROM m""")
+def scan_documents_once_per_hash(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return scan.scan_once_per_hash(docs, ("doc_id",), "text").select("doc_id", "pattern_name", "value")
+
+
+# Rules that grow with the suppliers; every ninth cannot be compiled.
+RULES_SQL = (
+    "(SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 7 END AS project_id, concat('rule', cast(s_suppkey as string)) AS name, "
+    "'regex' AS pattern_type, CASE WHEN s_suppkey % 9 = 4 THEN concat('(', cast(s_suppkey as string)) "
+    "ELSE concat('bundle ', cast(s_suppkey as string), '[0-9]?;') END AS pattern, "
+    "'custom' AS finding_type, 'low' AS severity, '' AS description, s_suppkey % 5 <> 1 AS enabled FROM supplier)")
+
+
+def rules(spark, sf):
+    spark.read.parquet(f"{sf}/supplier.parquet").createOrReplaceTempView("supplier")
+    return spark.sql(RULES_SQL.strip("()"))
+
+
+@query("rejected_patterns", f"""
+SELECT name, pattern AS regex FROM {RULES_SQL} WHERE enabled AND id % 9 = 4 AND (project_id IS NULL OR project_id = 7)""")
+def rejected_patterns(spark, sf):
+    _, rejected = catalog.valid_detectors(spark, catalog.custom_detectors(rules(spark, sf), 7))
+    return rejected.select("name", "regex")
+
+
+_RULE_TEXTS = Derived("orders", (
+    keyed("o_orderkey"), (("asset_key", "k"), ("content", "concat('x; bundle ', cast(k % 700 as string), '; y')"))))
+
+
+@query("scan_custom_table", f"""
+SELECT DISTINCT asset_key, name AS pattern_name, regexp_extract(content, 'bundle [0-9]+;') AS value FROM {_RULE_TEXTS.sql} a
+JOIN (SELECT *, unnest(list_concat([''], [cast(d AS varchar) for d in range(10)])) AS digit FROM {RULES_SQL} WHERE enabled AND id % 9 <> 4 AND (project_id IS NULL OR project_id = 7)) p
+ON contains(a.content, 'bundle ' || p.id || p.digit || ';')""")
+def scan_custom_table(spark, sf):
+    found = scan_custom(_RULE_TEXTS.frame(spark, sf), rules(spark, sf), 7, ("asset_key",), page=40)
+    return found.select("asset_key", "pattern_name", "value")

@@ -15,11 +15,20 @@ from .page_queries import STREAM_KIND
 from .registry import query
 
 
+# Files the events arrive in, one micro-batch each.
+ARRIVALS = 4
+
+
 def response_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = stream_responses(
-        spark, sf, schema=schema, pathGlobFilter="events.parquet", maxFilesPerTrigger="1")
-    return RESPONSES.project(events)
+    """The events as files that arrive in the order of their time."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    folder = shared_folder(spark, "arrivals")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - first) * ARRIVALS / (last - first + 1))
+    for k in range(ARRIVALS):
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return RESPONSES.project(stream_responses(spark, folder, schema=events.schema, maxFilesPerTrigger="1"))
 
 
 _KEPT = f"(SELECT *, {STREAM_KIND} AS asset_type, sha256(content) AS content_hash FROM {RESPONSES.sql} WHERE trim(content) <> '' AND {STREAM_KIND} IS NOT NULL)"
