@@ -11,7 +11,11 @@ from .arrays import bind
 # ASCII separators, which the JVM leaves out of \s.
 SPACE = r"[\s\x1c-\x1f]"
 EDGE_SPACE = rf"(?U)\A{SPACE}+|{SPACE}+\z"
-_ANY_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+_ANY_BREAK = rf"\r\n|[{_BREAKS}]"
+# A whole line with anything but white space.  It is entered at its start only.
+_BLANKS = rf"[[\s\x1f]&&[^{_BREAKS}]]"
+_FULL_LINE = rf"(?U)(?<!{_BLANKS}){_BLANKS}*+[^\s\x1c-\x1f][^{_BREAKS}]*+"
 MINIFIED_MEAN_LINE = 200
 
 # Text caps of the stored columns, in characters.
@@ -41,14 +45,9 @@ def any_lines(text: Column) -> Column:
 
 def is_minified(text: Column) -> Column:
     """True when the non-blank lines are longer than 200 characters on average."""
-    lengths = F.transform(
-        F.filter(F.split(text, _ANY_BREAK, -1), lambda l: ~is_blank(l)), lambda l: F.length(l)
-    )
-    wide = bind(
-        lengths,
-        lambda ls: F.aggregate(ls, F.lit(0).cast("bigint"), lambda a, n: a + n) > F.size(ls) * MINIFIED_MEAN_LINE,
-    )
-    return F.coalesce(wide, F.lit(False))
+    lines = F.regexp_count(text, F.lit(_FULL_LINE))
+    length = F.length(text) - F.length(F.regexp_replace(text, _FULL_LINE, ""))
+    return F.coalesce(length > lines * MINIFIED_MEAN_LINE, F.lit(False))
 
 
 def cap(text: Column, field: str) -> Column:

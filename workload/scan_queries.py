@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptsift.operators import catalog, extract, listing, rollups, scan, store
 from scriptsift.operators.detectors import SEVERITIES
 from scriptsift.plans.custom_scan import scan_custom
 from scriptsift.plans.file_analysis import analyze_texts
+from scriptsift.session import shared_folder, staged
 
 from .corpus import BUNDLES, SITE_PAGES, Derived, keyed
 from .duck import RANK, findings_by_line, lit, matches_by_line, matches_in_text
@@ -211,10 +213,12 @@ def with_places(ordered):
     """Number the rows of a sorted frame without moving them to one task.
 
     Rows are counted per partition of the sort, and each partition starts where
-    the ones before it end.
+    the ones before it end.  The sorted rows are stored, so that counts and rows
+    come from one and the same sort.
     """
-    from pyspark.sql import Window
-    part = ordered.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    part = staged(
+        ordered.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}),
+        shared_folder(ordered.sparkSession, "places"))
     counts = part.groupBy("__p").agg(F.count("*").alias("__n"))
     before = counts.withColumn(
         "__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
