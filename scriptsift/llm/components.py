@@ -18,8 +18,15 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     not land in one task.  Null ends and loops are ignored; an empty table
     gives an empty one.
     """
-    pairs = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
-    both = stage(pairs.union(pairs.select("b", "a")).distinct(), f"{purpose}-edges")
+    pairs = stage(
+        edges.filter("a is not null and b is not null and a <> b")
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{purpose}-pairs")
+    # Every node keeps the edge to its smallest neighbour only and hands that
+    # neighbour on to the others, which leaves little more than a tree.
+    least = stage(pairs.groupBy("a").agg(F.min("b").alias("m")), f"{purpose}-least")
+    handed = pairs.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    kept = least.select("a", F.col("m").alias("b")).union(handed.distinct())
+    both = stage(kept.union(kept.select("b", "a")).distinct(), f"{purpose}-edges")
     labels = stage(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         .select("node", F.least("node", "m").alias("label")), f"{purpose}-labels")

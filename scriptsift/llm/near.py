@@ -179,10 +179,12 @@ def jaccard_join(
 
 def with_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with the columns of ``jaccard_join``, row by row."""
-    rows = with_row_ids(
-        docs, "near-docs", F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.struct(*docs.columns).alias("__row"))
-    found = stage(_classes(rows, **options).select("__rid", "copy_id", "class_id", "n_links", "keeps"), "near-found")
-    return rows.select("__rid", "__row").join(found, "__rid").select("__row.*", "copy_id", "class_id", "n_links", "keeps")
+    rows = with_row_ids(docs, "near-docs", F.struct(*docs.columns).alias("__row"))
+    texts = rows.select("__rid", F.col("__row")[doc_id].alias("doc"), F.col("__row")[text].alias("text"))
+    found = stage(_classes(texts, **options).select("__rid", "copy_id", "class_id", "n_links", "keeps"), "near-found")
+    # Rows and texts always meet their narrow side in a merge, so that disk and
+    # time grow in proportion at every size.
+    return rows.select("__rid", "__row").hint("merge").join(found, "__rid").select("__row.*", "copy_id", "class_id", "n_links", "keeps")
 
 
 def _classes(rows: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -212,7 +214,7 @@ def _classes(rows: DataFrame, similarity: float = SIMILARITY, trees: int = TREES
         .select(F.col("node").alias("__rid"), F.col("label").alias("cell"), "blocks",
                 F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "near-members")
     sets = (
-        rows.select("__rid", "text").join(members, "__rid")
+        rows.select("__rid", "text").hint("merge").join(members, "__rid")
         .select("__rid", "cell", "block", "blocks", word_hashes(words(F.col("text"))).alias("hashes"))
         .mapInArrow(_sets, "__rid long, cell long, block int, blocks int, shingles binary"))
     pairs = sets.select(
