@@ -13,7 +13,9 @@ short ones are remembered.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +29,10 @@ SPACE = "▁"
 _LITERAL = "\ud800"
 # Score of a byte below the worst piece.
 BYTE_PENALTY = 10.0
-REMEMBERED = 300_000
-REMEMBERED_LENGTH = 48
+# Words remembered by a task, and the length up to which a word is one window.
+REMEMBERED = 600_000
+SHORT = 48
+_NEVER = -1e300
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -47,8 +51,18 @@ class Pieces:
         raw = {i: bytes([b]) for b, i in self.byte_ids.items()}
         raw.update({i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()})
         self.bytes = [raw.get(i, b"") for i in range(len(rows))]
-        self.known: dict[str, bytes] = {}
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.known = _Known(self)
         self.kind = np.dtype("<u2" if len(rows) <= 65536 else "<u4")
+        self.packed = [np.array(i, self.kind).tobytes() for i in range(len(rows))]
+        if not {c for p in self.ids for c in p} <= self.ids.keys():
+            raise ValueError("a piece holds a character that is no piece")
+        self.matcher = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.matcher.add_word(piece, (i, len(piece), self.scores[i]))
+        self.matcher.make_automaton()
 
     @classmethod
     def load(cls, path: str = MODEL) -> "Pieces":
@@ -70,16 +84,29 @@ class Pieces:
                 yield start, self.scores[i], (i,)
 
     def word(self, marked: str) -> bytes:
-        """Ids of one word that begins with its space marks, as bytes."""
-        ids = self.known.get(marked)
-        if ids is None:
-            viterbi = StreamingViterbi(self)
-            ids = np.array([*viterbi.feed(marked), *viterbi.finish()], self.kind).tobytes()
-            if len(marked) <= REMEMBERED_LENGTH:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[marked] = ids
-        return ids
+        """Ids of one word that begins with its space marks, as bytes.
+
+        A short word is one window: its path is found over all matches of pieces
+        at once.  A character that is no piece leaves its end out of reach; such
+        words, and long ones, are streamed.
+        """
+        size = len(marked)
+        if size <= SHORT:
+            # The boundary behind character k has place k; the one before all, -1, is the last of each list.
+            top, back, piece = [_NEVER] * size + [0.0], [0] * size, [0] * size
+            # Matches come by their end, longest first.
+            for end, (i, length, score) in self.matcher.iter(marked):
+                total = top[end - length] + score
+                if total > top[end]:
+                    top[end], back[end], piece[end] = total, end - length, i
+            if top[size - 1] > _NEVER / 2:
+                ids, packed, end = [], self.packed, size - 1
+                while end >= 0:
+                    ids.append(packed[piece[end]])
+                    end = back[end]
+                return b"".join(ids[::-1])
+        viterbi = StreamingViterbi(self)
+        return b"".join([self.packed[i] for i in (*viterbi.feed(marked), *viterbi.finish())])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as bytes; none for null and empty texts."""
@@ -87,19 +114,33 @@ class Pieces:
             return b""
         if SPACE in text:
             text = text.replace(SPACE, _LITERAL)
-        known, word = self.known, self.word
         if "  " in text or text[0] == " " or text[-1] == " ":
-            parts = _WORD.findall(SPACE + text.replace(" ", SPACE))
-        else:
-            parts = (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-        return b"".join([known[p] if p in known else word(p) for p in parts if p])
+            return b"".join([self.word(p) for p in _WORD.findall(SPACE + text.replace(" ", SPACE)) if p])
+        return b"".join(map(self.known.__getitem__, text.split(" ")))
 
     def decode(self, ids) -> str:
         """The text of some ids; the space before the first word goes."""
-        data = b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        data = self.blob[at].tobytes().decode(errors="replace")
         return data[1:] if data[:1] == " " else data
 
 
+class _Known(dict):
+    """Ids of words behind one space; a new word is kept while there is room."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.pieces.word(SPACE + word)
+        if len(self) < REMEMBERED and len(word) < SHORT:
+            self[word] = ids
+        return ids
+
+
 class StreamingViterbi:
     """Best segmentation of characters that arrive in parts.
 
@@ -179,12 +220,15 @@ def loaded(path: str) -> Pieces:
 def encoded(text, model: str = MODEL):
     """Column of ids of a text column; empty for null and empty texts."""
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = loaded(model)
-        flat = [pieces.encode(t.as_py()) for t in texts]
-        sizes = np.array([0, *map(len, flat)]) // pieces.kind.itemsize
-        ids = np.frombuffer(b"".join(flat), pieces.kind).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(ids))
+        for texts in batches:
+            flat = [pieces.encode(t.as_py()) for t in texts]
+            sizes = np.array([0, *map(len, flat)]) // pieces.kind.itemsize
+            ids = np.frombuffer(b"".join(flat), pieces.kind).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(ids))
+        # Idle workers should not hold words.
+        pieces.known.clear()
     return encode.asNondeterministic()(text)
 
 
@@ -193,7 +237,11 @@ def decoded(ids, model: str = MODEL):
     @F.arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         pieces = loaded(model)
-        return pa.array([None if x is None else pieces.decode(x) for x in lists.to_pylist()], pa.string())
+        values, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        return pa.array([
+            pieces.decode(values[a:b]) if known else None
+            for a, b, known in zip(offsets[:-1], offsets[1:], lists.is_valid().to_pylist())], pa.string())
     return decode.asNondeterministic()(ids)
 
 

@@ -61,8 +61,17 @@ def test_round_trip(text):
 
 
 def test_space_inside_a_piece_is_refused():
-    with pytest.raises(ValueError):
-        Pieces([*ROWS, ("a" + SPACE, -1.0, False, True)])
+    for piece in ("a" + SPACE, "ac"):
+        with pytest.raises(ValueError):
+            Pieces([*ROWS, (piece, -1.0, False, True)])
+
+
+def test_short_words_take_the_streamed_path():
+    pieces = loaded(MODEL)
+    for word in "the thndhain. Onhalyti éèpaaux%%% 漢字x ñí \n\t \U0001F600".split(" "):
+        viterbi = StreamingViterbi(pieces)
+        streamed = [*viterbi.feed(SPACE + word), *viterbi.finish()]
+        assert np.frombuffer(pieces.word(SPACE + word), pieces.kind).tolist() == streamed
 
 
 def test_documents(documents, odd_documents, no_documents):
