@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptsift.functions.urls import origin as origin_of
 from scriptsift.operators import bundles as B
 from scriptsift.operators import store
 from scriptsift.plans.chunk_discovery import discover_chunks
 
-from .corpus import BUNDLERS, CAPTURE, RESPONSES
+from .corpus import BUNDLERS, CAPTURE
 from .duck import join_url, lit, origin, resolve_url
 from .registry import query
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptsift.functions.text import strip
 from scriptsift.operators import pages as P
 from scriptsift.operators import predicates, rollups, scan, store
 from scriptsift.sources import readers

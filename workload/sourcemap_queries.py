@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptsift.functions.text import safe_path
 from scriptsift.operators import rollups, scan, sourcemaps, store
 from scriptsift.sources import sinks
 
 from .corpus import LINKS, MAP_CAPTURE, MAPPED
-from .duck import findings_by_line, join_url, lit
+from .duck import findings_by_line, join_url
 from .registry import query
 
 

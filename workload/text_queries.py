@@ -9,7 +9,7 @@ from scriptsift.functions.arrays import with_known
 from scriptsift.operators import extract, predicates, reflow
 from scriptsift.sources import readers, sinks
 
-from .corpus import ASSETS, BUNDLES, FINDINGS, LINKS, PROJECTS, RESPONSES, SITE_PAGES
+from .corpus import ASSETS, BUNDLES, FINDINGS, LINKS, PROJECTS, RESPONSES
 from .duck import RANK, join_url, lit, origin, part, resolve_url
 from .registry import query, spread
 
