@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +32,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def shared(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder that all executors share.
+
+    Where ``spark.checkpoint.dir`` is unset and driver and executors are one
+    process, as in tests, a temporary folder takes its place.
+    """
+    alone = spark.sparkContext.master.partition("[")[0] == "local"
+    if alone and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="scriptsift-"))
+    return shared_folder(spark, purpose)
+
+
 def stage(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write to a fresh folder that all executors share, and read it back."""
-    return staged(rows, shared_folder(rows.sparkSession, purpose))
+    """Write to a fresh shared folder, and read it back."""
+    return staged(rows, shared(rows.sparkSession, purpose))
 
 
 def with_row_ids(rows: DataFrame, purpose: str, *columns) -> DataFrame:

@@ -223,7 +223,8 @@ def with_leaks(
     the item's own score, has ``similarity`` of its five-word shingles, and half
     the words of its question and of its answer.  Null and empty texts hold
     nothing; an empty benchmark gives empty arrays; equal items under several ids
-    are all reported; rows are judged one by one, so repeated rows agree.
+    are all reported; rows are judged one by one, so repeated rows agree.  A column
+    called ``name`` is replaced.
     """
     small_batches(docs.sparkSession)
     rows = docs.withColumn("__hashes", word_hashes(words(F.col(text))))

@@ -276,6 +276,7 @@ def extract_pages(pages: DataFrame, content: str = "html", name: str = "text") -
 
     Pages are handled one by one: null and empty pages have an empty text, broken
     nesting is closed, repeated rows agree, ties between nodes go to the first.
+    Columns called ``name`` and ``n_chars`` are replaced.
     """
     small_batches(pages.sparkSession)
     return pages.withColumn(name, extracted(F.col(content))).withColumn("n_chars", F.length(name).cast("long"))

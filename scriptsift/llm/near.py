@@ -7,11 +7,11 @@ some tree with the target recall; sorted labels with a common prefix are a
 subtree of that tree's trie, so grouping by the prefix visits all subtrees at
 once.
 
-Whatever meets is held together in a cell (a connected set of meetings), and
-inside a cell every pair is verified on the full shingle sets.  A cell is dealt
-out as pairs of bounded blocks, so no task sees a whole cell; a block pair
-returns one row per document (its number of links and the smallest document
-linked to it there), never the pairs.
+Whatever meets gathers around the smallest row it meets, in blocks of bounded
+size.  Two blocks are compared if some subtree holds rows of both, and then
+every pair between them is verified on the full shingle sets.  A pair of blocks
+is one task's work and returns one row per document (its number of links and
+the smallest document linked to it there), never the pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .components import components
 TREES = 20
 DEEPEST = 12
 RECALL = 0.999
-BLOCK = 96
+BLOCK = 192
 # Columns of the shingle matrix multiplied at a time.
 _CHUNK = 2048
 
@@ -108,9 +108,8 @@ def _sets(batches):
         sh, starts = shingles(hashes, offsets)
         sets = [np.unique(sh[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("__rid"), batch.column("cell"), batch.column("block"), batch.column("blocks"),
-             pa.array(sets, pa.large_binary()).cast(pa.binary())],
-            ["__rid", "cell", "block", "blocks", "shingles"])
+            [batch.column("__rid"), batch.column("block"), batch.column("others"), pa.array(sets, pa.binary())],
+            ["__rid", "block", "others", "shingles"])
 
 
 def linked(sets: list, similarity: float) -> np.ndarray:
@@ -137,7 +136,7 @@ def linked(sets: list, similarity: float) -> np.ndarray:
 def _verifier(similarity: float):
     def verify(key, rows):
         import pandas as pd
-        _, i, j = key
+        i, j = key
         rows = rows.sort_values("__rid")
         ids, side = rows["__rid"].to_numpy(), rows["block"].to_numpy()
         links = linked([np.frombuffer(b, np.uint64) for b in rows["shingles"]], similarity)
@@ -204,23 +203,27 @@ def _classes(rows: DataFrame, similarity: float = SIMILARITY, trees: int = TREES
     hubs = stage(
         tries.groupBy("key").agg(F.min("__rid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub"),
         "near-hubs")
-    meetings = tries.join(hubs, "key").filter("__rid <> hub").select(F.col("__rid").alias("a"), F.col("hub").alias("b"))
-    cells = components(meetings, "near-cells")
+    met = stage(tries.join(hubs, "key"), "near-met")
+    # Neighbours gather around the smallest row they meet, in blocks of bounded size.
+    gathered = stage(met.groupBy("__rid").agg(F.min("hub").alias("centre")), "near-centres")
     sizes = stage(
-        cells.groupBy("label").agg(F.count("*").alias("n"))
-        .select("label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-sizes")
+        gathered.groupBy("centre").agg(F.count("*").alias("n"))
+        .select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-sizes")
+    part = F.pmod(F.xxhash64("__rid"), F.col("blocks"))
     members = stage(
-        cells.join(sizes, "label")
-        .select(F.col("node").alias("__rid"), F.col("label").alias("cell"), "blocks",
-                F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "near-members")
+        gathered.join(sizes, "centre").select("__rid", F.xxhash64("centre", part).alias("block")), "near-members")
+    # Blocks are compared if some subtree holds rows of both.
+    places = stage(met.select("__rid", "key").join(members, "__rid").select("key", "block").distinct(), "near-places")
+    partners = stage(
+        places.join(places.withColumnRenamed("block", "other"), "key")
+        .groupBy("block").agg(F.collect_set("other").alias("others")), "near-partners")
     sets = (
-        rows.select("__rid", "text").hint("merge").join(members, "__rid")
-        .select("__rid", "cell", "block", "blocks", word_hashes(words(F.col("text"))).alias("hashes"))
-        .mapInArrow(_sets, "__rid long, cell long, block int, blocks int, shingles binary"))
-    pairs = sets.select(
-        "__rid", "cell", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows.select("__rid", "text").hint("merge").join(members.join(partners, "block"), "__rid")
+        .select("__rid", "block", "others", word_hashes(words(F.col("text"))).alias("hashes"))
+        .mapInArrow(_sets, "__rid long, block long, others array<long>, shingles binary"))
+    pairs = sets.select("__rid", "block", "shingles", F.explode("others").alias("other"))
     links = stage(
-        pairs.groupBy("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        pairs.groupBy(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .applyInPandas(_verifier(similarity), "__rid long, links long, root long"), "near-links")
     groups = components(links.select(F.col("__rid").alias("a"), F.col("root").alias("b")), "near-groups")
     counts = links.groupBy("__rid").agg(F.sum("links").alias("n_links"))

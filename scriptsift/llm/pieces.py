@@ -249,7 +249,8 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str = MODEL, ids: s
     """``docs`` plus the ids of each whole text and their number.
 
     Rows are handled one by one: nulls and empty texts give no ids, repeated rows
-    agree, an empty table stays empty.  ``decoded`` gives the text back exactly.
+    agree, an empty table stays empty; columns of the new names are replaced.
+    ``decoded`` gives the text back exactly.
     """
     small_batches(docs.sparkSession)
     return docs.withColumn(ids, encoded(F.col(text), model)).withColumn(f"n_{ids}", F.size(ids))

@@ -119,4 +119,39 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
 
-ORACLES = {"op3_secrets": OP3_SQL, "op4_top_k": OP4_SQL}
+# All pairs of word sequences that share a shingle, compared one by one.
+OP9_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS copy_id, min(r) AS rep FROM t GROUP BY w),
+s AS (SELECT rep, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM c),
+e AS (SELECT rep, unnest(sh) AS g FROM s),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN s sx ON sx.rep = x JOIN s sy ON sy.rep = y WHERE n >= 0.8 * (len(sx.sh) + len(sy.sh) - n) - 1e-9),
+reach(rep, label) AS (SELECT rep, rep FROM c UNION SELECT l.y, reach.label FROM reach JOIN l ON l.x = reach.rep),
+g AS (SELECT rep, min(label) AS label FROM reach GROUP BY rep),
+k AS (SELECT c.w, c.copy_id, g.label, min(c.copy_id) OVER (PARTITION BY g.label) AS class_id, min(c.rep) OVER (PARTITION BY g.label) AS first,
+    (SELECT count(*) FROM l WHERE l.x = c.rep) AS n_links FROM c JOIN g USING (rep))
+SELECT t.doc_id, k.copy_id, k.class_id, k.n_links, t.r = k.first AS keeps FROM t JOIN k ON t.w = k.w
+"""
+
+# The least largest shard by trying every last cut, then the greedy cuts at that size.
+OP10_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(strlen(text), 0) + 1 AS size, sha256(coalesce(text, '')) AS sha FROM documents),
+g AS (SELECT sha, sum(sum(size)) OVER (ORDER BY sha) AS e FROM t GROUP BY sha),
+f(k, e, cost) AS (SELECT 1, e, e FROM g
+    UNION ALL SELECT f.k + 1, g.e, min(greatest(f.cost, g.e - f.e)) FROM f JOIN g ON g.e >= f.e WHERE f.k < 16 GROUP BY f.k + 1, g.e),
+cap AS (SELECT min(cost) AS c FROM f WHERE e = (SELECT max(e) FROM g)),
+cut(k, e) AS (SELECT 0, 0::HUGEINT
+    UNION ALL SELECT cut.k + 1, max(g.e) FROM cut JOIN cap ON true JOIN g ON g.e <= cut.e + cap.c WHERE cut.k < 15 GROUP BY cut.k + 1),
+place AS (SELECT g.sha, (SELECT count(*) FROM cut WHERE cut.k > 0 AND cut.e < g.e) AS shard FROM g),
+steps AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) for i in range(256)] AS s),
+sums AS (SELECT sha, xor(4294967295, list_reduce(list_prepend(4294967295, [('0x' || h)::BIGINT for h in regexp_extract_all(hex(x), '..')]),
+    lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1]))) AS crc FROM (SELECT DISTINCT sha, x FROM t), steps)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY sha, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM t JOIN place USING (sha) JOIN sums USING (sha)
+"""
+
+ORACLES = {"op3_secrets": OP3_SQL, "op4_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL, "op10_sharding": OP10_SQL}

@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..session import shared_folder
-from .common import stage
+from .common import shared, stage
 from .spans import count_kind, in_order, matches, of_kinds, written
 
 BASE = ("assign", "access", "hex")
@@ -107,7 +106,7 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, doc_id: str = "doc_
     Without ``ledger`` a fresh one is kept in the shared folder.
     """
     spark = docs.sparkSession
-    path = ledger or shared_folder(spark, "secret-ledger")
+    path = ledger or shared(spark, "secret-ledger")
     update_ledger(docs, path, text, rules)
     base = of_kinds(F.col("spans"), BASE)
     findings = read_ledger(spark, path, rules).select(

@@ -209,7 +209,8 @@ def with_toxicity(
     """``docs`` plus a toxicity score of each whole text.
 
     Null and empty texts get the score of a text without terms; repeated rows
-    agree; without usable labels every score is 0.5.
+    agree; without usable labels every score is 0.5.  A column called ``name`` is
+    replaced.
     """
     machine = train(docs, labels, doc_id, text, **options)
     return docs.withColumn(name, scores(F.col(text), machine))

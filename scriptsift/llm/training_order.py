@@ -27,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-from .common import small_batches
+from .common import shared, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LENGTH = 256
@@ -232,6 +231,6 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows
 def ordered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Write the shards to a fresh shared folder and read their records back."""
     spark = docs.sparkSession
-    path = shared_folder(spark, "training-order")
+    path = shared(spark, "training-order")
     materialise(docs, path, doc_id, text, **options)
     return read_shards(spark, path, options.get("length", LENGTH), options.get("shard_rows", SHARD_ROWS))

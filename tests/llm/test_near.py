@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import regex
 
+from scriptsift.llm import near
 from scriptsift.llm.components import components
 from scriptsift.llm.near import jaccard_join, linked, prefix_length, shingles, with_classes
 
@@ -79,8 +80,9 @@ def test_documents_against_all_pairs(documents):
     assert found(documents) == brute(rows)
 
 
-def test_large_group_of_near_copies(spark):
+def test_large_group_of_near_copies(spark, monkeypatch):
     """Far more members than a block holds; every link is counted."""
+    monkeypatch.setattr(near, "BLOCK", 20)
     random.seed(5)
     base = [f"w{random.randrange(500)}" for _ in range(120)]
     rows = []
