@@ -1,12 +1,17 @@
 import base64
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from scriptsift.operators import store
+from scriptsift.operators.catalog import custom_detector_pages
+from scriptsift.plans.custom_scan import scan_custom
 from scriptsift.plans.file_analysis import analyze_files
 from scriptsift.plans.site_scan import scan_site
-from scriptsift.session import shared_folder
+from scriptsift.session import remove_staged, shared_folder, staged
 
 
 def responses(spark, pairs):
@@ -102,3 +107,55 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle():
     assert set(entry.QUERIES) == set(entry.ORACLES)
+
+
+def test_custom_patterns_are_taken_page_by_page(spark):
+    rules = [(i, None, f"r{i}", "regex", f"w{i}z" if i % 5 else "(w", "t", "low", "", True) for i in range(1, 23)]
+    table = spark.createDataFrame(
+        rules, "id int, project_id int, name string, pattern_type string, pattern string, finding_type string, "
+        "severity string, description string, enabled boolean")
+    texts = spark.createDataFrame([(1, "w3z w14z"), (2, "w22z w5z"), (3, "none")], "asset_key int, content string")
+    pages = list(custom_detector_pages(table, None, 4))
+    assert [len(p) for p in pages] == [4, 4, 4, 4, 4, 2] and [d.name for d in pages[5]] == ["r21", "r22"]
+    for page in (4, 200):
+        found = scan_custom(texts, table, None, ("asset_key",), page=page).collect()
+        assert sorted((r.asset_key, r.pattern_name, r.p_ord) for r in found) == sorted(
+            (k, n, o) for k, n, o in [(1, "r3", found_ord(found, "r3")), (1, "r14", found_ord(found, "r14")), (2, "r22", found_ord(found, "r22"))])
+        assert found_ord(found, "r3") < found_ord(found, "r14") < found_ord(found, "r22")
+    assert scan_custom(texts, table.filter("false"), None, ("asset_key",)).collect() == []
+
+
+def found_ord(found, name):
+    return next(r.p_ord for r in found if r.pattern_name == name)
+
+
+def test_staged_folders_can_be_removed(spark, tmp_path):
+    path = shared_folder(spark, "to-remove")
+    staged(spark.range(3), path)
+    assert os.path.isdir(path)
+    assert remove_staged(spark) >= 1
+    assert not os.path.exists(path)
+
+
+def test_a_session_without_a_shared_folder_is_refused():
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Bare, "x")
+
+
+def test_stored_projects_are_rewritten(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([(1, "one"), (2, "two")], "id int, name string").write.parquet(f"{root}/a/projects")
+    for name in ("assets", "findings"):
+        spark.createDataFrame([(i, 1 + i % 2) for i in range(6)], "id int, project_id int").write.parquet(f"{root}/a/{name}")
+    store.rewrite_without(spark, f"{root}/a", f"{root}/b", spark.createDataFrame([("two",), ("none",)], "name string"))
+    assert [r.name for r in spark.read.parquet(f"{root}/b/projects").collect()] == ["one"]
+    for name in ("assets", "findings"):
+        assert {r.project_id for r in spark.read.parquet(f"{root}/b/{name}").collect()} == {1}
+        assert spark.read.parquet(f"{root}/a/{name}").count() == 6
