@@ -7,8 +7,7 @@ some tree with the target recall; sorted labels with a common prefix are a
 subtree of that tree's trie, so grouping by the prefix visits all subtrees at
 once.
 
-Whatever meets gathers around the smallest row it meets, in blocks of bounded
-size.  Two blocks are compared if some subtree holds rows of both, and then
+Whatever meets gathers around small rows, in blocks of bounded size.  Two blocks are compared if some subtree holds rows of both, and then
 every pair between them is verified on the full shingle sets.  A pair of blocks
 is one task's work and returns one row per document (its number of links and
 the smallest document linked to it there), never the pairs.
@@ -204,8 +203,12 @@ def _classes(rows: DataFrame, similarity: float = SIMILARITY, trees: int = TREES
         tries.groupBy("key").agg(F.min("__rid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub"),
         "near-hubs")
     met = stage(tries.join(hubs, "key"), "near-met")
-    # Neighbours gather around the smallest row they meet, in blocks of bounded size.
-    gathered = stage(met.groupBy("__rid").agg(F.min("hub").alias("centre")), "near-centres")
+    # Neighbours gather around the smallest row they meet, and then around the one
+    # that row has met, in blocks of bounded size.
+    nearest = stage(met.groupBy("__rid").agg(F.min("hub").alias("hub")), "near-nearest")
+    gathered = stage(
+        nearest.join(nearest.select(F.col("__rid").alias("hub"), F.col("hub").alias("centre")), "hub")
+        .select("__rid", "centre"), "near-centres")
     sizes = stage(
         gathered.groupBy("centre").agg(F.count("*").alias("n"))
         .select("centre", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-sizes")
