@@ -13,9 +13,9 @@ SPACE = r"[\s\x1c-\x1f]"
 EDGE_SPACE = rf"(?U)\A{SPACE}+|{SPACE}+\z"
 _BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 _ANY_BREAK = rf"\r\n|[{_BREAKS}]"
-# A whole line with anything but white space.  It is entered at its start only.
-_BLANKS = rf"[[\s\x1f]&&[^{_BREAKS}]]"
-_FULL_LINE = rf"(?U)(?<!{_BLANKS}){_BLANKS}*+[^\s\x1c-\x1f][^{_BREAKS}]*+"
+# Blank lines between two lines, and before the first or behind the last one.
+_BLANK_LINES = rf"(?U)[{_BREAKS}]{SPACE}*[{_BREAKS}]"
+_BLANK_ENDS = rf"(?U)\A{SPACE}*[{_BREAKS}]|[{_BREAKS}]{SPACE}*\z"
 MINIFIED_MEAN_LINE = 200
 
 # Text caps of the stored columns, in characters.
@@ -45,9 +45,12 @@ def any_lines(text: Column) -> Column:
 
 def is_minified(text: Column) -> Column:
     """True when the non-blank lines are longer than 200 characters on average."""
-    lines = F.regexp_count(text, F.lit(_FULL_LINE))
-    length = F.length(text) - F.length(F.regexp_replace(text, _FULL_LINE, ""))
-    return F.coalesce(length > lines * MINIFIED_MEAN_LINE, F.lit(False))
+    full = F.regexp_replace(F.regexp_replace(text, _BLANK_LINES, "\n"), _BLANK_ENDS, "")
+
+    def wide(t):
+        breaks = F.length(t) - F.length(F.regexp_replace(t, f"[{_BREAKS}]", ""))
+        return bind(breaks, lambda n: F.length(t) - n > (n + 1) * MINIFIED_MEAN_LINE)
+    return F.coalesce(~is_blank(text) & bind(full, wide), F.lit(False))
 
 
 def cap(text: Column, field: str) -> Column:
