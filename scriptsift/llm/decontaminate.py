@@ -3,11 +3,13 @@
 The items are indexed once: per term a posting list of (item, impact), cut into
 blocks that carry their largest impact.  Impacts are BM25 weights divided by the
 score an item gives its own text, so one threshold is meant for all items.
-Every training text is cut into overlapping passages twice as long as the
-longest item; each is a query for all items above the threshold.  Bounds over
-the rare terms of the items dismiss, for a whole batch at a time, the passages
-in which no item can reach it; the rest run block-max WAND.  Retrieved items
-are then compared word for word.
+Every training text is cut into overlapping passages three times as long as the
+longest item, so that each item lies in one whole, with half as many words again
+put in; each is a query for all items above the threshold.  Bounds over the rare
+terms of the items dismiss, for a whole batch at a time, the passages in which no
+item can reach it; the rest run block-max WAND.  The words of question and of
+answer of retrieved items are then looked up, and aligned in order, which leaves
+room for changed, added and missing words.
 
 Items are indexed in parts of at most ``PART_WORDS`` words, so what travels to
 the executors is bounded however long the benchmark; every part meets all texts.
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, small_batches, word_hashes, words
-from .near import _flat, shingles
+from .common import SHINGLE_WORDS, small_batches, word_hashes, words
+from .near import _flat
 
 THRESHOLD = 0.6
 PART_OVERLAP = 0.5
+# Share of an item's words that stand in its order, question and answer each in one place.
+IN_ORDER = 0.5
 # Worth of the common terms of an item, as a share of its own score.
 COMMON = 0.3
 PART_WORDS = 500_000
@@ -36,6 +40,38 @@ K1, B = 1.2, 0.75
 LEAKS = "array<struct<item:long,score:double,question:double,answer:double,at:int>>"
 
 
+def in_order(own: np.ndarray, passage: np.ndarray) -> int:
+    """Words of ``own`` found in their order in one place of the passage.
+
+    The longest common subsequence with the windows of the passage; a place is
+    any stretch half as long again as ``own``, so every such stretch lies in a
+    window.
+    """
+    if not len(own):
+        return 0
+    length = len(own) + len(own) // 2 + 1
+    step = max(length // 2, 1)
+    held = np.concatenate([[0], np.cumsum(np.isin(passage, own))])
+    starts = np.arange(0, max(len(passage) - length, 0) + step, step)
+    held = held[np.minimum(starts + length + step, len(passage))] - held[np.minimum(starts, len(passage))]
+    masks = {}
+    for k, w in enumerate(own.tolist()):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = (1 << len(own)) - 1
+    best = 0
+    # Windows that hold most of the words come first.
+    for k in np.argsort(-held, kind="stable").tolist():
+        if held[k] <= best or best == len(own):
+            break
+        row = full
+        for w in passage[starts[k]:starts[k] + length + step].tolist():
+            if w in masks:
+                match = row & masks[w]
+                row = (row + match | row - match) & full
+        best = max(best, len(own) - row.bit_count())
+    return best
+
+
 class ItemIndex:
     """Inverted index of some items; ``rows`` are (item id, words of question, words of answer)."""
 
@@ -44,7 +80,8 @@ class ItemIndex:
         self.split = [len(r[1]) for r in rows]
         self.words = [np.array([*r[1], *r[2]], np.int64).view(np.uint64) for r in rows]
         lengths = np.array([len(w) for w in self.words])
-        self.span = int(max(lengths.max(initial=1), SHINGLE_WORDS))
+        longest = int(max(lengths.max(initial=1), SHINGLE_WORDS))
+        self.span = longest + longest // 2
         n, mean = len(rows), max(lengths.mean(), 1) if len(rows) else 1
         tfs = [np.unique(w, return_counts=True) for w in self.words]
         self.terms, df = np.unique(np.concatenate([t for t, _ in tfs] or [np.array([], np.uint64)]), return_counts=True)
@@ -136,14 +173,11 @@ class ItemIndex:
                     c[0] = bisect_left(self.items[c[1]], target, c[0])
 
     def overlaps(self, item: int, passage: np.ndarray):
-        """Shares of the item's shingles, question words and answer words found in the passage."""
-        own = self.words[item]
-        size = min(SHINGLE_WORDS, len(own))
-        mine, _ = shingles(own, np.array([0, len(own)]), size)
-        theirs, _ = shingles(passage, np.array([0, len(passage)]), size)
-        share = lambda a, b: float(np.isin(a, b).mean()) if len(a) else 1.0
-        cut = self.split[item]
-        return share(mine, theirs), share(own[:cut], passage), share(own[cut:], passage)
+        """Share of the item's words found in order, and shares of its question and answer words found in the passage."""
+        own, cut = self.words[item], self.split[item]
+        question, answer = own[:cut], own[cut:]
+        share = lambda a: float(np.isin(a, passage).mean()) if len(a) else 1.0
+        return (in_order(question, passage) + in_order(answer, passage)) / len(own), share(question), share(answer)
 
     def passages(self, hashes: np.ndarray, offsets: np.ndarray, threshold: float):
         """(document, first word, end, distinct terms) of passages in which some item can reach the threshold."""
@@ -176,13 +210,13 @@ class ItemIndex:
             terms = terms[terms < len(self.terms)]
             yield d, a, b, terms[np.isin(self.terms[terms], hashes[a:b])].tolist()
 
-    def leaks(self, hashes: np.ndarray, offsets: np.ndarray, threshold: float, similarity: float):
+    def leaks(self, hashes: np.ndarray, offsets: np.ndarray, threshold: float, order: float):
         """Per document the items it holds: {item: (score, question, answer, first word)}."""
         found = [{} for _ in range(len(offsets) - 1)]
         for doc, a, b, terms in self.passages(hashes, offsets, threshold):
             for item, score in self.search(terms, threshold):
-                whole, question, answer = self.overlaps(item, hashes[a:b])
-                if whole >= similarity and question >= PART_OVERLAP and answer >= PART_OVERLAP:
+                ordered, question, answer = self.overlaps(item, hashes[a:b])
+                if ordered >= order and question >= PART_OVERLAP and answer >= PART_OVERLAP:
                     if item not in found[doc] or found[doc][item][0] < score:
                         found[doc][item] = (score, question, answer, a - int(offsets[doc]))
         return found
@@ -215,13 +249,14 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
 
 def with_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    threshold: float = THRESHOLD, similarity: float = SIMILARITY, name: str = "leaks",
+    threshold: float = THRESHOLD, order: float = IN_ORDER, name: str = "leaks",
 ) -> DataFrame:
     """``docs`` plus an array of the test items each text holds.
 
     A text holds an item if one of its passages scores at least ``threshold`` of
-    the item's own score, has ``similarity`` of its five-word shingles, and half
-    the words of its question and of its answer.  Null and empty texts hold
+    the item's own score and has half the words of its question and of its answer,
+    and if ``order`` of its words stand there in the item's order, question and
+    answer each in one place; words between them may be changed, added or missing.  Null and empty texts hold
     nothing; an empty benchmark gives empty arrays; equal items under several ids
     are all reported; rows are judged one by one, so repeated rows agree.  A column
     called ``name`` is replaced.
@@ -230,14 +265,14 @@ def with_leaks(
     rows = docs.withColumn("__hashes", word_hashes(words(F.col(text))))
     found = F.expr(f"cast(array() as {LEAKS})")
     for index in build_indexes(items, item_id, item_text):
-        found = F.concat(found, _leak_column(index, threshold, similarity)(F.col("__hashes")))
+        found = F.concat(found, _leak_column(index, threshold, order)(F.col("__hashes")))
     return rows.withColumn(name, found).drop("__hashes")
 
 
-def _leak_column(index: ItemIndex, threshold: float, similarity: float):
+def _leak_column(index: ItemIndex, threshold: float, order: float):
     @F.arrow_udf(LEAKS)
     def leaks(hashes: pa.Array) -> pa.Array:
-        found = index.leaks(*_flat(hashes), threshold, similarity)
+        found = index.leaks(*_flat(hashes), threshold, order)
         kind = pa.list_(pa.struct([
             ("item", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("at", pa.int32())]))
         return pa.array([

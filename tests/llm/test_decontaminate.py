@@ -59,6 +59,11 @@ def test_passages_miss_no_item():
     assert seen == want and {5, 17, 30} <= seen
 
 
+def single_index(items):
+    index, = build_indexes(items)
+    return index
+
+
 def items_table(spark):
     return spark.createDataFrame([
         (1, "Which river runs through the old northern town of Kelderon? It is the broad and silent river Wend."),
@@ -100,6 +105,31 @@ def test_documents_against_word_search(spark, documents):
     assert all(got[k]["question_overlap"] >= 0.5 for k in got.keys() - whole)
 
 
+def test_items_with_changed_and_added_words(spark):
+    """One and two words replaced, or words put between question and answer, still count; the words shuffled rarely do."""
+    items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    index = single_index(items)
+    rng = random.Random(5)
+    filler = [rng.randrange(1, 1 << 60) for _ in range(500)]
+    planted = {}
+    for item in range(len(index.ids)):
+        own, cut = index.words[item].view(np.int64).tolist(), index.split[item]
+        if min(cut, len(own) - cut) < 3:
+            continue  # a changed word would be half of the question or the answer
+        one, two, added, mixed = own[:], own[:], own[:], own[:]
+        one[cut // 2] = 7
+        two[cut // 3], two[cut - cut // 3 - 1] = 7, 8
+        added[cut:cut] = [7, 8]
+        rng.shuffle(mixed)
+        for name, words in (("one", one), ("two", two), ("added", added), ("mixed", mixed)):
+            planted[item, name] = filler[:150 + 7 * item % 200] + words + filler[350:]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in planted.values()])])
+    found = index.leaks(np.concatenate([np.array(w, np.int64) for w in planted.values()]).view(np.uint64), offsets, 0.6, 0.5)
+    missed = {name: sum(n == name and i not in f for (i, n), f in zip(planted, found)) for name in ("one", "two", "added")}
+    assert len(planted) > 400 and missed == {"one": 0, "two": 0, "added": 0}
+    assert sum(n == "mixed" and i in f for (i, n), f in zip(planted, found)) < len(planted) / 4 / 10
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     none = items_table(spark).filter("false")
     assert leaks(odd_documents, items_table(spark)).collect() == []
