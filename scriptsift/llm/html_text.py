@@ -9,7 +9,9 @@ largest density sum, and the extract is the smallest subtree around all of
 these.
 
 Parts that are never text (scripts, forms, menus, marked notices and so on) are
-cut before densities are computed, as their names say what they are.
+cut before densities are computed, as their names say what they are.  Inside an
+article or main part a name says so only as a whole class or role: a section
+called side-effects or related-work is text.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ SKIPPED = RAW | frozenset(
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr input label".split())
-# Words in class, id, role or aria-label that mark a part as no main text.
+# Words in class, id, role or aria-label that mark a part as no main text; inside
+# an article only whole classes and roles do.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices notification alert menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer "
@@ -80,9 +83,12 @@ def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name != "aria-hidden" and any(word.lower() in MARKS for word in _SPLIT.split(value)):
-            if not (inside and tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6")):
-                return True
+        if inside:
+            marked = name in ("class", "role") and any(token.lower() in MARKS for token in value.split())
+        else:
+            marked = name != "aria-hidden" and any(word.lower() in MARKS for word in _SPLIT.split(value))
+        if marked and not (inside and tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6")):
+            return True
     return False
 
 

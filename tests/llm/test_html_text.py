@@ -43,6 +43,22 @@ def test_sections_of_one_article_stay_together():
     assert main_text(page) == f"T\n\n{TEXT}\n\nMore.\n\nAnd more."
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("name", [
+    "section id=side-effects", "section id='related-work'", "p id=share-prices", "figure aria-label='side view'",
+    "div class=search-results-explained", "div class='text side-effects'", "div id=social", "section aria-label=Comments",
+    "p id=formNotes"])
+def test_names_with_a_marking_word_are_text_inside_an_article(tag, name):
+    page = f"<body><{tag}>{ARTICLE}<{name}>Ten words of text about the side effects of it.</{name.split()[0]}></{tag}></body>"
+    assert main_text(page) == TEXT + "\n\nTen words of text about the side effects of it."
+
+
+@pytest.mark.parametrize("name", ["div class=ad", "div class='box Related'", "div role=search", "nav id=x", "aside", "form", "div hidden"])
+def test_whole_marks_go_inside_an_article(name):
+    page = f"<body><article>{ARTICLE}<{name}><p>Something beside the text that is long enough to count.</p></{name.split()[0]}></article></body>"
+    assert main_text(page) == TEXT
+
+
 def test_open_tags_and_comments_inside():
     assert main_text("<article><p><b>One<br><p>Two<ul><li>a<li>b</ul><!-- x --><p>Three") == "One\n\nTwo\n\na\n\nb\n\nThree"
     assert main_text("<p>a<br>b</p>") == "a b"
