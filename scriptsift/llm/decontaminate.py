@@ -11,21 +11,25 @@ item can reach it; the rest run block-max WAND.  The words of question and of
 answer of retrieved items are then looked up, and aligned in order, which leaves
 room for changed, added and missing words.
 
-Items are indexed in parts of at most ``PART_WORDS`` words, so what travels to
-the executors is bounded however long the benchmark; every part meets all texts.
+Items are indexed in parts of about ``PART_WORDS`` words, one part at a time: its
+hits are written before the next part is read, so what the driver holds and sends
+to the executors is bounded however long the benchmark.  Every part meets all
+texts, and weights come from the statistics of all items, so scores do not depend
+on the parts.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, small_batches, word_hashes, words
+from .common import SHINGLE_WORDS, shared, small_batches, stage, with_row_ids, word_hashes, words
 from .near import _flat
 
 THRESHOLD = 0.6
@@ -72,19 +76,32 @@ def in_order(own: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+class Statistics(NamedTuple):
+    """What weights and passages depend on, over all items."""
+
+    items: int
+    mean: float
+    longest: int
+
+
 class ItemIndex:
-    """Inverted index of some items; ``rows`` are (item id, words of question, words of answer)."""
+    """Inverted index of some items; ``rows`` are (item id, words of question, words of answer).
+
+    ``whole`` and ``holders`` ({word: items that hold it}) describe all items, where ``rows`` are a part of them.
+    """
 
-    def __init__(self, rows):
+    def __init__(self, rows, whole: Statistics | None = None, holders: dict[int, int] | None = None):
         self.ids = [r[0] for r in rows]
         self.split = [len(r[1]) for r in rows]
         self.words = [np.array([*r[1], *r[2]], np.int64).view(np.uint64) for r in rows]
         lengths = np.array([len(w) for w in self.words])
-        longest = int(max(lengths.max(initial=1), SHINGLE_WORDS))
+        n, mean, longest = whole or (len(rows), lengths.mean() if len(rows) else 1, int(lengths.max(initial=1)))
+        mean, longest = max(mean, 1), max(longest, SHINGLE_WORDS)
         self.span = longest + longest // 2
-        n, mean = len(rows), max(lengths.mean(), 1) if len(rows) else 1
         tfs = [np.unique(w, return_counts=True) for w in self.words]
         self.terms, df = np.unique(np.concatenate([t for t, _ in tfs] or [np.array([], np.uint64)]), return_counts=True)
+        if holders is not None:
+            df = np.array([holders[t] for t in self.terms.view(np.int64).tolist()], np.int64)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         lists = [[] for _ in self.terms]
         for item, (terms, tf) in enumerate(tfs):
@@ -222,8 +239,22 @@ class ItemIndex:
         return found
 
 
-def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[ItemIndex]:
-    """Indexes of bounded parts of the items.
+class ItemPart:
+    """Some of the items; they are read only when their index is built."""
+
+    def __init__(self, rows: DataFrame, whole: Statistics | None = None, holders: DataFrame | None = None):
+        self.rows, self.whole, self.holders = rows, whole, holders
+
+    def index(self) -> ItemIndex:
+        rows = sorted(((r["id"], r["question"], r["answer"]) for r in self.rows.collect()), key=repr)
+        if self.whole is None:
+            return ItemIndex(rows)
+        own = self.rows.select(F.explode(F.concat("question", "answer")).alias("term")).distinct()
+        return ItemIndex(rows, self.whole, {r["term"]: r["df"] for r in self.holders.join(own, "term").collect()})
+
+
+def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[ItemPart]:
+    """Parts of bounded size of the items, each to be indexed by itself.
 
     The answer is what follows the first question mark, else the last sentence;
     an item of one sentence is all question.
@@ -237,14 +268,16 @@ def build_indexes(items: DataFrame, item_id: str = "item_id", text: str = "text"
         .select("id", word_hashes(words(F.expr("substr(body, 1, cut)"))).alias("question"),
                 word_hashes(words(F.expr("substr(body, cut + 1)"))).alias("answer"))
         .filter("size(question) + size(answer) > 0").distinct())
-    total = hashed.agg(F.sum(F.size("question") + F.size("answer"))).first()[0] or 0
-    parts = math.ceil(total / PART_WORDS)
-    out = []
-    for part in range(parts):
-        rows = hashed.filter(F.pmod(F.xxhash64("question", "answer"), F.lit(parts)) == part).collect()
-        if rows:
-            out.append(ItemIndex(sorted(((r["id"], r["question"], r["answer"]) for r in rows), key=repr)))
-    return out
+    size = F.size("question") + F.size("answer")
+    n, total, longest = hashed.agg(F.count("*"), F.sum(size), F.max(size)).first()
+    parts = math.ceil((total or 0) / PART_WORDS)
+    if parts <= 1:
+        return [ItemPart(hashed)] * parts
+    hashed = stage(hashed.withColumn("part", F.pmod(F.xxhash64("id", "question", "answer"), F.lit(parts))), "decontaminate-items")
+    holders = stage(
+        hashed.select(F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term"))
+        .groupBy("term").agg(F.count("*").alias("df")), "decontaminate-terms")
+    return [ItemPart(hashed.filter(F.col("part") == part), Statistics(n, total / n, longest), holders) for part in range(parts)]
 
 
 def with_leaks(
@@ -262,11 +295,25 @@ def with_leaks(
     called ``name`` is replaced.
     """
     small_batches(docs.sparkSession)
-    rows = docs.withColumn("__hashes", word_hashes(words(F.col(text))))
-    found = F.expr(f"cast(array() as {LEAKS})")
-    for index in build_indexes(items, item_id, item_text):
-        found = F.concat(found, _leak_column(index, threshold, order)(F.col("__hashes")))
-    return rows.withColumn(name, found).drop("__hashes")
+    hashes, none = word_hashes(words(F.col(text))), F.expr(f"cast(array() as {LEAKS})")
+    parts = build_indexes(items, item_id, item_text)
+    if not parts:
+        return docs.withColumn(name, none)
+    if len(parts) == 1:
+        rows = docs.withColumn("__hashes", hashes)
+        return rows.withColumn(name, _leak_column(parts[0].index(), threshold, order)(F.col("__hashes"))).drop("__hashes")
+    rows = with_row_ids(docs, "decontaminate-rows", "*")
+    path = shared(docs.sparkSession, "decontaminate-hits")
+    for part in parts:
+        hits = (
+            rows.select("__rid", hashes.alias("__hashes"))
+            .select("__rid", _leak_column(part.index(), threshold, order)(F.col("__hashes")).alias("__found"))
+            .filter(F.size("__found") > 0))
+        hits.write.mode("append").parquet(path)
+    found = (
+        docs.sparkSession.read.schema(hits.schema).parquet(path)
+        .groupBy("__rid").agg(F.array_sort(F.flatten(F.collect_list("__found"))).alias("__found")))
+    return rows.join(found, "__rid", "left").withColumn(name, F.coalesce("__found", none)).drop("__rid", "__found")
 
 
 def _leak_column(index: ItemIndex, threshold: float, order: float):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scriptsift.llm.decontaminate import B, K1, ItemIndex, build_indexes, decontaminate, leaks
 
@@ -60,8 +61,8 @@ def test_passages_miss_no_item():
 
 
 def single_index(items):
-    index, = build_indexes(items)
-    return index
+    part, = build_indexes(items)
+    return part.index()
 
 
 def items_table(spark):
@@ -130,6 +131,28 @@ def test_items_with_changed_and_added_words(spark):
     assert sum(n == "mixed" and i in f for (i, n), f in zip(planted, found)) < len(planted) / 4 / 10
 
 
+def test_parts_of_the_items_change_nothing(spark, documents, monkeypatch):
+    """Scores, places and items are those of one index, and each part is written before the next one is read."""
+    from scriptsift.llm import decontaminate as module
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").unionByName(items_table(spark))
+    copies = items.select((F.coalesce("item_id", F.lit(50)) + 9000).alias("doc_id"), "text")
+    docs = documents.select("doc_id", "text").unionByName(copies)
+    key = lambda r: (r["doc_id"], repr(r["item_id"]))
+    tagged = docs.select("doc_id", F.lit("x").alias("leaks"), "text")
+    want = sorted(leaks(docs, items).collect(), key=key)
+    want_kept = sorted(map(repr, decontaminate(tagged, items).collect()))
+    monkeypatch.setattr(module, "PART_WORDS", 150)
+    parts = build_indexes(items)
+    assert len(parts) > 3 and all(len(p.index().ids) < items.count() for p in parts)
+    got = sorted(leaks(docs, items).collect(), key=key)
+    assert len(want) == len(got) > 5
+    for a, b in zip(want, got):
+        assert abs(a["score"] - b["score"]) < 1e-9
+        assert {**a.asDict(), "score": 0} == {**b.asDict(), "score": 0}
+    kept = decontaminate(tagged, items)
+    assert kept.columns == tagged.columns and sorted(map(repr, kept.collect())) == want_kept
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     none = items_table(spark).filter("false")
     assert leaks(odd_documents, items_table(spark)).collect() == []
