@@ -28,6 +28,9 @@ THRESHOLD = 0.3
 EPOCHS = 8
 MIN_TEXTS = 3
 MIN_RATIO = 6.0
+# Texts and terms multiplied at a time while pairs of terms are counted.
+CHUNK = 1024
+PAIR_ROWS = 256
 STEPS = 600
 SEED = 7
 
@@ -65,6 +68,61 @@ def association(slot, labels_of_rows, docs: int, positive: int, slots: int) -> n
     return total
 
 
+def paired(doc, slot, labels: np.ndarray, slots: int, ratio: float = MIN_RATIO) -> np.ndarray:
+    """Terms that tell about the label beside some other term, however neutral alone.
+
+    For two terms, the label is compared with the second among the texts that
+    hold the first, and the other way round; the smaller likelihood ratio counts,
+    so a term does not qualify by standing beside a telling one.  As all pairs
+    are tried, ``ratio`` grows by twice the log of their number.  A ratio cannot
+    exceed the entropy of the labels of a term's texts, which leaves the terms
+    worth pairing; all pairs of these are tried, some rows of the matrix at a time.
+    """
+    docs = len(labels)
+    log = np.concatenate([[0], np.arange(1, docs + 1) * np.log(np.arange(1, docs + 1))]).astype(np.float32)
+    seen = np.bincount(slot, minlength=slots)
+    hits = np.bincount(slot, labels[doc], slots).astype(np.int64)
+    entropy = 2 * (log[seen] - log[hits] - log[seen - hits])
+    out = np.zeros(slots, bool)
+    terms = np.flatnonzero((seen >= MIN_TEXTS) & (entropy >= ratio))
+    while True:
+        pairs = max(len(terms) * (len(terms) - 1) / 2, 1)
+        fewer = terms[entropy[terms] >= ratio + 2 * np.log(pairs)]
+        if len(fewer) == len(terms):
+            break
+        terms = fewer
+    bound = ratio + 2 * np.log(pairs)
+    number = np.full(slots, -1)
+    number[terms] = np.arange(len(terms))
+    kept = number[slot] >= 0
+    doc, term = doc[kept], number[slot[kept]]
+    bounds = np.searchsorted(doc, np.arange(0, docs + CHUNK, CHUNK))
+    n, h = seen[terms], hits[terms]
+
+    def conditional(s, x, n, h):
+        # Texts of one term by label and by presence of the other.
+        return 2 * (log[x] + log[s - x] + log[h - x] + log[n - h - s + x] - log[s] - log[n - s] - log[h] - log[n - h] + log[n])
+
+    for a in range(0, len(terms), PAIR_ROWS):
+        b = min(a + PAIR_ROWS, len(terms))
+        both, toxic = np.zeros((b - a, len(terms) - a), np.float32), np.zeros((b - a, len(terms) - a), np.float32)
+        for k, (start, end) in enumerate(zip(bounds[:-1], bounds[1:])):
+            size = min(CHUNK, docs - k * CHUNK)
+            some = np.flatnonzero(term[start:end] >= a) + start
+            holds = np.zeros((size, len(terms) - a), np.float32)
+            holds[doc[some] - k * CHUNK, term[some] - a] = 1
+            both += holds[:, :b - a].T @ holds
+            holds = holds[labels[k * CHUNK:k * CHUNK + size] > 0]
+            toxic += holds[:, :b - a].T @ holds
+        both, toxic = both.astype(np.int32), toxic.astype(np.int32)
+        least = np.minimum(
+            conditional(both, toxic, n[a:b, None], h[a:b, None]), conditional(both, toxic, n[None, a:], h[None, a:]))
+        least[np.arange(b - a), np.arange(b - a)] = 0
+        row, column = np.nonzero(least >= bound)
+        out[terms[a + row]] = out[terms[a + column]] = True
+    return out
+
+
 class Machine:
     """Factorization machine with logistic output."""
 
@@ -97,7 +155,8 @@ class Machine:
         """AdaGrad over shuffled batches.
 
         Only terms tied to the label learn: seen in ``MIN_TEXTS`` texts, with a
-        likelihood ratio of ``MIN_RATIO``.  All others stay at zero.
+        likelihood ratio of ``MIN_RATIO`` of their own or, as ``paired`` says,
+        beside another term.  All others stay at zero.
         """
         docs = len(labels)
         self.weight[:] = 0
@@ -106,6 +165,7 @@ class Machine:
             return self
         tied = association(slot, labels[doc].astype(np.float64), docs, int(labels.sum()), self.slots) >= MIN_RATIO
         tied &= np.bincount(slot, minlength=self.slots) >= MIN_TEXTS
+        tied |= paired(doc, slot, labels, self.slots)
         self.factor[~tied] = 0
         keep = tied[slot]
         doc, slot, x = doc[keep], slot[keep], x[keep]

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from scriptsift.llm.toxicity import Machine, features, held_out, with_toxicity, without_toxic
+from scriptsift.llm.toxicity import Machine, association, features, held_out, paired, with_toxicity, without_toxic
 
 SF = "/root/testdata/sf0.1"
 
@@ -35,6 +35,30 @@ def test_pairs_count_beyond_single_terms():
     assert ((score >= 0.5) == np.array(labels, bool)).mean() > 0.95
 
 
+def test_pairs_of_terms_that_are_neutral_alone():
+    """Each of two terms leaves the share of toxic texts as it is; only both or neither tell."""
+    rng = np.random.default_rng(1)
+    docs = [[1] * (k % 2) + [2] * (k // 2 % 2) + rng.integers(10, 400, 12).tolist() for k in range(1200)]
+    labels = np.array([k % 2 == k // 2 % 2 for k in range(1200)], np.float32)
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    doc, slot, x = features(np.concatenate(docs), offsets, 400)
+    alone = association(slot, labels[doc].astype(np.float64), 1200, 600, 400)
+    assert alone[1] < 1e-6 and alone[2] < 1e-6
+    assert np.flatnonzero(paired(doc, slot, labels, 400)).tolist() == [1, 2]
+    machine = Machine(400).fit(doc, slot, x, labels, epochs=60)
+    assert ((machine.score(doc, slot, x, 1200) >= 0.5) == (labels > 0)).mean() > 0.9
+
+
+def test_a_term_beside_a_telling_one_does_not_count():
+    """Where one term decides, the common terms around it stay out."""
+    rng = np.random.default_rng(2)
+    docs = [[1] * (k % 3 == 0) + [t for t in range(2, 12) if rng.random() < 0.5] for k in range(1500)]
+    labels = np.array([k % 3 == 0 and k % 10 > 0 for k in range(1500)], np.float32)
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    doc, slot, _ = features(np.concatenate(docs), offsets, 32)
+    assert not paired(doc, slot, labels, 32).any()
+
+
 def test_pair_sum_equals_the_double_loop():
     machine = Machine(32, 4)
     machine.weight = np.linspace(-1, 1, 32).astype(np.float32)
