@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import leaks
 from .html_text import extract_pages
+from .mixing import taken_words
 from .near import jaccard_join
 from .pieces import decoded, encode_texts
 from .pii import find_pii
@@ -68,10 +69,14 @@ def op10_sharding(spark, sf_dir):
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark, sf_dir):
+    return taken_words(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_pii, op2_decontamination, op3_secrets, op4_top_k, op5_pieces, op6_training_order, op7_toxicity,
-        op8_html_text, op9_near_duplicates, op10_sharding)}
+        op8_html_text, op9_near_duplicates, op10_sharding, op11_mixing)}
 
 _KEYS = "(?:(?i:password|passwd|secret|token|api_?key))"
 _SQL_RULES = (
@@ -154,4 +159,26 @@ SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
 FROM t JOIN place USING (sha) JOIN sums USING (sha)
 """
 
-ORACLES = {"op3_secrets": OP3_SQL, "op4_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL, "op10_sharding": OP10_SQL}
+# The level of the sharing by sorted ceilings, then each queue in the order of its keyed hash.
+OP11_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM t GROUP BY source),
+w AS (SELECT *, (no - 1) % 3 + 1 AS weight, source_size * 3 AS ceiling, ceiling / weight AS ratio FROM s),
+l AS (SELECT *, coalesce(sum(ceiling) OVER b, 0)::BIGINT AS capped, coalesce(sum(weight) OVER b, 0)::BIGINT AS upto,
+    sum(source_size) OVER ()::BIGINT AS words, sum(weight) OVER ()::BIGINT AS weights FROM w
+    WINDOW b AS (ORDER BY ratio, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(upto, upto) AS upto0, arg_min(words - capped, upto) AS room, arg_min(weights - upto, upto) AS share
+    FROM l WHERE (words - capped) / (weights - upto) <= ratio),
+q AS (SELECT source, no, source_size, CASE WHEN upto >= upto0 THEN (weight * room) / share ELSE ceiling END::DOUBLE AS target,
+    CASE WHEN upto >= upto0 THEN ((upto - upto0 + weight)::HUGEINT * room) // share - ((upto - upto0)::HUGEINT * room) // share
+        ELSE ceiling END::BIGINT AS quota FROM l LEFT JOIN f ON true),
+c AS (SELECT t.*, source_size, target, quota, unnest(range(1, greatest(1, (quota + source_size - 1) // source_size) + 1)) AS round
+    FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source WHERE size > 0),
+o AS (SELECT r, greatest(0, least(size, quota - coalesce(sum(size) OVER (PARTITION BY source
+    ORDER BY round, md5(concat_ws(':', 'mix-1', round, coalesce(doc_id::VARCHAR, ''), size)), doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS taken FROM c)
+SELECT doc_id, size, source_size, target, coalesce((SELECT sum(taken) FROM o WHERE o.r = t.r), 0)::BIGINT AS taken
+FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source
+"""
+
+ORACLES = {"op11_mixing": OP11_SQL, "op3_secrets": OP3_SQL, "op4_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL, "op10_sharding": OP10_SQL}
