@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
+from .alignment import alignment
 from .decontaminate import leaks
 from .html_text import extract_pages
-from .mixing import taken_words
+from .mixing import WORD, taken_words
 from .near import jaccard_join
+from .periods import collapse
 from .pieces import decoded, encode_texts
 from .pii import find_pii
 from .secrets import scan_secrets
@@ -73,10 +76,41 @@ def op11_mixing(spark, sf_dir):
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Texts with a repeated stretch from some word on, in the documents whose id says so; others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def planted(words):
+        n = F.size(words)
+        g = F.floor(h / 10)
+        start = (g % n).cast("int")
+        period = (F.lit(1) + F.floor((n - start) / (g % 8 + 3))).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < start, w).otherwise(
+            F.get(words, start + (i - start) % period))), " ")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, bind(words, lambda w: F.when(F.size(w) > 0, planted(w)))).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark, sf_dir):
+    found = collapse(with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("-1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_pii, op2_decontamination, op3_secrets, op4_top_k, op5_pieces, op6_training_order, op7_toxicity,
-        op8_html_text, op9_near_duplicates, op10_sharding, op11_mixing)}
+        op8_html_text, op9_near_duplicates, op10_sharding, op11_mixing, op12_periods, op13_alignment)}
 
 _KEYS = "(?:(?i:password|passwd|secret|token|api_?key))"
 _SQL_RULES = (
@@ -181,4 +215,26 @@ SELECT doc_id, size, source_size, target, coalesce((SELECT sum(taken) FROM o WHE
 FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source
 """
 
-ORACLES = {"op11_mixing": OP11_SQL, "op3_secrets": OP3_SQL, "op4_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL, "op10_sharding": OP10_SQL}
+# Pairs of equal words at every distance, joined to stretches; a stretch that a shorter period covers is no run of its own.
+OP12_SQL = r"""
+WITH steps AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) for i in range(256)] AS s),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+    xor(4294967295, list_reduce(list_prepend(4294967295, [('0x' || x)::BIGINT for x in regexp_extract_all(hex(doc_id::VARCHAR), '..')]),
+        lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1]))) AS h FROM documents, steps),
+e AS (SELECT *, len(o) AS n, (h // 10) % len(o) AS a, (h // 10) % 8 + 3 AS k FROM d),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN [CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % (1 + (n - a) // k) + 1] END for i in range(n)] ELSE o END AS w FROM e),
+x AS (SELECT r, n, unnest(w) AS w, unnest(range(n)) AS i FROM t),
+p AS (SELECT x.r, y.i - x.i AS q, x.i FROM x JOIN x y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+l AS (SELECT r, q, min(i) AS s, max(i) + q + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM p)
+    GROUP BY r, q, grp HAVING count(*) >= greatest(6 - q, 3 * q)),
+u AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.r = l.r AND m.q < l.q AND m.s <= l.s AND m.e >= l.e)),
+g AS (SELECT r, count(*) AS n_runs, arg_min(u, (s - e, s, q)) AS best, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM u GROUP BY r),
+c AS (SELECT x.r, string_agg(x.w, ' ' ORDER BY x.i) AS kept FROM x
+    WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.r = x.r AND x.i >= u.s + u.q AND x.i < u.e) GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.e - best.s AS length, best.q AS period,
+    1000 * (best.e - best.s) // best.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN g USING (r) LEFT JOIN c USING (r)
+"""
+
+ORACLES = {"op12_periods": OP12_SQL, "op11_mixing": OP11_SQL, "op3_secrets": OP3_SQL, "op4_top_k": OP4_SQL, "op9_near_duplicates": OP9_SQL, "op10_sharding": OP10_SQL}
