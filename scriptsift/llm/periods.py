@@ -2,7 +2,7 @@
 
 A run of smallest period p is a maximal stretch in which every word equals the
 one p words on.  Octave k looks for periods from B = 2**k to 2B - 1.  A document
-is cut into overlapping tiles per octave, around boundaries that lie B words
+is cut into overlapping tiles per octave, around boundaries that lie 2B words
 apart.  At each boundary two Z-functions, one over the words from the boundary
 on and one over the reversed words around it, tell for every lag how far both
 sides agree with themselves that many words on.  Lags that a smaller one explains
@@ -10,11 +10,11 @@ sides agree with themselves that many words on.  Lags that a smaller one explain
 runs, cut at the edges of the tile; they are dealt out by document and period and
 stitched where they touch.
 
-A run of period p agrees with itself at 3p places or more, so two neighbouring
-boundaries lie inside, and each short word group between them comes again within
-2B words.  Only such places make tiles; they are found by sorting the groups of
-a document once.  Windows that repeat a period below the octave hold no run of
-the octave and make no tile either.
+A run of period p agrees with itself at 3p places or more, so a boundary lies
+inside, and each short group of words at these places comes again within 2B
+words.  Only such places make tiles; they are found by sorting the groups of a
+document that come more than once.  Words that repeat a period below the octave
+hold no run of the octave and make no tile either.
 """
 
 from __future__ import annotations
@@ -45,80 +45,97 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def codes_of(words: list[str]) -> np.ndarray:
     """A number per word, alike for equal words and no others."""
-    seen: dict[str, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
 
 
-def _gram_distance(codes: np.ndarray) -> np.ndarray:
-    """For each group of four words the distance to the next equal group, or the number of words.
-
-    Groups are compared by hash; a clash only makes a distance shorter, which
-    costs a tile and no run.
-    """
+def _grams(codes: np.ndarray, group: int) -> np.ndarray:
+    """A hash per group of one, two or four words; a clash costs a tile and no run."""
+    out = codes.astype(np.uint64)
     with np.errstate(over="ignore"):
-        pair = codes[:-1].astype(np.uint64) * _MIX + codes[1:].astype(np.uint64)
-        pair ^= pair >> np.uint64(29)
-        gram = pair[:-2] * _MIX + pair[2:]
-    order = np.argsort(gram, kind="stable")
-    same = gram[order[1:]] == gram[order[:-1]]
-    out = np.full(len(gram), len(codes), np.int64)
-    out[order[:-1][same]] = (order[1:] - order[:-1])[same]
+        for width in range(group.bit_length() - 1):
+            out = out[:-1 << width] * _MIX + out[1 << width:]
+            out ^= out >> np.uint64(29)
     return out
 
 
-def _lag_distance(codes: np.ndarray, group: int, lags: int) -> np.ndarray:
-    """The same for groups of one or two words, up to a few lags."""
-    n = len(codes) - group + 1
-    out = np.full(n, len(codes), np.int64)
-    for lag in range(lags, 0, -1):
-        same = codes[lag:] == codes[:-lag]
-        if group == 2:
-            same = same[:-1] & same[1:]
-        out[:len(same)][same] = lag
+def _distance(grams: np.ndarray) -> np.ndarray:
+    """For each group of words the distance to the next equal group, or the number of groups."""
+    n = len(grams)
+    out = np.full(n, n + 1, np.int64)
+    # Groups alone in their hash bucket come once; only the others are sorted.
+    bits = n.bit_length() + 2
+    bucket = ((grams * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    again = np.flatnonzero(np.bincount(bucket, minlength=1 << bits)[bucket] > 1)
+    order = again[np.argsort(grams[again], kind="stable")]
+    same = grams[order[1:]] == grams[order[:-1]]
+    out[order[:-1][same]] = (order[1:] - order[:-1])[same]
     return out
 
 
-def _stretch(near: np.ndarray) -> int:
-    """Length of the longest stretch of true values."""
+def _stretches(near: np.ndarray, least: int):
+    """(start, end) of the stretches of true values that are long enough."""
+    if np.count_nonzero(near) < least:
+        return []
     edges = np.flatnonzero(np.diff(np.concatenate(([0], near.view(np.int8), [0]))))
-    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+    start, end = edges[::2], edges[1::2]
+    long = end - start >= least
+    return list(zip(start[long].tolist(), end[long].tolist()))
+
+
+def _reach(step: int) -> int:
+    """How far on both sides of a boundary a fragment is followed."""
+    return 2 * step + _GRAM
+
+
+def _worth(codes: np.ndarray, grams: np.ndarray, distance: np.ndarray, step: int, at: int) -> bool:
+    """Whether a run of the octave may stand around a boundary.
+
+    Its group of words must come again within the octave, and the words around must
+    not repeat a period below the octave as a whole.
+    """
+    if not (grams[at + step:at + 2 * step] == grams[at]).any():
+        return False
+    return not _repeats(codes[max(0, at - _reach(step)):at + _reach(step) + 2 * step], int(distance[at]), step)
+
+
+def _repeats(window: np.ndarray, period: int, step: int) -> bool:
+    """Whether words repeat a period below the octave as a whole."""
+    return period < step and np.array_equal(window[period:], window[:-period])
 
 
 def tiles(codes: np.ndarray):
-    """(octave, first boundary, boundaries, window start, words of the window) wherever a run may be."""
+    """(octave, first boundary, boundaries, window start, words of the window) wherever a run may be.
+
+    Boundaries lie two steps apart and stand where every group of words comes again
+    within the octave, for as long as the shortest run of the octave asks.
+    """
     n = len(codes)
-    if n < LEAST:
-        return
-    gram = longest = None
-    octave, step = 0, 1
-    while TIMES * step <= n:
-        if step < _GRAM:
-            distance = _lag_distance(codes, step, 2 * step - 1)
-        else:
-            if gram is None:
-                gram = _gram_distance(codes)
-                longest = _stretch(gram < n)
-            if longest <= step:
-                return
-            distance = gram
-        far = distance >= 2 * step
-        if not far.all():
-            upto = np.concatenate(([0], np.cumsum(far)))
-            at = np.arange(0, len(distance) - step, step)
-            active = upto[at + step + 1] == upto[at]
-            marked = np.zeros(len(at) + 1, bool)
-            marked[:-1] |= active
-            marked[1:] |= active
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], marked.view(np.int8), [0]))))
-            most = max(1, TILE // step)
-            for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                for first in range(begin, end, most):
-                    count = min(most, end - first)
-                    lo = max(0, (first - 2) * step)
-                    window = codes[lo:(first + count - 1 + 4) * step]
-                    period = int(distance[first * step])
-                    if not (period < step and np.array_equal(window[period:], window[:-period])):
-                        yield octave, first * step, count, lo, window
+    octave, step, group = 0, 1, 0
+    while n >= LEAST and TIMES * step <= n:
+        if group < min(step, _GRAM):
+            group = min(step, _GRAM)
+            grams = _grams(codes, group)
+            distance = _distance(grams)
+        # Places that agree one period on, less the words of a group.
+        least = max((TIMES - 1) * step, LEAST - step) - group + 1
+        places = _stretches(distance < 2 * step, least)
+        if not places and group == _GRAM and not _stretches(distance <= n, least):
+            return
+        marked = [
+            at for start, end in places for at in range(-(-start // (2 * step)) * 2 * step, end, 2 * step)
+            if step < 16 or _worth(codes, grams, distance, step, at)]
+        most = max(1, TILE // step)
+        while marked:
+            # Neighbouring boundaries share a tile.
+            count = 1
+            while count < min(most, len(marked)) and marked[count] == marked[0] + 2 * step * count:
+                count += 1
+            lo = max(0, marked[0] - _reach(step))
+            window = codes[lo:marked[count - 1] + _reach(step) + 2 * step]
+            if not _repeats(window, int(distance[marked[0]]), step):
+                yield octave, marked[0], count, lo, window
+            marked = marked[count:]
         octave, step = octave + 1, step * 2
 
 
@@ -144,14 +161,19 @@ def _z(text: list, upto: int) -> list:
 
 
 def fragments(octave: int, first: int, count: int, lo: int, words: list):
-    """(period, start, end) of places that agree with themselves one period on, around each boundary of a tile."""
+    """(period, start, end) of places that agree with themselves one period on, around each boundary of a tile.
+
+    A fragment that ends inside the reach on both sides is whole; if it is too short
+    for a run, it is left out.
+    """
     step = 1 << octave
-    for boundary in range(first, first + count * step, step):
+    reach = _reach(step)
+    for boundary in range(first, first + count * 2 * step, 2 * step):
         a = boundary - lo
-        begin, lags = max(0, a - 2 * step), min(2 * step, len(words) - a)
+        begin, lags = max(0, a - reach), min(2 * step, len(words) - a)
         if lags <= step:
             continue
-        ahead = np.array(_z(words[a:a + 4 * step], lags), np.int64)
+        ahead = np.array(_z(words[a:a + reach + 2 * step], lags), np.int64)
         back = words[begin:a][::-1]
         around = words[begin:a + lags - 1][::-1]
         # Lag q meets the reversed words where the last word before boundary + q stands.
@@ -159,11 +181,12 @@ def fragments(octave: int, first: int, count: int, lo: int, words: list):
         behind = np.zeros(lags, np.int64)
         behind[1:] = z[len(back) + 1:len(back) + lags][::-1]
         lag = np.arange(lags)
-        cut = np.minimum(ahead, 2 * step)
+        cut = np.minimum(ahead, reach)
         left = np.flatnonzero(ahead + behind >= lag)[1:]
         while len(left):
             q = left[0]
-            if q >= step:
+            whole = cut[q] < reach and behind[q] < reach
+            if q >= step and (not whole or cut[q] + behind[q] >= max((TIMES - 1) * q, LEAST - q)):
                 yield int(q), int(boundary - behind[q]), int(boundary + cut[q])
             left = left[1:]
             left = left[(ahead[q] + q < cut[left] + left) | (behind[q] < behind[left])]
@@ -269,13 +292,15 @@ def collapse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         rows.mapInArrow(_explode, f"rid long, doc_id {id_type}, n_words long, words_sha256 string, text string, {_TILE_SCHEMA}"),
         "period-tiles")
     cut = exploded.filter("octave is not null").select("rid", "octave", "first", "count", "lo", "words")
-    pieces = cut.repartition("rid", "octave", "first").mapInArrow(_solve, "rid long, period long, start long, end long")
+    # A number of its own, as tiles are few bytes but much work and would be put into few tasks.
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pieces = cut.repartition(parts, "rid", "octave", "first").mapInArrow(_solve, "rid long, period long, start long, end long")
     runs = stitched(pieces).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "length", "period"))).alias("runs"))
     runs_type = "array<struct<start:bigint,length:bigint,period:bigint>>"
     whole = exploded.filter("octave is null").select("rid", "doc_id", "n_words", "words_sha256", "text")
     runs = stage(runs, "period-runs")
     joined = (
-        whole.filter("text is not null").join(runs, "rid", "left")
+        whole.filter("text is not null").hint("merge").join(runs, "rid", "left")
         .select("rid", "doc_id", "n_words", "words_sha256", "text", F.coalesce("runs", F.expr(f"cast(array() as {runs_type})")).alias("runs"))
         .mapInArrow(_kept, f"rid long, doc_id {id_type}, n_words long, runs {runs_type}, collapsed string, collapsed_sha256 string"))
     plain = whole.filter("text is null").select(
