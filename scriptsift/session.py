@@ -50,13 +50,47 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.mkdirs(place)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def move_folder(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder within one file system; the parent of the target is made if needed."""
+    place, files = _place(spark, path)
+    to, _ = _place(spark, target)
+    files.mkdirs(to.getParent())
+    if not files.rename(place, to):
+        raise OSError(f"cannot move {path} to {target}")
+
+
+def committed_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders matching a pattern whose write has ended well."""
+    place, files = _place(spark, f"{pattern}/_SUCCESS")
+    return sorted(f.getPath().getParent().toString() for f in files.globStatus(place) or [])
+
+
 def remove_staged(spark: SparkSession) -> int:
     """Delete the folders this application has staged; results read from them end with it."""
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
+        remove_folder(spark, path)
     return len(paths)
 
 

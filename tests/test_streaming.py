@@ -1,11 +1,14 @@
 import datetime
+import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptsift.operators.predicates import classify_stream_response
 from scriptsift.operators.scan import scan_patterns
+from scriptsift.session import remove_folder
 from scriptsift.sources import readers
-from scriptsift.streaming import live
+from scriptsift.streaming import latest, live
 
 SCHEMA = "url string, status_code int, content string, content_type string, captured_at timestamp"
 
@@ -60,10 +63,99 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path)
     batch = live.live_texts(spark.createDataFrame([("https://h/a.js", 200, "eval(1)", JS, at(1))], SCHEMA))
     for _ in range(2):
-        live.write_batch(batch, 0, root)
-    live.write_batch(batch, 1, root)
+        live.write_batch(batch, 0, root, deduplicate=False)
     assert live.asset_versions(spark, root).count() == 1
     assert live.captured_findings(spark, root).count() == 1
+    assert live.current_versions(spark, root).count() == 1
+
+
+def test_a_failed_batch_is_repeated_from_the_checkpoint(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    add, calls = latest.add, []
+
+    def fails_once(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("lost")
+        add(*args)
+
+    monkeypatch.setattr(latest, "add", fails_once)
+    batches = [[("https://h/a.js", 200, "eval(1)", JS, at(1))], [("https://h/b.js", 200, "eval(2)", JS, at(2)), ("https://h/c.js", 200, "eval(1)", JS, at(3))]]
+    feeds = feed(spark, root, *batches)
+    next(feeds)
+    capture(spark, root)
+    next(feeds)
+    with pytest.raises(Exception, match="lost"):
+        capture(spark, root)
+    capture(spark, root)
+    out = f"{root}/out"
+    assert sorted((r.url, r.batch_id) for r in live.asset_versions(spark, out).collect()) == [("https://h/a.js", 0), ("https://h/b.js", 1)]
+    assert sorted(r.url for r in live.captured_findings(spark, out).collect()) == ["https://h/a.js", "https://h/b.js"]
+    assert sorted(r.url for r in live.current_versions(spark, out).collect()) == ["https://h/a.js", "https://h/b.js"]
+
+
+def test_no_history_is_read(spark, tmp_path):
+    """The stream goes on although everything stored by earlier batches is gone."""
+    root = str(tmp_path)
+    feeds = feed(spark, root, [("https://h/a.js", 200, "eval(1)", JS, at(1))], [("https://h/b.js", 200, "eval(1)", JS, at(2)), ("https://h/a.js", 200, "eval(1);", JS, at(2))])
+    next(feeds)
+    capture(spark, root)
+    for name in ("assets", "versions"):
+        remove_folder(spark, f"{root}/out/{name}")
+    next(feeds)
+    capture(spark, root)
+    assert [(r.url, r.content) for r in live.asset_versions(spark, f"{root}/out").collect()] == [("https://h/a.js", "eval(1);")]
+    assert live.captured_findings(spark, f"{root}/out").count() == 1
+
+
+def test_counts_run_with_the_stream(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [[("https://h/a.js", 200, "eval(1)", JS, at(1)), ("https://h/b.js", 200, "clean()", JS, at(1))],
+            [("https://h/a.js", 200, "eval(1); document.cookie", JS, at(2)), ("https://h/c.js", 200, "x.innerHTML = y", JS, at(3))]]
+    seen = []
+    for _ in feed(spark, root, *rows):
+        capture(spark, root, counts=True)
+        seen.append({r.url: r.total for r in live.current_counts(spark, f"{root}/out").collect()})
+    assert seen == [{"https://h/a.js": 1}, {"https://h/a.js": 2, "https://h/c.js": 1}]
+
+
+def test_hot_body_and_null_times(spark, tmp_path):
+    """One body in most responses; the earliest capture stands for it, a null time comes last."""
+    root = str(tmp_path)
+    rows = [(f"https://h/{i}.js", 200, "eval(1)" if i % 3 else f"eval({i})", JS, None if i % 5 == 0 else at(59 - i % 50)) for i in range(300)]
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(f"{root}/in")
+    capture(spark, root, deduplicate=False)
+    got = {r.content_hash: r.url for r in live.asset_versions(spark, f"{root}/out").collect()}
+    want = {}
+    for url, _, content, _, t in sorted(rows, key=lambda r: (r[4] is None, r[4] or at(0), r[0])):
+        want.setdefault(hashlib.sha256(content.encode()).hexdigest(), url)
+    assert got == want
+
+
+def test_latest_rows_over_many_batches(spark, tmp_path):
+    root, want = f"{tmp_path}/latest", {}
+    for batch in range(11):
+        rows = [(f"u{(batch * 7 + i) % 13}", batch, f"{batch}-{i}") for i in range(4)]
+        for url, b, value in rows:
+            want[url] = max(want.get(url, (-1, "")), (b, value))
+        frame = spark.createDataFrame(rows, "url string, batch_id long, value string")
+        for _ in range(1 + batch % 2):  # a batch may come twice
+            latest.add(frame, root, batch, ["url"], ["batch_id"])
+    # 0-3 and 4-7 are merged, 8 to 10 are not yet.
+    assert sorted(latest.runs(spark, root)) == [(0, 8), (0, 9), (0, 10), (1, 0), (1, 1)]
+
+    def rows_now():
+        return {r.url: (r.batch_id, r.value) for r in latest.read(spark, root, "url string, batch_id long, value string", ["url"], ["batch_id"]).collect()}
+    assert rows_now() == want
+    assert latest.vacuum(spark, root) == 8 and rows_now() == want
+    assert latest.read(spark, f"{root}-none", "url string, batch_id long", ["url"], ["batch_id"]).collect() == []
+
+
+def test_session_settings_stay(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    for _ in feed(spark, str(tmp_path), [("https://h/a.js", 200, "eval(1)", JS, at(1))]):
+        capture(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
 
 
 def test_bounded_state(spark, tmp_path):
