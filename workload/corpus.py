@@ -308,6 +308,25 @@ ASSETS = Derived("customer", (
         ("discovered_at", "MICROS(1704067200000000 + (k % 29) * 3600000000)"),
     ),
 ))
+# Who led to whom, by project: chains, a hub with a third of all assets, circles, and a long chain.
+_LED = "concat('https://t', cast({0} % 30 as string), '.example.com/led/a', cast({0} as string), '.js')"
+PROVENANCE = Derived("customer", (
+    (
+        ("id", "c_custkey"), ("p", "CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 40 END"),
+        ("n", "cast(floor(c_custkey / 40) as bigint)"),
+    ),
+    (
+        *keep("id", "p", "n"),
+        ("parent", "CASE WHEN p = 0 THEN CASE WHEN id % 3 = 0 AND id > 3 THEN 3 END "
+                   "WHEN p = 1 THEN CASE WHEN n % 9 >= 3 THEN id - 120 ELSE id + 240 END "
+                   "WHEN p = 2 THEN CASE WHEN n % 240 >= 3 THEN id - 120 END "
+                   "WHEN n % 16 >= 3 THEN id - 120 END"),
+    ),
+    (
+        ("id", "id"), ("project_id", "p"), ("url", _LED.format("id")), ("asset_type", "'chunk'"), ("chunk_id", "cast(n as string)"),
+        ("parent_url", "CASE WHEN parent IS NOT NULL THEN " + _LED.format("parent") + " END"),
+    ),
+))
 FINDINGS = Derived("orders", (
     keyed("o_orderkey", ("c", "o_custkey")),
     (

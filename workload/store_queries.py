@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptsift.operators import listing, predicates, rollups, store
+from scriptsift.operators import listing, predicates, provenance, rollups, store
 from scriptsift.session import shared_folder
 from scriptsift.sources import sinks
 
-from .corpus import ASSETS, FINDINGS, PROJECTS
+from .corpus import ASSETS, FINDINGS, PROJECTS, PROVENANCE
 from .duck import RANK
 from .registry import query
 from .scan_queries import with_places
@@ -136,6 +136,26 @@ def asset_import_graph(spark, sf):
     return store.asset_import_graph(ASSETS.frame(spark, sf)).select("id", "url", "chunk_id", "parent_id", "parent_type")
 
 
+_CLOSURE = f"""
+WITH RECURSIVE a AS (SELECT * FROM {PROVENANCE.sql}),
+e AS (SELECT DISTINCT c.project_id, c.id, p.id AS parent_id FROM a c JOIN a p ON c.project_id = p.project_id AND c.parent_url = p.url),
+r AS (SELECT project_id, id, parent_id AS ancestor_id, 1 AS depth, [parent_id] AS path FROM e
+    UNION ALL SELECT r.project_id, r.id, e.parent_id, r.depth + 1, list_append(r.path, e.parent_id)
+    FROM r JOIN e ON e.project_id = r.project_id AND e.id = r.ancestor_id WHERE NOT list_contains(r.path, e.parent_id)),
+c AS (SELECT project_id, id, ancestor_id, depth,
+    NOT EXISTS (SELECT 1 FROM e WHERE e.project_id = r.project_id AND e.id = r.ancestor_id) AS root FROM r)"""
+
+
+@query("asset_import_closure", f"{_CLOSURE} SELECT project_id, id, ancestor_id, depth, root FROM c")
+def asset_import_closure(spark, sf):
+    return provenance.asset_import_closure(PROVENANCE.frame(spark, sf))
+
+
+@query("asset_import_roots", f"{_CLOSURE} SELECT project_id, id, ancestor_id AS root_id, depth FROM c WHERE root")
+def asset_import_roots(spark, sf):
+    return provenance.import_roots(provenance.asset_import_closure(PROVENANCE.frame(spark, sf)))
+
+
 @query("project_severity_counts", f"""
 SELECT project_id, severity, count(*) AS n, {RANK} AS severity_rank FROM {FI}
 WHERE severity IN ('critical', 'high', 'medium', 'low', 'info') GROUP BY project_id, severity""")
