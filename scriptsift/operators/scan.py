@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EDGE_SPACE, any_lines, content_hash, is_blank
+from ..session import shared_folder, staged
 from .catalog import Detector, detector_regex, select_detectors
 from .extract import string_literals
 
@@ -111,21 +112,20 @@ def _let(name: str, value: str, body: str) -> str:
 _FEW = 64
 
 
-def _row_findings(detectors, context_lines: int, deduplicate: bool, compat: bool) -> Column:
-    """Array of (i, value, m_ord, line_number, context) of one text.
+_NOTHING = "cast(array() as array<struct<__i:{0},value:string,m_ord:int,line_number:int,context:string>>)"
+_CLEAN = f"CASE WHEN __odd THEN translate(__text, '{_MARK}{_END}', '{_STAND_IN}{_STAND_IN}') ELSE __text END"
+
+
+def _of_detector(label: str, marked: str, again: str, context_lines: int, deduplicate: bool, nothing: str) -> str:
+    """SQL: array of (label, value, m_ord, line_number, context) of one detector on one text.
 
     A detector's pass marks each match with mark, value, end.  Cut at the marks,
-    the result yields values and places at once.
+    the result yields values and places at once.  ``again`` extracts the values of
+    a text that holds the marks itself; ``ls`` are the lines of the text.
     """
     n = context_lines
-    clean = f"CASE WHEN __odd THEN translate(__text, '{_MARK}{_END}', '{_STAND_IN}{_STAND_IN}') ELSE __text END"
-    marked = _switch("d", [
-        f"regexp_replace({clean}, {_quoted(detector_regex(d))}, '{_MARK}${d.value_group}{_END}$0')" for d in detectors])
-    # Values of a text that holds the marks itself are extracted in a second pass.
-    regexes = ", ".join(_quoted(detector_regex(d)) for d in detectors)
-    groups = ", ".join(str(d.value_group) for d in detectors)
     values = (
-        f"CASE WHEN __odd THEN regexp_extract_all(__text, get(array({regexes}), d), get(array({groups}), d)) "
+        f"CASE WHEN __odd THEN {again} "
         f"ELSE transform(slice(ps, 2, size(ps) - 1), p -> substring_index(p, '{_END}', 1)) END")
     bare = f"transform(ps, (p, i) -> CASE WHEN i = 0 THEN p ELSE split_part(p, '{_END}', 2) END)"
     few = (
@@ -144,22 +144,68 @@ def _row_findings(detectors, context_lines: int, deduplicate: bool, compat: bool
         found = _let("fs", f"sort_array({found})", (
             "CASE WHEN size(fs) < 2 THEN fs ELSE filter(fs, (f, i) -> i = 0 OR f.value <> get(fs, i - 1).value) END"))
     shown = (
-        f"transform({found}, f -> named_struct('__i', d, 'value', f.value, 'm_ord', f.m_ord, 'line_number', f.line_number, "
+        f"transform({found}, f -> named_struct('__i', {label}, 'value', f.value, 'm_ord', f.m_ord, 'line_number', f.line_number, "
         f"'context', array_join(slice(ls, greatest(f.line_number - {n}, 1), "
         rf"f.line_number + {n} - greatest(f.line_number - {n}, 1) + 1), '\n')))")
-    nothing = "cast(array() as array<struct<__i:int,value:string,m_ord:int,line_number:int,context:string>>)"
-    of_detector = _let("m", marked, (
+    return _let("m", marked, (
         f"CASE WHEN contains(m, '{_MARK}') THEN {_let('ps', f'split(m, {_quoted(_MARK)}, -1)', shown)} ELSE {nothing} END"))
-    lines = "__lines" if compat else r"split(__text, '\n', -1)"
-    of_text = _let("ls", lines, f"flatten(transform(__run, d -> {of_detector}))")
+
+
+def _lines_sql(compat: bool) -> str:
+    return "__lines" if compat else r"split(__text, '\n', -1)"
+
+
+def _row_findings(detectors, context_lines: int, deduplicate: bool, compat: bool) -> Column:
+    """Array of (i, value, m_ord, line_number, context) of one text."""
+    marked = _switch("d", [
+        f"regexp_replace({_CLEAN}, {_quoted(detector_regex(d))}, '{_MARK}${d.value_group}{_END}$0')" for d in detectors])
+    regexes = ", ".join(_quoted(detector_regex(d)) for d in detectors)
+    groups = ", ".join(str(d.value_group) for d in detectors)
+    again = f"regexp_extract_all(__text, get(array({regexes}), d), get(array({groups}), d))"
+    nothing = _NOTHING.format("int")
+    of_detector = _of_detector("d", marked, again, context_lines, deduplicate, nothing)
+    of_text = _let("ls", _lines_sql(compat), f"flatten(transform(__run, d -> {of_detector}))")
     return F.expr(f"CASE WHEN size(__run) > 0 THEN {of_text} ELSE {nothing} END")
 
 
-def _scan_pass(texts, keys, content, detectors, first_ord, context_lines, deduplicate, compat, prefilter):
+# A rule as data: its place, its expression for the JVM, and what its findings are labelled with.
+RULE = (
+    "struct<p_ord:bigint,regex:string,value_group:int,finding_type:string,category:string,severity:string,"
+    "confidence:string,pattern_name:string>")
+
+
+def scan_with_rules(
+    texts: DataFrame, keys=("asset_key", "asset_url"), content: str = "content", rules: str = "rules",
+    context_lines: int = 2, deduplicate: bool = True, compat: bool = False,
+) -> DataFrame:
+    """Findings of the rules that stand in a column of the texts, an array of ``RULE``.
+
+    Rules are data, so a plan serves any number of them; an expression is compiled
+    anew wherever it follows another one.
+    """
     text = F.col("__text")
+    src = texts.select(*keys, F.col(content).alias("__text"), F.col(rules).alias("__rules")).withColumns({
+        "__blank": is_blank(text), "__wide": F.octet_length(text) > F.length(text)}).withColumns({
+            "__odd": F.col("__wide") & (text.contains(_MARK) | text.contains(_END))})
+    if compat:
+        src = src.withColumn("__lines", any_lines(text))
+    marked = f"regexp_replace({_CLEAN}, r.regex, concat('{_MARK}$', r.value_group, '{_END}$0'))"
+    again = "regexp_extract_all(__text, r.regex, r.value_group)"
+    nothing = _NOTHING.format(RULE)
+    of_rule = _of_detector("r", marked, again, context_lines, deduplicate, nothing)
+    of_text = _let("ls", _lines_sql(compat), f"flatten(transform(__rules, r -> {of_rule}))")
+    found = F.expr(f"CASE WHEN size(__rules) > 0 AND NOT __blank THEN {of_text} ELSE {nothing} END")
+    return src.select(*keys, F.inline(found)).select(
+        *keys, "__i.finding_type", "__i.category", "value", "context", "line_number", "__i.confidence", "__i.severity",
+        "__i.pattern_name", "__i.p_ord", "m_ord")
+
+
+def _scan_pass(texts, keys, content, detectors, first_ord, context_lines, deduplicate, compat, prefilter, todo):
+    text = F.col("__text")
+    asked = [F.col(todo).alias("__todo")] if todo else []
     # Blank texts drop out with their candidates: a filter here would make the
     # optimizer compute a derived text twice.
-    src = texts.select(*keys, F.col(content).alias("__text")).withColumns({
+    src = texts.select(*keys, F.col(content).alias("__text"), *asked).withColumns({
         "__blank": is_blank(text), "__wide": F.octet_length(text) > F.length(text)})
     rare = {"__odd": F.col("__wide") & (text.contains(_MARK) | text.contains(_END))}
     shared = _shared_groups(detectors) if prefilter else {}
@@ -172,9 +218,11 @@ def _scan_pass(texts, keys, content, detectors, first_ord, context_lines, dedupl
     src = src.withColumns(rare)
     extra = [any_lines(text).alias("__lines")] if compat else []
     label = F.col("__d")
+    run = _candidates(detectors, shared, prefilter)
+    if todo:
+        run = F.filter(run, lambda d: F.array_contains("__todo", d + first_ord))
     return (
-        src.select(
-            *keys, "__text", "__odd", _candidates(detectors, shared, prefilter).alias("__run"), *extra)
+        src.select(*keys, "__text", "__odd", run.alias("__run"), *extra)
         .select(*keys, F.inline(_row_findings(detectors, context_lines, deduplicate, compat)))
         .withColumn("__d", _labels(detectors, first_ord))
         .select(
@@ -194,10 +242,13 @@ def scan_patterns(
     deduplicate: bool = True,
     compat: bool = False,
     prefilter: bool = True,
+    todo: str | None = None,
     **selection,
 ) -> DataFrame:
     """One row per finding: ``keys`` + type, category, value, context, line, …
 
+    ``todo`` names a column with the places of the detectors to run on a row.
+
     ``selection`` is handed to ``select_detectors`` when ``detectors`` is not
     given.  ``deduplicate`` keeps the first match per (row, type, category,
     value).  ``compat`` cuts context at every Unicode line break, although line
@@ -214,7 +265,7 @@ def scan_patterns(
     for start in range(0, len(chosen), DETECTORS_PER_PASS):
         part = _scan_pass(
             texts, keys, content, chosen[start:start + DETECTORS_PER_PASS], start,
-            context_lines, deduplicate, compat, prefilter)
+            context_lines, deduplicate, compat, prefilter, todo)
         out = part if out is None else out.unionByName(part)
     labels = Counter((d.finding_type, d.category) for d in chosen)
     if deduplicate and max(labels.values()) > 1:
@@ -256,8 +307,20 @@ def scan_once_per_hash(texts: DataFrame, keys=("asset_key", "asset_url"), conten
     """Scan each distinct text once and hand its findings to all assets holding it.
 
     Worth the shuffle of the texts when copies are common; otherwise
-    ``scan_patterns`` alone is cheaper.
+    ``scan_patterns`` alone is cheaper.  The findings are stored before they meet
+    the holders: joined straight from their aggregate they would have to stay where
+    it put them, and a text held by a third of all assets would be one task's.
     """
     by_hash = scan_patterns(distinct_contents(texts, content), ("content_hash",), "content", **options)
+    by_hash = staged(by_hash, shared_folder(texts.sparkSession, "findings-by-hash"))
+    return to_holders(by_hash, texts, keys, content)
+
+
+def to_holders(by_hash: DataFrame, texts: DataFrame, keys, content: str = "content") -> DataFrame:
+    """Findings per content hash, handed to all assets that hold it.
+
+    Both sides arrive from stored rows, so adaptive execution may split the rows of
+    a hash among tasks.
+    """
     holders = texts.select(*keys, content_hash(F.col(content)).alias("content_hash"))
     return holders.join(by_hash, "content_hash").drop("content_hash")

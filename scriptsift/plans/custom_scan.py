@@ -1,36 +1,145 @@
-"""Scan with a table of custom patterns of any size."""
+"""Scan with a table of custom patterns of any size, reading the texts once.
+
+An inverted index of byte groups says which rules a text can match at all.  Each
+rule is put down to the literals it needs, each literal to its rarest group in
+these very texts; texts and rules meet where they share a group, and only such
+pairs are run.  Rules and texts are both data: neither the plan nor the driver
+grows with the number of rules, and a text is read once for all of them.
+
+Rules without such literals meet every text, as they must.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ..operators import literals
+from ..operators.catalog import Detector, custom_detector_pages, detector_regex, enabled_custom_patterns, valid_detectors
+from ..operators.scan import RULE, scan_with_rules, unique_findings
+from ..session import shared_folder, staged
+
+# Rules that the driver checks at a time.
+PAGE = 2000
+_INDEXED = "p_ord long, rule " + RULE + ", folds boolean, literal string, codes array<int>"
+
+
+def _index(batches):
+    """A row per rule and literal it may need, with the literal's byte groups; one without, if nothing is known."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            d = Detector(row.name, row.pattern, row.finding_type, row.name, row.severity, "medium")
+            rule = {
+                "p_ord": row.id, "regex": detector_regex(d), "value_group": d.value_group, "finding_type": row.finding_type,
+                "category": row.name, "severity": row.severity, "confidence": "medium", "pattern_name": row.name}
+            folds, needed = literals.required_literals(row.pattern)
+            for literal in needed or [None]:
+                codes = np.unique(literals.grams(literal.encode())).tolist() if literal else [literals.ALWAYS]
+                out.append((row.id, rule, folds and bool(needed), literal, codes))
+        yield pd.DataFrame(out, columns=["p_ord", "rule", "folds", "literal", "codes"])
+
+
+def rule_index(custom: DataFrame, project_id=None, page: int = PAGE, folder: str | None = None) -> DataFrame:
+    """The enabled rules of a project that compile, with the literals they need.
+
+    Expressions are checked page by page on the driver, where they cost nothing
+    but the check; which ones failed is written down, not kept.
+    """
+    spark = custom.sparkSession
+    folder = folder or shared_folder(spark, "rule-index")
+    rules = (
+        enabled_custom_patterns(custom, project_id).filter((F.col("pattern_type") == "regex") & F.col("id").isNotNull())
+        .select(F.col("id").cast("long").alias("id"), "name", "pattern", "finding_type", "severity"))
+    none = spark.createDataFrame([], "name string, regex string")
+    none.write.mode("overwrite").parquet(f"{folder}/rejected/page=0")
+    for number, detectors in enumerate(custom_detector_pages(custom, project_id, page)):
+        _, rejected = valid_detectors(spark, detectors)
+        rejected.select("name", "regex").write.mode("overwrite").parquet(f"{folder}/rejected/page={number + 1}")
+    bad = spark.read.schema("name string, regex string, page int").parquet(f"{folder}/rejected")
+    same = (F.col("r.name").eqNullSafe(F.col("b.name"))) & (F.col("r.pattern") == F.col("b.regex"))
+    good = rules.alias("r").join(bad.alias("b"), same, "left_anti")
+    return staged(good.mapInPandas(_index, _INDEXED), f"{folder}/rules")
+
+
+def _with_codes(batches, content: str, wanted: bytes, folding: bool, always: bool):
+    """Texts with the wanted byte groups they hold; others stay behind."""
+    asked = np.unpackbits(np.frombuffer(wanted, np.uint8)).view(bool)
+    for batch in batches:
+        found, kept = [], []
+        for row, text in enumerate(batch.column(content).to_pylist()):
+            if text is None:
+                continue
+            codes = literals.grams(text.encode("utf-8", "surrogatepass"))
+            codes = np.unique(codes[asked[codes]]).tolist()
+            if folding and not text.isascii() and any(c in text for c in literals.FOLDING_LETTERS):
+                codes.append(literals.FOLDING)
+            if always:
+                codes.append(literals.ALWAYS)
+            if codes:
+                found.append(codes)
+                kept.append(row)
+        taken = pa.Table.from_batches([batch]).take(pa.array(kept, pa.int64()))
+        yield from taken.append_column("__codes", pa.array(found, pa.list_(pa.int32()))).combine_chunks().to_batches()
+
+
+def candidates(texts: DataFrame, index: DataFrame, content: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(texts that some rule can match, pairs of a text and the rules to run on it).
+
+    The wanted groups are a bitmap of 2 MB, however many rules there are.
+    """
+    flags = index.agg(F.max("folds").alias("folds"), F.max(F.col("literal").isNull()).alias("always")).first()
+    wanted = np.zeros(1 << 24, bool)
+    asked = index.filter("literal is not null").select(F.explode("codes").alias("code")).distinct()
+    wanted[[r["code"] for r in asked.collect()]] = True
+    find = partial(
+        _with_codes, content=content, wanted=np.packbits(wanted).tobytes(), folding=bool(flags["folds"]), always=bool(flags["always"]))
+    schema = StructType([*texts.schema.fields, StructField("__codes", ArrayType(IntegerType()))])
+    held = staged(texts.mapInArrow(find, schema).withColumn("__rid", F.monotonically_increasing_id()), f"{folder}/texts")
+    places = held.select("__rid", F.explode("__codes").alias("code"))
 
-from ..operators.catalog import custom_detector_pages, valid_detectors
-from ..operators.scan import DETECTORS_PER_PASS, scan_patterns, unique_findings
-from ..session import shared_folder
+    # Of a literal's groups the one that fewest texts hold; a group that no text holds rules the literal out.
+    counts = places.groupBy("code").agg(F.count("*").alias("n"))
+    each = index.select("p_ord", "literal", F.size("codes").alias("size"), F.explode("codes").alias("code")).join(counts, "code")
+    rarest = (
+        each.groupBy("p_ord", "literal").agg(F.min(F.struct("n", "code")).alias("best"), F.count("*").alias("there"), F.first("size").alias("size"))
+        .filter("there = size").select("p_ord", "literal", F.col("best.code").alias("code")))
+    folding = index.filter("folds").select("p_ord", F.lit(None).cast("string").alias("literal"), F.lit(literals.FOLDING).alias("code"))
+    keys = staged(rarest.unionByName(folding.distinct()), f"{folder}/keys")
+    pairs = places.join(keys, "code").select("__rid", "p_ord", "literal")
+    return held, staged(pairs.distinct(), f"{folder}/pairs")
 
 
 def scan_custom(
     texts: DataFrame, custom: DataFrame, project_id=None, keys=("asset_key", "asset_url"), content: str = "content",
-    page: int = DETECTORS_PER_PASS, folder: str | None = None, **options,
+    page: int = PAGE, folder: str | None = None, **options,
 ) -> DataFrame:
-    """Findings of all enabled patterns of a project.
+    """Findings of all enabled patterns of a project; ``p_ord`` is the id of the pattern.
 
-    The table is taken page by page, each page a stored pass over the texts, so
-    neither the driver nor a plan ever holds more than a page.  Patterns that
-    cannot be compiled are left out.
+    The texts are read once, whatever the number of patterns.  Patterns that
+    cannot be compiled are left out.  Each run stages its tables anew, so a
+    repeated run repeats no finding.
     """
     spark = texts.sparkSession
-    folder = folder or shared_folder(spark, "custom-scan")
-    schema, pages, first = None, 0, 0
-    for detectors in custom_detector_pages(custom, project_id, page):
-        good, _ = valid_detectors(spark, detectors)
-        found = scan_patterns(texts, keys, content, detectors=good, **options)
-        # Places in the catalog go on over the pages.
-        found = found.withColumn("p_ord", found["p_ord"] + first)
-        found.write.mode("append").parquet(folder)
-        schema, pages, first = found.schema, pages + 1, first + len(detectors)
-    if schema is None:
-        return scan_patterns(texts, keys, content, detectors=[], **options)
-    stored = spark.read.schema(schema).parquet(folder)
-    # Equal labels on different pages may repeat a finding.
-    return unique_findings(stored, keys) if pages > 1 else stored
+    folder = shared_folder(spark, "custom-scan") if folder is None else folder
+    index = rule_index(custom, project_id, page, f"{folder}/index")
+    held, pairs = candidates(texts.select(*keys, content), index, content, folder)
+    rules = index.select("p_ord", "rule").dropDuplicates(["p_ord"])
+    asked = pairs.join(rules, "p_ord").groupBy("__rid").agg(F.collect_list(F.struct("literal", "rule")).alias("__asked"))
+    # A literal that the text does not hold as a whole is no candidate after all.
+    lower = F.translate(F.col(content), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    joined = held.join(asked, "__rid").withColumn("__lower", lower)
+    there = F.filter("__asked", lambda a: a["literal"].isNull() | F.contains(F.col("__lower"), a["literal"]))
+    ready = joined.withColumn("__run", F.array_sort(F.array_distinct(F.transform(there, lambda a: a["rule"]))))
+    found = scan_with_rules(ready, keys, content, "__run", **options)
+    labels = rules.groupBy("rule.finding_type", "rule.category").count().filter("count > 1")
+    if options.get("deduplicate", True) and not labels.isEmpty():
+        # Rules that share a label may repeat each other's findings.
+        found = unique_findings(found, keys)
+    return found
