@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators.scan import scan_once_per_hash, scan_patterns
 from ..operators.store import captured_bodies, first_captures, persistable_findings, with_body
 from ..session import shared_folder, staged
 from .chunk_discovery import discover_chunks
+from .incremental import scan_incremental
 
 
 @dataclass
@@ -34,13 +36,15 @@ def scan_site(
     reflow: bool = True,
     folder: str | None = None,
     once_per_hash: bool = False,
+    ledger: str | None = None,
     **options,
 ) -> SiteScan:
     """Scripts of pages, the chunks they load, their sources, and findings.
 
     Unlike a one-pass crawl, discovered chunks are scanned in the same run.
     Intermediate tables go to the shared folder, so a lost executor costs a
-    stage and not the run.
+    stage and not the run.  With ``ledger``, a folder kept between runs, only pairs
+    of content and detector are scanned that no run before has scanned.
     """
     folder = folder or shared_folder(spark, "site-scan")
     firsts = staged(first_captures(responses), f"{folder}/firsts")
@@ -79,9 +83,11 @@ def scan_site(
     inline = inline_scripts(pages, ("url",)).select("asset_url", "content")
 
     everything = best.unionByName(inline)
-    if once_per_hash:
+    if once_per_hash or ledger:
         # Read for the distinct texts and again for the assets that hold them.
         everything = staged(everything, f"{folder}/texts_to_scan")
     scan = scan_once_per_hash if once_per_hash else scan_patterns
-    findings = persistable_findings(scan(everything, ("asset_url",), **options), ("asset_url",))
+    if ledger:
+        scan = partial(scan_incremental, ledger=ledger)
+    findings = persistable_findings(scan(everything, keys=("asset_url",), **options), ("asset_url",))
     return SiteScan(scripts, chunks, source_files, staged(findings, f"{folder}/findings"))
