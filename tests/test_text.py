@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -124,6 +125,41 @@ def test_reflow_only_adds_line_feeds(spark):
     assert [g[0].replace("\n", "") for g in got] == [v.replace("\n", "") for v in values]
 
 
+def _indented(script):
+    """The pieces one after the other, with a depth that never falls below zero."""
+    pieces = re.findall(
+        r"(?s)/\*.*?(?:\*/|\Z)|//[^\n]*|\"(?:[^\"\\]|\\.)*(?:\"|\\?\Z)|'(?:[^'\\]|\\.)*(?:'|\\?\Z)|`(?:[^`\\]|\\.)*(?:`|\\?\Z)"
+        r"|[{};,]|[^{};,\"'`/]+|.", script)
+    out, depth, most = [], 0, 0
+    for p in pieces:
+        depth = max(0, depth + {"{": 1, "}": -1}.get(p, 0))
+        most = max(most, depth)
+        line = "\n" + "  " * depth
+        out.append(p + line if p in "{;," else line + p if p == "}" else p)
+    return "".join(out), most
+
+
+def test_indentation(spark):
+    rnd = random.Random(5)
+    js = "function a(){var b=\"x;{}\";if(b){c(1,2)}}}}d{e}"
+    values = [js, "", "plain", "}}}{{"] + ["".join(rnd.choice("{{};,'\"`/*\\ab \n") for _ in range(rnd.randint(0, 300))) for _ in range(150)]
+    got = column(spark, values, reflow.reflow_indented(F.col("t")))
+    assert [g[0] for g in got] == [_indented(v)[0] for v in values]
+    assert [g[0] for g in column(spark, values, reflow.max_depth(F.col("t")))] == [_indented(v)[1] for v in values]
+    assert got[0][0].splitlines()[:4] == ["function a(){", "  var b=\"x;{}\";", "  if(b){", "    c(1,"]
+
+
+def test_indentation_of_long_scripts_is_linear(spark):
+    def seconds(n):
+        script = "{a;b,c}" * n + "{" * 50 + "x;" * n
+        start = time.perf_counter()
+        assert column(spark, [script], F.length(reflow.reflow_indented(F.col("t"))))[0][0] == len(_indented(script)[0])
+        return time.perf_counter() - start
+    seconds(1000)
+    small, large = seconds(15_000), seconds(120_000)  # 0.14 and 1.1 MB
+    assert large < 24 * small
+
+
 def test_best_content(spark):
     rows = spark.createDataFrame([("m", "r", "x"), ("", "r", "x"), (None, "", "x"), (None, None, "")], "m string, r string, x string")
     got = [r[0] for r in rows.select(reflow.best_content(F.col("m"), F.col("r"), F.col("x"))).collect()]

@@ -48,6 +48,24 @@ def reflow_minified(spark, sf):
     return with_known(scripts, "reflowed", reflow.reflow_minified(F.col("content"))).select("asset_key", "reflowed")
 
 
+# Scripts nested up to nine deep, with up to two closing braces too many.
+_NESTED = f"(SELECT asset_key, concat(repeat('if(x){{', cast(asset_key % 10 as int)), content, repeat('}}', cast(asset_key % 12 as int)), ';end') AS content FROM {BUNDLES.sql})"
+
+
+@query("reflow_depth", f"""
+WITH t AS (SELECT asset_key, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (
+    SELECT asset_key, regexp_extract_all(content, {lit(_PIECES)}) AS ps FROM {_NESTED})),
+s AS (SELECT *, sum(CASE p WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY asset_key ORDER BY i) AS s FROM t),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY asset_key ORDER BY i)) AS d FROM s)
+SELECT asset_key, max(d)::INTEGER AS max_depth, md5(string_agg(CASE WHEN p IN ('{{', ';', ',') THEN p || chr(10) || repeat('  ', d::BIGINT)
+    WHEN p = '}}' THEN chr(10) || repeat('  ', d::BIGINT) || p ELSE p END, '' ORDER BY i)) AS indented FROM d GROUP BY asset_key""")
+def reflow_depth(spark, sf):
+    nested = BUNDLES.frame(spark, sf).selectExpr(
+        "asset_key", "concat(repeat('if(x){', cast(asset_key % 10 as int)), content, repeat('}', cast(asset_key % 12 as int)), ';end') AS content")
+    return nested.select(
+        "asset_key", reflow.max_depth(F.col("content")).alias("max_depth"), F.md5(reflow.reflow_indented(F.col("content"))).alias("indented"))
+
+
 @query("best_content", f"""
 SELECT asset_key, md5(CASE WHEN asset_key % 4 = 0 THEN concat('mapped ', asset_key)
   WHEN {minified('content')} THEN {REFLOWED} ELSE content END) AS digest FROM {BUNDLES.sql}""")
