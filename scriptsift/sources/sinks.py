@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import redact, safe_filename, safe_path
+from ..session import shared_folder, staged
 
 ANALYSIS_FIELDS = (
     "finding_type", "category", "value", "severity", "confidence", "line_number", "context", "pattern_name")
@@ -55,6 +56,61 @@ def write_report(projects: DataFrame, assets: DataFrame, findings_with_url: Data
         rows.hint("rebalance", "project_id").write.mode("overwrite").partitionBy("project_id").json(f"{path}/{name}")
 
 
+# Parts of a report document, in order.
+_HEAD, _ASSETS, _BETWEEN, _FINDINGS, _TAIL = range(5)
+_LINE = ("project_id", "section", "place", "rid", "line")
+
+
+def report_lines(projects: DataFrame, assets: DataFrame, findings_with_url: DataFrame) -> DataFrame:
+    """The lines of one JSON document per project: project_id, section, place, rid, line.
+
+    A document has ``project``, ``assets``, ``findings`` (both by id) and
+    ``generated_at``.  Each asset and finding is a line of its own; all but the
+    first of an array begin with the comma that parts them.  Rows of projects that
+    are not there have no document.
+    """
+    spark = projects.sparkSession
+    none, nulls = F.lit(None).cast("long"), {"ignoreNullFields": "false"}
+    heads = report_projects(projects.filter("id is not null")).dropDuplicates(["project_id"])
+
+    def objects(rows, section):
+        there = rows.join(heads.select("project_id"), "project_id", "left_semi")
+        json = F.to_json(F.struct(*[c for c in rows.columns if c != "project_id"]), nulls)
+        return there.select("project_id", F.lit(section).alias("section"), F.col("id").cast("long").alias("place"), json.alias("line"))
+
+    # Stored with a number each, as only one of several equal rows comes first.
+    body = staged(
+        objects(report_assets(assets), _ASSETS).unionByName(objects(report_findings(findings_with_url), _FINDINGS))
+        .withColumn("rid", F.monotonically_increasing_id()), shared_folder(spark, "report-lines"))
+    first = body.groupBy("project_id", "section").agg(F.min(F.struct("place", "rid"))["rid"].alias("first"))
+    rows = body.join(first, ["project_id", "section"]).withColumn(
+        "line", F.when(F.col("rid") == F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")))
+
+    def fixed(section, line):
+        return heads.select("project_id", F.lit(section).alias("section"), none.alias("place"), none.alias("rid"), line.alias("line"))
+
+    project = F.to_json(F.struct(F.col("project_id").alias("id"), "name", "target_url", "created_at"), nulls)
+    return (
+        rows.select(*_LINE)
+        .unionByName(fixed(_HEAD, F.concat(F.lit('{"project":'), project, F.lit(',"assets":['))))
+        .unionByName(fixed(_BETWEEN, F.lit('],"findings":[')))
+        .unionByName(fixed(_TAIL, F.concat(F.lit('],"generated_at":"'), "generated_at", F.lit('"}')))))
+
+
+def write_report_documents(projects: DataFrame, assets: DataFrame, findings_with_url: DataFrame, path: str) -> None:
+    """One valid JSON document per project, of any size: the files of its folder, one after the other by name.
+
+    Lines are dealt out by range of project and place and written in order, so no
+    document is ever held as a whole and a large one is written by several tasks.
+    """
+    order = [F.col("project_id"), F.col("section"), F.col("place").asc_nulls_first(), F.col("rid").asc_nulls_first()]
+    (
+        report_lines(projects, assets, findings_with_url)
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("project_id", F.col("line").alias("value"))
+        .write.mode("overwrite").partitionBy("project_id").text(path))
+
+
 def sources_export(source_files: DataFrame, keys=("asset_key",)) -> DataFrame:
     """Recovered files with content, addressed by a safe relative path."""
     return source_files.filter(F.col("content") != "").select(

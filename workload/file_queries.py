@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptsift.operators import extract, reflow, scan, store
+from scriptsift.operators import extract, layout, reflow, scan, store
 from scriptsift.operators import pages as P
 from scriptsift.session import shared_folder
 from scriptsift.sources import readers, sinks
@@ -88,6 +88,47 @@ def rewritten_projects(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("deleted_in_place", f"""
+SELECT 'projects' AS kind, count(*) AS n, coalesce(sum(id), 0) AS checksum FROM {PROJECTS.sql} WHERE id NOT IN {_GONE}
+UNION ALL SELECT 'assets', count(*), coalesce(sum(id), 0) FROM {ASSETS.sql} WHERE project_id NOT IN {_GONE}
+UNION ALL SELECT 'findings', count(*), coalesce(sum(id), 0) FROM {FINDINGS.sql} WHERE project_id NOT IN {_GONE}""")
+def deleted_in_place(spark, sf):
+    """The store by project bucket; only the buckets of deleted projects are written anew."""
+    root = shared_folder(spark, "store")
+    layout.write_store(dict(zip(store.STORED, tables(spark, sf))), root)
+    names = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_acctbal < 0").selectExpr(
+        "concat('proj-', cast(s_suppkey as string)) AS name")
+    layout.delete_in_place(spark, root, names)
+    parts = [
+        layout.read_store(spark, root, name).agg(
+            F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("checksum")).select(F.lit(name).alias("kind"), "n", "checksum")
+        for name in store.STORED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("report_documents", f"""
+SELECT project_id, 'asset' AS kind, id, url AS label, asset_type AS detail FROM {ASSETS.sql} a WHERE project_id IN (SELECT id FROM {PROJECTS.sql})
+UNION ALL SELECT f.project_id, 'finding', f.id, value, coalesce(url, '') FROM {FINDINGS.sql} f LEFT JOIN {ASSETS.sql} a ON f.asset_id = a.id
+    WHERE f.project_id IN (SELECT id FROM {PROJECTS.sql})
+UNION ALL SELECT id, 'project', id, name, target_url FROM {PROJECTS.sql}""")
+def report_documents(spark, sf):
+    """The nested documents, written and read back line by line."""
+    projects, assets, findings = tables(spark, sf)
+    path = shared_folder(spark, "reports")
+    sinks.write_report_documents(projects, assets, store.with_asset_url(findings, assets), path)
+    lines = spark.read.schema("value string, project_id long").text(path)
+    text = F.regexp_replace("value", "^,", "")
+    row = F.from_json(text, "id long, url string, asset_type string, finding_type string, value string, asset_url string")
+    head = F.from_json(F.concat(text, F.lit("]}")), "project struct<id:long,name:string,target_url:string>")["project"]
+    kind = F.when(text.startswith('{"project"'), "project").when(row["finding_type"].isNotNull(), "finding").otherwise("asset")
+    rows = lines.filter("value like '{%' or value like ',{%'").select("project_id", kind.alias("kind"), row.alias("row"), head.alias("head"))
+    return rows.select(
+        "project_id", "kind", F.coalesce("row.id", "head.id").alias("id"),
+        F.when(F.col("kind") == "project", F.col("head.name")).when(F.col("kind") == "asset", F.col("row.url")).otherwise(F.col("row.value")).alias("label"),
+        F.when(F.col("kind") == "project", F.col("head.target_url")).when(F.col("kind") == "asset", F.col("row.asset_type")).otherwise(
+            F.col("row.asset_url")).alias("detail"))
+
+
 # -- the given texts
 
 _QUOTED = [lit(f"{q}((?:[^{q}\\\\]|\\\\.)*){q}") for q in ("'", '"', "`")]
