@@ -9,9 +9,16 @@ largest density sum, and the extract is the smallest subtree around all of
 these.
 
 Parts that are never text (scripts, forms, menus, marked notices and so on) are
-cut before densities are computed, as their names say what they are.  Inside an
-article or main part a name says so only as a whole class or role: a section
-called side-effects or related-work is text.
+cut before densities are computed, as their tag, class or role says what they
+are.  A class or role says so only as a whole, when it is made of nothing but such
+words: ``cookie-notice`` is a notice, ``side-effects`` and ``search-results`` are
+text.  Ids and labels say nothing.  Everything else is left to the densities.
+
+Where the extract lies in an article or main part, that part is the extract: these
+tags name the main text of a page, and of several the densities choose one.
+
+Parsing is linear in the page: what a tag needs to know of the tags around it
+stands on its parent, and an end tag without an open one costs nothing.
 """
 
 from __future__ import annotations
@@ -29,12 +36,13 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 SKIPPED = RAW | frozenset(
-    "head nav footer aside form button select option svg math canvas object audio video dialog menu map input label fieldset".split())
+    "head nav footer aside form button select option svg canvas object audio video dialog menu map input label fieldset".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr input label".split())
-# Words in class, id, role or aria-label that mark a part as no main text; inside
-# an article only whole classes and roles do.
+    "strong sub sup time tt u var wbr input label "
+    # Formulas stand in a line with the text around them.
+    "math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle semantics".split())
+# Words of which the class or role of a part without main text is made.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
     "notice notices notification alert menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer "
@@ -53,41 +61,48 @@ _ENDS_OWN = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 _SCOPE = frozenset("html body article main section div table td th li ul ol dl blockquote aside nav header footer form".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:[\"'][^>]*)?)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-label|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/]|$))""", re.I | re.S)
+_NAMED = re.compile(r"""(?:^|[\s"'])(class|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/]|$))""", re.I | re.S)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
+    """``inside``: within an article or main part.  ``paragraph``: the open paragraph an end tag can reach.
+    ``inlines``: open inline tags of the block the node stands in, by name."""
+
+    __slots__ = (
+        "tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut", "inside", "paragraph", "inlines")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.children: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.paragraph = self if tag == "p" else None if tag in _SCOPE or parent is None else parent.paragraph
+        self.inlines = parent.inlines if tag in INLINE and parent is not None else {}
+
+
+def _marks(value: str) -> bool:
+    """Whether some class or role consists of marking words only."""
+    for token in value.split():
+        words = [w.lower() for w in _SPLIT.split(token) if w]
+        if words and all(w in MARKS for w in words):
+            return True
+    return False
 
 
 def _is_cut(tag: str, attributes: str, parent: Node) -> bool:
-    if parent.cut or tag in SKIPPED:
-        return True
-    inside = False
-    node = parent
-    while node is not None and not inside:
-        inside, node = node.tag in ("article", "main"), node.parent
-    if tag == "header" and not inside:
+    if parent.cut or tag in SKIPPED or tag == "header" and not parent.inside:
         return True
     if tag in WHOLE or not attributes:
         return False
+    heading = parent.inside and tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6")
     for name, *values in _NAMED.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if inside:
-            marked = name in ("class", "role") and any(token.lower() in MARKS for token in value.split())
-        else:
-            marked = name != "aria-hidden" and any(word.lower() in MARKS for word in _SPLIT.split(value))
-        if marked and not (inside and tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6")):
+        if name in ("class", "role") and not heading and _marks(value):
             return True
     return False
 
@@ -96,15 +111,26 @@ def parse(page: str) -> Node:
     """Tree of a page; text is kept as strings between child nodes.  Bad nesting is closed as browsers do."""
     root = node = Node("html", None, False)
     at = 0
+    opened: dict[str, int] = {}
 
-    def close(tags, stops):
+    def leave(top):
+        """Close everything up to and with ``top``."""
         nonlocal node
-        up = node
-        while up is not root and up.tag not in stops:
-            if up.tag in tags:
-                node = up.parent
+        while True:
+            opened[node.tag] -= 1
+            if node.tag in INLINE:
+                node.inlines[node.tag] -= 1
+            if node is top:
+                node = node.parent
                 return
-            up = up.parent
+            node = node.parent
+
+    def enter(child):
+        nonlocal node
+        node = child
+        opened[child.tag] = opened.get(child.tag, 0) + 1
+        if child.tag in INLINE:
+            child.inlines[child.tag] = child.inlines.get(child.tag, 0) + 1
 
     while (m := _TAG.search(page, at)) is not None:
         if m.start() > at and not node.cut:
@@ -114,29 +140,38 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" or tag not in ("html", "body"):
+            if tag == "p":
+                if node.paragraph is not None:
+                    leave(node.paragraph)
+            elif tag in INLINE and node.inlines.get(tag) or tag not in INLINE and tag not in ("html", "body") and opened.get(tag):
                 up = node
-                while up is not root and up.tag != tag:
-                    if tag in INLINE and up.tag not in INLINE or tag == "p" and up.tag in _SCOPE:
-                        up = root
-                        break
+                while up.tag != tag:
                     up = up.parent
-                if up is not root:
-                    node = up.parent
+                leave(up)
             continue
         if tag in ("html", "body"):
             if tag == "body" and node.cut:
-                while node is not root and node.cut:
-                    node = node.parent
+                top = node
+                while top.parent.cut:
+                    top = top.parent
+                leave(top)
             if tag == "body" and node is root:
-                node = Node("body", root, False)
-                root.children.append(node)
+                body = Node("body", root, False)
+                root.children.append(body)
+                enter(body)
             continue
-        if tag in _ENDS_P:
-            close(("p",), _SCOPE)
+        if tag in _ENDS_P and node.paragraph is not None:
+            leave(node.paragraph)
         if tag in _ENDS_OWN:
             own, stops = _ENDS_OWN[tag]
-            close(own.split(), stops)
+            own = own.split()
+            if any(opened.get(t) for t in own):
+                up = node
+                while up is not root and up.tag not in stops:
+                    if up.tag in own:
+                        leave(up)
+                        break
+                    up = up.parent
         child = Node(tag, node, _is_cut(tag, m[3], node))
         node.children.append(child)
         if tag in VOID:
@@ -147,7 +182,7 @@ def parse(page: str) -> Node:
             continue
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        node = child
+        enter(child)
     if at < len(page) and not node.cut:
         node.children.append(html.unescape(page[at:]))
     return root

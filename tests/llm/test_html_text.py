@@ -1,7 +1,10 @@
 """Main text of planted pages, of the given pages, and of broken ones."""
 
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -75,12 +78,83 @@ def test_deep_and_long_pages():
     assert main_text("plain text without tags") == "plain text without tags"
 
 
-def test_densities():
-    root = parse("<body><div><p>0123456789</p><p>0123456789</p></div><p><a>0123</a></p></body>")
-    nodes = {n.tag: n for n in measure(root)}
-    assert nodes["div"].chars == 20 and nodes["div"].tags == 2 and nodes["body"].link_chars == 4
-    assert nodes["div"].total > nodes["body"].total or nodes["div"].density > 0
-    assert blocks(root) == ["0123456789", "0123456789", "0123"]
+@pytest.mark.parametrize("part", [
+    "<div class='side-effects'>{}</div>", "<h2 id='share-prices'>{}</h2>", "<p id='search-results'>{}</p>", "<div class='search-results'>{}</div>",
+    "<p aria-label='side view'>{}</p>", "<section id=comments>{}</section>", "<p class='related-work'>{}</p>", "<p><math><mi>{}</mi></math></p>"])
+def test_names_with_a_marking_word_are_text_in_plain_divs(part):
+    words = "Five sentences about it. " * 5
+    para = "<p>A paragraph of the text that is long enough to be kept by itself.</p>"
+    text = main_text(f"<body><nav><a href=/>x</a></nav><div>{para}{part.format(words)}{para}</div></body>")
+    assert text.split("\n\n") == ["A paragraph of the text that is long enough to be kept by itself.", words.strip(), "A paragraph of the text that is long enough to be kept by itself."]
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "siteFooter footer", "share-sidebar", "Advert_Banner"])
+def test_names_made_of_marking_words_go(name):
+    assert main_text(f"<body><div>{ARTICLE}</div><div class='{name}'><p>Something that is no text but quite long, long, long.</p></div></body>") == TEXT
+
+
+def test_formulas_stay():
+    page = f"<article>{ARTICLE}<p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p><svg><text>no</text></svg></article>"
+    assert main_text(page) == TEXT + "\n\nSo a=b holds."
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + "deep" + "</span>" * 100_000, "<div>" * 50_000 + "deep" + "</b>" * 100_000 + "</p>" * 100_000,
+    "<b><div>" + "<span>" * 50_000 + "deep" + "</b>" * 100_000, "<span>" * 50_000 + "deep" + "<h1></h1>" * 50_000])
+def test_parsing_is_linear(page):
+    start = time.process_time()
+    assert main_text(page) == "deep"
+    assert time.process_time() - start < 6
+
+
+def _brute(node, page_chars, page_links):
+    """(characters, tags, link characters, link tags, density, sum of child densities) worked out anew for one node."""
+    def text(n):
+        return "".join(c if isinstance(c, str) else text(c) for c in n.children if isinstance(c, str) or not c.cut)
+
+    def below(n):
+        return [x for c in n.children if not isinstance(c, str) and not c.cut for x in (c, *below(c))]
+
+    def size(t):
+        return len(re.sub(r"\s", "", t))
+
+    def links(n):
+        return sum(size(text(c)) if c.tag == "a" else links(c) for c in n.children if not isinstance(c, str) and not c.cut)
+    chars, tags = size(text(node)), len(below(node))
+    lc, lt = links(node), sum(n.tag == "a" for n in below(node))
+    if not chars:
+        return chars, tags, lc, lt, 0.0
+    base = math.log(chars / max(chars - lc, 1) * lc + page_links / page_chars * chars + math.e)
+    density = chars / max(tags, 1) * math.log(max(chars / max(lc, 1) * max(tags, 1) / max(lt, 1), 1) + 1) / base
+    return chars, tags, lc, lt, density
+
+
+def test_densities_like_brute_force():
+    rng = random.Random(3)
+
+    def piece(depth):
+        tag = rng.choice(["div", "p", "section", "span", "a", "ul", "b"])
+        inner = "".join(rng.choice([piece(depth + 1) if depth < 5 else "x ", "some words of text ", " ", "link"]) for _ in range(rng.randint(0, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+    for _ in range(60):
+        root = parse("<body>" + "".join(piece(0) for _ in range(6)) + "</body>")
+        nodes = measure(root)
+        page = _brute(root, 1, 0)
+        best = 0.0
+        for n in nodes:
+            want = _brute(n, max(page[0], 1), page[2])
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == want[:4]
+            assert n.density == pytest.approx(want[4])
+            total = sum(_brute(c, max(page[0], 1), page[2])[4] for c in n.children if not isinstance(c, str) and not c.cut)
+            if any(isinstance(c, str) and c.strip() for c in n.children) or not total:
+                total = max(total, want[4])  # text of its own counts as a child
+            assert n.total == pytest.approx(total)
+            best = max(best, total)
+        assert max(n.total for n in nodes) == pytest.approx(best)
+
+
+def test_blocks():
+    assert blocks(parse("<body><div><p>0123456789</p><p>0123456789</p></div><p><a>0123</a></p></body>")) == ["0123456789", "0123456789", "0123"]
 
 
 def test_rows(spark):
