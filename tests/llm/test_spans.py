@@ -149,4 +149,27 @@ def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
     assert secrets.update_ledger(more, path) == 1
     rows = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(more, path).collect()}
     assert rows == {1: "assign:0:15", 2: "assign:0:15", 3: "", 4: "access:0:24", 5: ""}
-    assert secrets.update_ledger(more, path, rules=secrets.RULES[:3]) == 3
+    # Fewer rules have all been here; a new one and a changed one run alone.
+    assert secrets.update_ledger(more, path, rules=secrets.RULES[:3]) == 0
+    new = (("abc", "abc[a-z]+", ("abc",), False), *secrets.RULES)
+    assert secrets.update_ledger(more, path, rules=new) == 3
+    entries = secrets._entries(spark, path)
+    assert entries.filter(F.size("scanned") == 1).count() == 3
+    assert entries.filter(F.size("scanned") == len(secrets.RULES)).count() == 3
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(more, path, rules=new).collect()}
+    assert rows == {1: "assign:0:15,abc:8:14", 2: "assign:0:15,abc:8:14", 3: "", 4: "access:0:24", 5: ""}
+    changed = (*secrets.RULES[:1], ("access", "AKIA[A-Z0-9]{30,}", ("AKIA",), False), *secrets.RULES[2:])
+    assert secrets.update_ledger(more, path, rules=changed) == 3
+    rows = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(more, path, rules=changed).collect()}
+    assert rows == {1: "assign:0:15", 2: "assign:0:15", 3: "", 4: "", 5: ""}
+
+
+def test_overlapping_runs_give_single_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdef1"), (2, None)], "doc_id long, text string")
+    for name in ("a", "b"):
+        secrets.update_ledger(docs, str(tmp_path / name))
+    # Both runs found the same ledger empty.
+    spark.read.schema(secrets.LEDGER).option("recursiveFileLookup", True).parquet(str(tmp_path / "b")).write.parquet(str(tmp_path / "a" / "run-other"))
+    rows = sorted((r["doc_id"], r["spans"], r["n_assign"]) for r in secrets.scan_secrets(docs, str(tmp_path / "a")).collect())
+    assert rows == [(1, "assign:0:15", 1), (2, "", 0)]
+    assert secrets.update_ledger(docs, str(tmp_path / "a")) == 0
