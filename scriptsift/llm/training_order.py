@@ -188,9 +188,10 @@ def materialise(
         total += n
     records = rows.mapInArrow(
         _cutter(vocabulary, length, parts, total, key, shard_rows), "shard int, slot long, record binary")
-    shards = -(-total // shard_rows)
+    # Ranges of slots of equal length, so no sample has to find their bounds.
+    shards = max(1, -(-total // shard_rows))
     (
-        records.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("shard", "slot")
+        records.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
         .select("shard", F.col("record").cast("string").alias("value"))
         .write.mode("overwrite").partitionBy("shard").text(path)
     )
