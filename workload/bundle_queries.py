@@ -58,6 +58,7 @@ def _entries(map_rx, entry_rx, name_group, keep):
  WHERE {keep} GROUP BY ALL))"""
 
 
+# The expressions for chunk maps and hash maps.
 _MAP = _entries(
     r"\(\s*\{([^}]+)\}\s*\[(?:e|t|n|r|o|chunkId)\]", r'(\d+|"[^"]+"):\s*"([^"]+)"', 2,
     "(name LIKE '%.js' OR NOT contains(name, '.'))")

@@ -21,12 +21,12 @@ from .text_queries import _SAFE
 
 @query("read_js_files", f"""
 SELECT g, md5(string_agg(content, chr(10) ORDER BY asset_key) || chr(10)) AS digest, sum(strlen(content) + 1) AS n_bytes
-FROM (SELECT asset_key % 50 AS g, asset_key, content FROM {BUNDLES.sql}) GROUP BY g""")
+FROM (SELECT asset_key // 500 AS g, asset_key, content FROM {BUNDLES.sql}) GROUP BY g""")
 def read_js_files(spark, sf):
-    """Scripts written as plain files, one for fifty bundles, and read as files."""
+    """Scripts written as plain files, one for so many keys, and read as files: their number grows with the bundles."""
     path = shared_folder(spark, "js-files")
-    rows = BUNDLES.frame(spark, sf).select((F.col("asset_key") % 50).alias("g"), "asset_key", "content")
-    rows.repartition(50, "g").sortWithinPartitions("g", "asset_key").select("g", "content").write.partitionBy("g").text(path)
+    rows = BUNDLES.frame(spark, sf).select(F.floor(F.col("asset_key") / 500).alias("g"), "asset_key", "content")
+    rows.repartition("g").sortWithinPartitions("g", "asset_key").select("g", "content").write.partitionBy("g").text(path)
     files = readers.read_js_files(spark, f"{path}/g=*/*.txt")
     return files.select(
         F.regexp_extract("asset_url", "/g=([0-9]+)/", 1).cast("long").alias("g"), F.md5("content").alias("digest"), "n_bytes")
