@@ -95,7 +95,9 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     rows = stage(
         docs.select(
             F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias("size"),
-            F.crc32(body).cast("long").alias("text_crc32"), F.sha2(body, 256).alias("text_sha")), "shard-rows")
+            F.crc32(body).cast("long").alias("text_crc32"), F.sha2(body, 256).alias("text_sha"),
+            # Tells rows apart that are equal in all else, so that their range can be split.
+            F.monotonically_increasing_id().alias("row")), "shard-rows")
     bucket = F.conv(F.substring("text_sha", 1, 8), 16, 10).cast("long") * BUCKETS / F.lit(1 << 32)
     groups = stage(
         rows.groupBy("text_sha").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -139,8 +141,8 @@ def _numbered(rows: DataFrame, of_group: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     pieces = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = stage(
-        rows.repartitionByRange(pieces, "text_sha", F.col("doc_id").asc_nulls_first(), F.xxhash64("doc_id", "size"))
-        .sortWithinPartitions("text_sha", F.col("doc_id").asc_nulls_first())
+        rows.repartitionByRange(pieces, "text_sha", F.col("doc_id").asc_nulls_first(), "row")
+        .sortWithinPartitions("text_sha", F.col("doc_id").asc_nulls_first(), "row")
         .withColumn("piece", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "shard-dealt")
     held = stage(dealt.groupBy("text_sha", "piece").agg(F.min("at").alias("least"), F.count("*").alias("n")), "shard-held")
     earlier = Window.partitionBy("text_sha").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -276,6 +276,12 @@ def with_toxicity(
     return docs.withColumn(name, scores(F.col(text), machine))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents that score below the threshold."""
-    return with_toxicity(docs, labels, name="__toxicity", **options).filter(F.col("__toxicity") < threshold).select(*docs.columns)
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that score below the threshold; all of them, where the labels teach nothing.
+
+    Rows pass as ``with_toxicity`` scores them, with their own columns.
+    """
+    machine = train(docs, labels, doc_id, text, **options)
+    if not (machine.weight.any() or machine.factor.any()):
+        return docs
+    return docs.withColumn("__toxicity", scores(F.col(text), machine)).filter(F.col("__toxicity") < threshold).select(*docs.columns)

@@ -58,6 +58,47 @@ def test_planted_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __rid long, score string, links array<int>"
+
+
+def _folder(spark, tmp_path, rows, items=(), labels=()):
+    folder = str(tmp_path)
+    spark.createDataFrame(list(rows), SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns; no labels and no benchmark."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "mail a.b@example.org now", "en", "s", 24, 7, "x", [1]), (1, "mail a.b@example.org now", "en", "s", 24, 7, "x", [1]),
+            (None, None, None, None, None, None, None, None), (2, "", "en", None, 0, 1, "y", []), (3, long, None, "s", len(long), None, None, None),
+            (4, "one two three four five six", "de", "t", 27, 3, "z", None)]
+    folder = _folder(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    sizes = {}
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES):
+        step(spark, docs, folder).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        sizes[name] = docs.count()
+        if name != "pieces":
+            assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        if name == "pii":
+            assert {r["text"] for r in docs.collect()} >= {"mail [EMAIL] now", long}
+    # One of the two copies and one of the texts without words are left out.
+    assert sizes == {"toxicity": 6, "near_duplicates": 4, "decontamination": 4, "pii": 4, "pieces": 4}
+    assert docs.columns == ["doc_id", "lang", "source", "__rid", "score", "links", "n_ids", "ids"]
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = _folder(spark, tmp_path, [], [(1, "What is it? It is nothing at all.")], [(1, 1, 0), (2, 0, 1)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, docs, folder).collect() == []
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
 def test_the_rest_stands_without_this_folder():
     """Nothing else in the library names the subpackage."""
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
