@@ -13,4 +13,4 @@ from scriptsift.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "8g", "scriptsift-tests")
+    return local_session(8, "8g", "scriptsift-tests", **{"spark.sql.shuffle.partitions": "4"})
