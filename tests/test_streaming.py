@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,28 @@ def test_counts_run_with_the_stream(spark, tmp_path):
     assert seen == [{"https://h/a.js": 1}, {"https://h/a.js": 2, "https://h/c.js": 1}]
 
 
+def test_all_three_queries_run_at_a_time(spark, tmp_path):
+    """With a steady trigger counts of earlier responses are there while the capture goes on."""
+    root, wanted = str(tmp_path), [{"https://h/a.js": 1}, {"https://h/a.js": 1, "https://h/b.js": 2}]
+    rows = [[("https://h/a.js", 200, "eval(1)", JS, at(1))], [("https://h/b.js", 200, "eval(1); document.cookie", JS, at(2))]]
+    feeds = feed(spark, root, *rows)
+    next(feeds)
+    stream = readers.stream_responses(spark, f"{root}/in", schema=SCHEMA)
+    running = live.start_capture(stream, f"{root}/out", f"{root}/checkpoint", trigger={"processingTime": "0 seconds"}, counts=True)
+    try:
+        assert len(running.queries) == 3
+        for want in wanted:
+            for _ in range(120):
+                got = {r.url: r.total for r in live.current_counts(spark, f"{root}/out").collect()}
+                if got == want:
+                    break
+                time.sleep(0.5)
+            assert got == want and running.isActive
+            next(feeds, None)
+    finally:
+        running.stop()
+
+
 def test_hot_body_and_null_times(spark, tmp_path):
     """One body in most responses; the earliest capture stands for it, a null time comes last."""
     root = str(tmp_path)
