@@ -46,23 +46,30 @@ def _index(batches):
         yield pd.DataFrame(out, columns=["p_ord", "rule", "folds", "literal", "codes"])
 
 
-def rule_index(custom: DataFrame, project_id=None, page: int = PAGE, folder: str | None = None) -> DataFrame:
-    """The enabled rules of a project that compile, with the literals they need.
+def rejected_rules(custom: DataFrame, project_id=None, page: int = PAGE, folder: str | None = None) -> DataFrame:
+    """(name, regex, reason) of a project's enabled rules that cannot be compiled.
 
-    Expressions are checked page by page on the driver, where they cost nothing
-    but the check; which ones failed is written down, not kept.
+    Expressions are checked page by page on the driver, where they cost nothing but
+    the check; which ones failed is written down, page by page, and not kept.
     """
     spark = custom.sparkSession
+    folder = folder or shared_folder(spark, "rejected-rules")
+    schema = "name string, regex string, reason string"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/page=0")
+    for number, detectors in enumerate(custom_detector_pages(custom, project_id, page)):
+        _, rejected = valid_detectors(spark, detectors)
+        rejected.write.mode("overwrite").parquet(f"{folder}/page={number + 1}")
+    return spark.read.schema(f"{schema}, page int").parquet(folder).drop("page")
+
+
+def rule_index(custom: DataFrame, project_id=None, page: int = PAGE, folder: str | None = None) -> DataFrame:
+    """The enabled rules of a project that compile, with the literals they need."""
+    spark = custom.sparkSession
     folder = folder or shared_folder(spark, "rule-index")
     rules = (
         enabled_custom_patterns(custom, project_id).filter((F.col("pattern_type") == "regex") & F.col("id").isNotNull())
         .select(F.col("id").cast("long").alias("id"), "name", "pattern", "finding_type", "severity"))
-    none = spark.createDataFrame([], "name string, regex string")
-    none.write.mode("overwrite").parquet(f"{folder}/rejected/page=0")
-    for number, detectors in enumerate(custom_detector_pages(custom, project_id, page)):
-        _, rejected = valid_detectors(spark, detectors)
-        rejected.select("name", "regex").write.mode("overwrite").parquet(f"{folder}/rejected/page={number + 1}")
-    bad = spark.read.schema("name string, regex string, page int").parquet(f"{folder}/rejected")
+    bad = rejected_rules(custom, project_id, page, f"{folder}/rejected")
     same = (F.col("r.name").eqNullSafe(F.col("b.name"))) & (F.col("r.pattern") == F.col("b.regex"))
     good = rules.alias("r").join(bad.alias("b"), same, "left_anti")
     return staged(good.mapInPandas(_index, _INDEXED), f"{folder}/rules")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptsift.operators import catalog, extract, listing, rollups, scan, store
 from scriptsift.operators.detectors import SEVERITIES
-from scriptsift.plans.custom_scan import scan_custom
+from scriptsift.plans.custom_scan import rejected_rules, scan_custom
 from scriptsift.plans.file_analysis import analyze_texts
 from scriptsift.plans.incremental import scan_incremental
 from scriptsift.session import shared_folder, staged
@@ -378,8 +378,7 @@ def rules(spark, sf):
 @query("rejected_patterns", f"""
 SELECT name, pattern AS regex FROM {RULES_SQL} WHERE enabled AND id % 9 = 4 AND (project_id IS NULL OR project_id = 7)""")
 def rejected_patterns(spark, sf):
-    _, rejected = catalog.valid_detectors(spark, catalog.custom_detectors(rules(spark, sf), 7))
-    return rejected.select("name", "regex")
+    return rejected_rules(rules(spark, sf), 7, page=500).select("name", "regex")
 
 
 _RULE_TEXTS = Derived("orders", (
