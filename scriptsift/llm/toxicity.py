@@ -233,14 +233,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                  pa.array([v.tobytes() for v in np.split(x, np.cumsum(sizes)[:-1])], pa.binary())],
                 ["id", "label", "slots", "values"])
 
-    got = rows.mapInArrow(reduce, "id long, label int, slots binary, values binary").toArrow().sort_by("id")
-    slot = [np.frombuffer(b, np.int32) for b in got["slots"].to_pylist()]
-    x = [np.frombuffer(b, np.float32) for b in got["values"].to_pylist()]
-    sizes = [len(s) for s in slot]
-    empty = [np.array([], np.float32)]
-    return Machine().fit(
-        np.repeat(np.arange(len(sizes)), sizes), np.concatenate(slot or empty).astype(np.int64),
-        np.concatenate(x or empty).astype(np.float32), got["label"].to_numpy().astype(np.float32))
+    got = rows.mapInArrow(reduce, "id long, label int, slots binary, values binary").toArrow()
+    # Sorted by id once, straight into the arrays to learn from; the table goes before learning begins.
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
+    taken = got.take(pa.array(order)).combine_chunks()
+    labels_ = taken["label"].to_numpy().astype(np.float32)
+    (slot, sizes), (x, _) = _joined(taken["slots"], np.int32), _joined(taken["values"], np.float32)
+    del got, taken
+    return Machine().fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), slot, x, labels_)
+
+
+def _joined(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows one after the other, how many each row has) of a binary column."""
+    values = column.combine_chunks()
+    if isinstance(values, pa.ChunkedArray):  # no rows
+        values = pa.array([], pa.binary())
+    if not len(values):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return data.copy().view(kind), np.diff(offsets) // 4
 
 
 def scores(text: Column, machine: Machine) -> Column:
