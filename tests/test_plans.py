@@ -159,3 +159,23 @@ def test_stored_projects_are_rewritten(spark, tmp_path):
     for name in ("assets", "findings"):
         assert {r.project_id for r in spark.read.parquet(f"{root}/b/{name}").collect()} == {1}
         assert spark.read.parquet(f"{root}/a/{name}").count() == 6
+
+
+def test_keys_are_dealt_by_number_and_not_by_file(spark, tmp_path):
+    """One row group in many splits: all but one split are empty."""
+    from workload.registry import dealt
+
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "keys"))
+    keys = dealt(spark.read.parquet(str(tmp_path / "keys")), 1000)
+    sizes = [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1500
+    assert keys.distinct().count() == 20_000
+
+
+def test_ranked_places_are_gapless(spark, tmp_path):
+    """Also where the findings are stored before they are sorted."""
+    from workload import QUERIES
+
+    spark.range(1, 400).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    places = [r.place for r in QUERIES["ranked_findings"](spark, str(tmp_path)).collect()]
+    assert sorted(places) == list(range(1, len(places) + 1)) and len(places) > 400

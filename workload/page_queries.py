@@ -10,7 +10,7 @@ from scriptsift.sources import readers
 
 from .corpus import BUNDLES, LINKS, RESPONSES, SITE_PAGES
 from .duck import findings_by_line, lit, origin, part, resolve_url
-from .registry import query, spread
+from .registry import dealt, query, spread
 
 
 def site_pages(spark, sf):
@@ -176,7 +176,7 @@ _EDGE_SCRIPTS = (
 
 
 def edge_scripts(spark, sf):
-    spread(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")).createOrReplaceTempView("orders")
+    dealt(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")).createOrReplaceTempView("orders")
     return spark.sql(f"SELECT * FROM {_EDGE_SCRIPTS}")
 
 
