@@ -115,7 +115,7 @@ def report_documents(spark, sf):
     """The nested documents, written and read back line by line."""
     projects, assets, findings = tables(spark, sf)
     path = shared_folder(spark, "reports")
-    sinks.write_report_documents(projects, assets, store.with_asset_url(findings, assets), path)
+    sinks.write_report_documents(projects, assets, store.with_asset_url(findings, assets), path, compression="gzip")
     lines = spark.read.schema("value string, project_id long").text(path)
     text = F.regexp_replace("value", "^,", "")
     row = F.from_json(text, "id long, url string, asset_type string, finding_type string, value string, asset_url string")
