@@ -129,3 +129,20 @@ def test_empty_tables(spark):
     assert scan_custom(frame, _table(spark, ["tok"]).filter("false"), None, ("asset_key",)).collect() == []
     assert scan_custom(frame.filter("false"), _table(spark, ["tok"]), None, ("asset_key",)).collect() == []
     assert rule_index(_table(spark, ["a.c"])).select("literal").collect()[0][0] is None
+
+
+def test_pairs_do_not_grow_with_rules_that_share_digits(spark, tmp_path):
+    """A group of three digits is held by ever more rules; about half of a literal is not."""
+    frame = spark.createDataFrame([(i, f"bundle {i}; x") for i in range(100, 300)], "asset_key int, content string")
+    found = scan_custom(frame, _table(spark, [f"bundle {i};" for i in range(3000)]), None, ("asset_key",), folder=str(tmp_path / "scan"))
+    assert found.count() == 200
+    assert spark.read.parquet(str(tmp_path / "scan" / "pairs")).count() < 4 * 200
+
+
+def test_groups_of_a_literal_are_groups_of_its_texts():
+    for literal in (b"abc", b"Abcd", b"abcdefgh", b"x" * 11, bytes(range(97, 122)) * 3):
+        level = literals.level_of(literal)
+        assert level <= len(literal) and (level * 2 > len(literal) or level == 32 or level == literals.GRAM)
+        held = set(literals.groups(b"zz " + literal.upper() + b" zz", {3, level}).tolist())
+        assert set(literals.groups(literal, {level}).tolist()) <= held
+    assert literals.groups(b"abc", {8}).tolist() == [] and literals.groups(b"", {3, 4}).tolist() == []
