@@ -179,3 +179,13 @@ def test_ranked_places_are_gapless(spark, tmp_path):
     spark.range(1, 400).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
     places = [r.place for r in QUERIES["ranked_findings"](spark, str(tmp_path)).collect()]
     assert sorted(places) == list(range(1, len(places) + 1)) and len(places) > 400
+
+
+def test_contexts_stay_out_of_the_shuffles_that_do_not_return_them(spark, tmp_path):
+    from workload import QUERIES
+
+    spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("stored_value_dedup",):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+        aggregate = next(line for line in plan.toString().splitlines() if "Aggregate [" in line)
+        assert "context" not in aggregate, name
