@@ -185,7 +185,7 @@ def test_contexts_stay_out_of_the_shuffles_that_do_not_return_them(spark, tmp_pa
     from workload import QUERIES
 
     spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
-    for name in ("stored_value_dedup",):
+    for name in ("stored_value_dedup", "unique_findings"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
         aggregate = next(line for line in plan.toString().splitlines() if "Aggregate [" in line)
         assert "context" not in aggregate, name
