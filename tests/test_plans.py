@@ -181,6 +181,34 @@ def test_ranked_places_are_gapless(spark, tmp_path):
     assert sorted(places) == list(range(1, len(places) + 1)) and len(places) > 400
 
 
+def test_bundles_from_tokens_are_the_bundles(spark, tmp_path):
+    """Spark puts the texts together another way than the SQL; keys of every fragment and of the long texts."""
+    from dataclasses import replace
+
+    from workload.corpus import BUNDLES, N_FRAGMENTS
+
+    spark.range(3 * N_FRAGMENTS * N_FRAGMENTS // 2).selectExpr(
+        "id AS o_orderkey", "CASE WHEN id % 5 <> 2 THEN id % 90 END AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    assert BUNDLES.spark_steps
+    made, searched = BUNDLES.frame(spark, str(tmp_path)), replace(BUNDLES, spark_steps=()).frame(spark, str(tmp_path))
+    assert made.schema == searched.schema
+    assert made.exceptAll(searched).isEmpty() and searched.exceptAll(made).isEmpty()
+
+
+def test_no_generated_method_is_too_long_to_compile(spark, tmp_path):
+    """The JVM compiles methods of up to 8,000 bytes."""
+    from workload import QUERIES
+
+    spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan is then final before it runs
+    try:
+        plans = QUERIES["scan_every_match"](spark, str(tmp_path))._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [plans.apply(i)._3().maxMethodCodeSize() for i in range(plans.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_contexts_stay_out_of_the_shuffles_that_do_not_return_them(spark, tmp_path):
     from workload import QUERIES
 
